@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import langid, mixing, secrets, sharding, token_store, urls
+from evigraph.llm import decontaminate, jaccard, langid, mixing, pivots, secrets, sharding, token_store, urls
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -16,6 +16,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text", sharding.text_size(F.col("text")).alias("size"), F.crc32("text").alias("text_crc32"))
     return sharding.shard(docs, 40).select(
@@ -53,6 +57,14 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.pairs(_docs(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,11 +74,14 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_sharding": op2_sharding,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
     "op5_secrets": op5_secrets,
     "op6_url_filters": op6_url_filters,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_token_store": op8_token_store,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLE: dict[str, str] = {}
