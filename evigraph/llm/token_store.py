@@ -20,8 +20,8 @@ emitted once.  Chunks are joined to recipes by narrow rows (key, length,
 checksum), never with their payload.
 
 Encoding.  Byte-level BPE works on pieces that no merge crosses.  The ids of a
-piece come from the library's model and are kept, at most ``CACHE`` of them, so
-that the words of a text are looked up.  Other tokenizers, and texts that hold a
+piece come from the library's model and are kept, two generations of at most
+``CACHE``, so that the words of a text are looked up.  Other tokenizers, and texts that hold a
 special token's string, go through the library whole.
 
 Defined cases: null text is empty and has only the end id; a null doc_id comes
@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -51,7 +52,7 @@ CUT_MASK = 255
 LEAST, MOST = 64, 1024
 KEY_BYTES = 16
 FANOUT = 1024
-CACHE = 600_000
+CACHE = 550_000
 PACK = "kind string, key binary, payload binary, doc_id long, n_tokens long, keys binary"
 #: Fixed value: how byte-level BPE splits a text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -61,31 +62,21 @@ class _Unsafe(Exception):
     """A unit whose ends could belong to a neighbour's piece."""
 
 
-class _Units(dict):
-    """Words after a single space -> ids as bytes."""
+class _Kept(dict):
+    """Ids as bytes of what was asked for; of two generations the older one goes when the newer one is full."""
 
-    def __init__(self, encoder: Encoder):
+    def __init__(self, make, size: int):
         super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise _Unsafe
-        if len(self) >= CACHE:
-            self.clear()
-        value = self[word] = self.encoder.unit(" " + word)
-        return value
-
-
-class _Pieces(dict):
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, text: str) -> bytes:
+        value = self.older.get(text)
+        if value is None:
+            value = self.make(text)
+        if len(self) >= self.size:
+            self.older = dict(self)
             self.clear()
-        value = self[piece] = self.encoder.model_ids(piece)
+        self[text] = value
         return value
 
 
@@ -108,10 +99,10 @@ class Encoder:
         hidden = [b for b in range(256) if b not in shown]
         self.bytes_as = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.pieces_of = regex.compile(PIECES).findall
-        self.pieces, self.units = _Pieces(self), _Units(self)
+        self.pieces, self.units = _Kept(self.model_ids, CACHE // 3), _Kept(self.after_space, CACHE)
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
 
     def whole(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -119,15 +110,23 @@ class Encoder:
     def model_ids(self, piece: str) -> bytes:
         return self.pack([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes_as))])
 
+    def after_space(self, word: str) -> bytes:
+        """Ids of a word and the single space before it; the word may hold line ends but not at its ends."""
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Unsafe
+        if word.isascii():
+            if word.isalpha():
+                return self.pack([t.id for t in self.model.tokenize(self.bytes_as[32] + word)])
+            if word[-1] in ".," and word[:-1].isalpha():
+                return self.units[word[:-1]] + self.pieces[word[-1]]
+        return self.unit(" " + word)
+
     def unit(self, text: str) -> bytes:
         """Ids of a text that starts and ends where pieces do."""
-        if text and max(text) >= "ɐ":  # letters that Unicode versions may class differently
+        if not text.isascii() and max(text) >= "ɐ":  # letters that Unicode versions may class differently
             return self.whole(text)
-        body = text[1:]
-        if body.isalpha():
+        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
             return self.model_ids(text)
-        if body[:-1].isalpha() and text[-1] in ".,":
-            return self.model_ids(text[:-1]) + self.pieces[text[-1]]
         return b"".join(map(self.pieces.__getitem__, self.pieces_of(text)))
 
     def encode(self, text: str) -> bytes:
