@@ -158,9 +158,11 @@ def train(labelled: DataFrame, per_language: int = 300, train_windows: int = 4,
     digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.md5(F.col(text))))
     first = Window.partitionBy("lang").orderBy("digest", "text")
     rows = labelled.where(F.col(lang).isNotNull() & F.rlike(F.col(text), F.lit(r"\p{L}")))
-    # a window limit of row_number() <= k is applied before and after the shuffle, so no group comes together
+    # first inside slices of a language, so that no language comes together
     rows = rows.select(F.col(lang).alias("lang"), F.substring(F.col(text), 1, 4 * WINDOW * train_windows).alias("text"), digest.alias("digest"))
-    rows = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).drop("n")
+    sliced = Window.partitionBy("lang", F.substring("digest", -2, 2)).orderBy("digest", "text")
+    for window, most in ((sliced, -(-per_language // 16)), (first, per_language)):
+        rows = rows.withColumn("n", F.row_number().over(window)).where(F.col("n") <= most).drop("n")
     got = sorted((r["lang"], r["digest"], r["text"]) for r in rows.collect())
     langs = sorted({g[0] for g in got})
     if not langs:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import decontaminate, jaccard, langid, mixing, pivots, secrets, sharding, token_store, urls
+from evigraph.llm import decontaminate, jaccard, langid, lines, mixing, pivots, secrets, sharding, token_store, urls
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -61,6 +61,10 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.pairs(_docs(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filters": op6_url_filters,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_token_store": op8_token_store,
+    "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
 }
 ORACLE: dict[str, str] = {}
