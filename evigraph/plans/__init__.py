@@ -1 +1,7 @@
-"""Plans of the engine."""
+"""Queries on the driver's tables."""
+
+from evigraph.plans import nodes
+from evigraph.plans.catalog import QUERIES as CATALOG_QUERIES
+from evigraph.plans.catalog import SQL as CATALOG_SQL
+
+__all__ = ["CATALOG_QUERIES", "CATALOG_SQL", "nodes"]
