@@ -91,12 +91,15 @@ def costs(edges: DataFrame, cutoff: float) -> DataFrame:
 
 def hop_costs(edges: DataFrame, target, max_hops: int) -> DataFrame:
     """(node, hops, cost): least cost to the target in at most ``hops`` steps, one min-join a hop."""
+    from evigraph.sources.state import cut
+
     spark = edges.sparkSession
     now = spark.createDataFrame([(target, 0.0)], f"node {edges.schema['dst'].dataType.simpleString()}, cost double")
     out = now.withColumn("hops", F.lit(0))
     for hop in range(1, max_hops + 1):
         step = edges.join(now.select(F.col("node").alias("dst"), F.col("cost").alias("rest")), "dst").select(F.col("src").alias("node"), (F.col("cost") + F.col("rest")).alias("cost"))
-        now = now.unionByName(step).groupBy("node").agg(F.min("cost").alias("cost"))
+        # one row a node; without the cut each hop would double the plan
+        now = cut(now.unionByName(step).groupBy("node").agg(F.min("cost").alias("cost")), "hops")
         out = out.unionByName(now.withColumn("hops", F.lit(hop)))
     return out
 
@@ -108,12 +111,14 @@ def top_paths(edges: DataFrame, start, target, k: int, max_hops: int, width: int
     k-th cost is a bound, and the full expansion drops whatever can't get below
     it.  ``edges``: (src, dst, p, cost).  ``allowed``: nodes that may lie between.
     """
+    from evigraph.sources.state import cut
+
     edges = edges.where(F.col("src") != F.col("dst")).select("src", "dst", "cost")
     if allowed is not None:
         ends = allowed.select("node").unionByName(edges.sparkSession.createDataFrame([(start,), (target,)], f"node {edges.schema['dst'].dataType.simpleString()}")).distinct()
         edges = edges.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    best = hop_costs(edges, target, max_hops).persist()
-    steps = edges.persist()
+    steps = cut(edges, "steps")
+    best = cut(hop_costs(steps, target, max_hops), "best")
 
     def expand(bound: float | None) -> DataFrame:
         spark = edges.sparkSession
@@ -128,6 +133,7 @@ def top_paths(edges: DataFrame, start, target, k: int, max_hops: int, width: int
                 grown = grown.where(F.col("cost") + F.col("rest") <= bound + 1e-9)
             else:
                 grown = grown.orderBy(F.col("cost") + F.col("rest"), "nodes").limit(width)
+            grown = cut(grown, "paths")
             done = done.unionByName(grown.where(F.col("dst") == F.lit(target)).select("nodes", "cost"))
             open_ = grown.where(F.col("dst") != F.lit(target)).select("nodes", "cost")
         return done.orderBy("cost", "nodes").limit(k)
@@ -149,8 +155,7 @@ def reachable(edges: DataFrame, start, max_rounds: int = 64) -> DataFrame:
 
     spark = edges.sparkSession
     seen = spark.createDataFrame([(start, 0)], f"node {edges.schema['dst'].dataType.simpleString()}, hops int")
-    edge = front = None
-    edge, front = edges.select("src", "dst").distinct().persist(), seen
+    edge, front = cut(edges.select("src", "dst").distinct(), "reach"), seen
     for hop in range(1, max_rounds + 1):
         fresh = front.select(F.col("node").alias("src")).join(edge, "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(hop))
         front = cut(fresh, "front")
