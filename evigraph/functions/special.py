@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -39,15 +40,25 @@ def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return incomplete_beta(df / 2, np.full_like(df, 0.5), df / (df + t * t))
 
 
-@F.pandas_udf("double")
-def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
-    ok = t.notna() & df.notna() & (df > 0)
-    out = pd.Series(np.nan, index=t.index)
-    if ok.any():
-        out[ok] = t_two_sided(t[ok].to_numpy(), df[ok].to_numpy())
-    return out.astype(object).where(ok, None)
+def _column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("double")
-def erfc(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if pd.isna(v) else math.erfc(v)).astype(object)
+def t_pvalue(t: Column | str, df: Column | str) -> Column:
+    """Two-sided p of Student's t; null for missing arguments."""
+
+    def run(t: pd.Series, df: pd.Series) -> pd.Series:
+        ok = (t.notna() & df.notna() & (df > 0)).to_numpy()
+        p = t_two_sided(np.where(ok, t, 0.0), np.where(ok, df, 1.0))
+        return pd.Series([float(v) if k else None for v, k in zip(p, ok, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "double")(_column(t).cast("double"), _column(df).cast("double"))
+
+
+def erfc(x: Column | str) -> Column:
+    """Complementary error function; null stays null."""
+
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(v) else math.erfc(v) for v in x], dtype=object)
+
+    return F.pandas_udf(run, "double")(_column(x).cast("double"))

@@ -18,9 +18,9 @@ def average_rank(rows: DataFrame, group: list[str], value: str, name: str) -> Da
 def spearman(rows: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     """Correlation of average ranks; null for fewer than three rows or a constant side."""
     ranked = average_rank(average_rank(rows, group, x, "_rx"), group, y, "_ry")
-    out = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("r"), F.stddev_pop("_rx").alias("_sx"), F.stddev_pop("_ry").alias("_sy"))
+    out = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("_rx", "_ry").alias("c"), F.stddev_pop("_rx").alias("_sx"), F.stddev_pop("_ry").alias("_sy"))
     ok = (F.col("n") >= 3) & (F.col("_sx") > 0) & (F.col("_sy") > 0)
-    return out.select(*group, "n", F.when(ok, F.col("r")).alias("spearman"))
+    return out.select(*group, "n", F.when(ok, F.col("c") / F.when(F.col("_sx") * F.col("_sy") > 0, F.col("_sx") * F.col("_sy"))).alias("spearman"))
 
 
 def signed_rank(rows: DataFrame, group: list[str], value: str) -> DataFrame:
