@@ -378,7 +378,7 @@ def item_windows(t: Tables) -> DataFrame:
 
 @query(
     "pwm_topn",
-    f"WITH {WGT}, sc AS (SELECT item_id, \"at\", w, model, round(sum(weight), 6) AS score FROM wi JOIN wt ON letter = substr(w, pos + 1, 1) pos >= 0 GROUP BY 1, 2, 3, 4), "
+    f"WITH {WGT}, sc AS (SELECT item_id, \"at\", w, model, round(sum(weight), 6) AS score FROM wi JOIN wt ON letter = substr(w, pos + 1, 1) GROUP BY 1, 2, 3, 4), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, \"at\", model) AS rank FROM sc) SELECT item_id, \"at\"::INT AS \"at\", model::INT AS model, score, rank FROM r WHERE rank <= 10",
 )
 def pwm(t: Tables) -> DataFrame:
