@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm import decontaminate, jaccard, langid, lines, mixing, pivots, secrets, sharding, token_store, urls
+from evigraph.llm.oracle import ORACLE
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -89,4 +90,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES"]
