@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions import kernels as K
+from evigraph.operators.order import totals_before
 
 
 @dataclass(frozen=True)
@@ -111,9 +112,8 @@ def quantile_curve(values: DataFrame, value: str, steps: int = 100) -> DataFrame
     return values.agg(F.percentile(value, F.array(*[F.lit(q) for q in qs])).alias("q")).select(F.posexplode("q").alias("step", "value"))
 
 
-def percentile_position(values: DataFrame, key: str, value: str, tolerance: float = 1e-12) -> DataFrame:
+def percentile_position(values: DataFrame, key: str, value: str) -> DataFrame:
     """Shares below and tied, for every key: a running count over the different values, which are joined back."""
     counted = values.groupBy(value).agg(F.count(F.lit(1)).alias("ties"))
-    below = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counted.withColumn("below", F.coalesce(F.sum("ties").over(below), F.lit(0))).withColumn("total", F.sum("ties").over(Window.partitionBy()))
+    ranked = totals_before(counted, [value], "ties", "below").join(F.broadcast(values.agg(F.count(value).alias("total"))))  # one row
     return values.join(ranked, value).select(key, value, (F.col("below") / F.col("total")).alias("share_below"), (F.col("ties") / F.col("total")).alias("share_tied"))

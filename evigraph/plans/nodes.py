@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evigraph.functions import kernels as K
 from evigraph.functions.keys import joined_set
 from evigraph.operators import evidence as E
+from evigraph.operators.order import with_rank
 from evigraph.plans.catalog import Tables, query, rounded
 
 LIK = "greatest(0.5, 1 - exp(-0.5 * power(greatest({x}, 0) / ({t}), 2)))"
@@ -120,10 +121,7 @@ POST = f"{LEDGER}, post AS (SELECT symbol, sum(weight * ln(factor)) AS log_odds
 def node_posterior(t: Tables) -> DataFrame:
     rows = E.integrate(ledger(t), ["symbol"])
     nine = F.round("posterior", 9)
-    from pyspark.sql import Window
-
-    ranked = rows.select("symbol", "log_odds", "posterior", (nine > 0.5).alias("selected"), F.rank().over(Window.orderBy(nine.desc())).cast("long").alias("rank"))
-    return rounded(ranked)
+    return rounded(with_rank(rows.select("symbol", "log_odds", "posterior", (nine > 0.5).alias("selected")), -nine))
 
 
 @query(
@@ -230,12 +228,10 @@ def node_pivot(t: Tables) -> DataFrame:
     "r AS (SELECT symbol, rank() OVER (ORDER BY round(z0, 9) DESC) AS before, rank() OVER (ORDER BY round(z, 9) DESC) AS after FROM a) SELECT symbol, before, after, before - after AS rank_change FROM r",
 )
 def node_rank_change(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     step = F.col("weight") * F.ln("factor")
     rows = ledger(t).groupBy("symbol").agg(F.sum(step).alias("z"), F.sum(F.when(F.col("ord") < 3, step).otherwise(0.0)).alias("z0"))
-    rank = lambda c: F.rank().over(Window.orderBy(F.round(c, 9).desc())).cast("long")
-    return rows.select("symbol", rank("z0").alias("before"), rank("z").alias("after")).withColumn("rank_change", F.col("before") - F.col("after"))
+    ranked = with_rank(with_rank(rows, -F.round("z0", 9), "before"), -F.round("z", 9), "after")
+    return ranked.select("symbol", "before", "after", (F.col("before") - F.col("after")).alias("rank_change"))
 
 
 @query(
