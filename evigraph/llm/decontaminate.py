@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.wordhash import WordHashes, grams
+from evigraph.llm.wordhash import WordHashes, grams, worker_hashes
 
 GRAM = 3
 STRETCH = 3
@@ -37,7 +37,11 @@ FOUND = "array<struct<item_id: long, score: double, begin: int, end: int>>"
 
 
 def plain(word: str) -> bytes:
-    return "".join(c for c in word.lower() if c.isalnum()).encode()
+    word = word.lower()
+    bare = word.strip(".,;:!?\"'()[]")
+    if bare.isalnum():
+        return bare.encode()
+    return "".join(c for c in word if c.isalnum()).encode()
 
 
 def words_of(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -95,7 +99,7 @@ def count_documents(docs: DataFrame, items: Items, text: str) -> dict[tuple[int,
     tables = items.tables()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes(plain)
+        hashes = worker_hashes("plain", plain)
         sums = {n: np.zeros(len(keys), np.int64) for n, (keys, _) in tables.items()}
         for batch in batches:
             for body in batch[text]:
@@ -207,7 +211,7 @@ def annotate(docs: DataFrame, items: DataFrame, threshold: float = 0.4, text: st
 
 def _examiner(chosen: Items, threshold: float):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hashes, tables = WordHashes(plain), chosen.tables()
+        hashes, tables = worker_hashes("plain", plain), chosen.tables()
         for texts in batches:
             found = (examine(words_of(body, hashes), chosen, tables, threshold) for body in texts)
             yield pd.Series([[{"item_id": i, "score": s, "begin": b, "end": e} for i, s, b, e in hits] for hits in found], dtype=object)

@@ -26,6 +26,16 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_of_worker: dict[str, WordHashes] = {}
+
+
+def worker_hashes(name: str, normal=None) -> WordHashes:
+    """The hashes that all tasks of a Python worker share."""
+    if name not in _of_worker:
+        _of_worker[name] = WordHashes(normal)
+    return _of_worker[name]
+
+
 #: Odd multipliers of the places in a gram.
 PLACES = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF | 1) for i in range(16)]
 
