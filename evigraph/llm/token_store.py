@@ -52,7 +52,7 @@ CUT_MASK = 255
 LEAST, MOST = 64, 1024
 KEY_BYTES = 16
 FANOUT = 1024
-CACHE = 550_000
+CACHE = 700_000
 PACK = "kind string, key binary, payload binary, doc_id long, n_tokens long, keys binary"
 #: Fixed value: how byte-level BPE splits a text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -99,7 +99,7 @@ class Encoder:
         hidden = [b for b in range(256) if b not in shown]
         self.bytes_as = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.pieces_of = regex.compile(PIECES).findall
-        self.pieces, self.units = _Kept(self.model_ids, CACHE // 3), _Kept(self.after_space, CACHE)
+        self.pieces, self.heads, self.units = _Kept(self.model_ids, CACHE // 4), _Kept(self.at_start, CACHE // 4), _Kept(self.after_space, CACHE)
 
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
@@ -108,26 +108,33 @@ class Encoder:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def model_ids(self, piece: str) -> bytes:
-        return self.pack([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes_as))])
+        if piece.isascii() and piece.isprintable():
+            shown = piece.replace(" ", self.bytes_as[32])
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.bytes_as)
+        return self.pack([t.id for t in self.model.tokenize(shown)])
 
     def after_space(self, word: str) -> bytes:
         """Ids of a word and the single space before it; the word may hold line ends but not at its ends."""
+        return self.word(" ", word, self.units)
+
+    def at_start(self, word: str) -> bytes:
+        return self.word("", word, self.heads)
+
+    def word(self, before: str, word: str, kept: _Kept) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Unsafe
-        if word.isascii():
-            if word.isalpha():
-                return self.pack([t.id for t in self.model.tokenize(self.bytes_as[32] + word)])
-            if word[-1] in ".," and word[:-1].isalpha():
-                return self.units[word[:-1]] + self.pieces[word[-1]]
-        return self.unit(" " + word)
-
-    def unit(self, text: str) -> bytes:
-        """Ids of a text that starts and ends where pieces do."""
-        if not text.isascii() and max(text) >= "ɐ":  # letters that Unicode versions may class differently
-            return self.whole(text)
-        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
-            return self.model_ids(text)
-        return b"".join(map(self.pieces.__getitem__, self.pieces_of(text)))
+        if not word.isascii() and max(word) >= "ɐ":  # letters that Unicode versions may class differently
+            return self.whole(before + word)
+        if word.isalpha():
+            return self.model_ids(before + word)
+        if word[-1] in ".," and word[:-1].isalpha():
+            return kept[word[:-1]] + self.pieces[word[-1]]
+        if "\n" in word:  # a single line end between others' characters is a piece of its own
+            first, *rest = word.split("\n")
+            if all(p and not p[0].isspace() and not p[-1].isspace() for p in (first, *rest)):
+                return kept[first] + b"".join(self.pieces["\n"] + self.heads[p] for p in rest)
+        return b"".join(map(self.pieces.__getitem__, self.pieces_of(before + word)))
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -136,9 +143,10 @@ class Encoder:
             return self.whole(text)
         first, *rest = text.split(" ")
         try:
-            if rest and (not first or first[-1].isspace()):
+            if rest and not first:
                 raise _Unsafe
-            return self.unit(first) + b"".join(map(self.units.__getitem__, rest))
+            start = self.heads[first] if first else b""
+            return start + b"".join(map(self.units.__getitem__, rest))
         except _Unsafe:
             if max(text) >= "ɐ":
                 return self.whole(text)
