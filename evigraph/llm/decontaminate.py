@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.wordhash import WordHashes, grams, worker_hashes
+from evigraph.llm.wordhash import WordHashes, grams, trim, worker_hashes
 
 GRAM = 3
 STRETCH = 3
@@ -112,6 +112,7 @@ def count_documents(docs: DataFrame, items: Items, text: str) -> dict[tuple[int,
         for n, s in sums.items():
             held = np.flatnonzero(s)
             yield pd.DataFrame({"n": np.full(len(held), n), "at": held, "docs": s[held]})
+        trim()
 
     rows = docs.select(text).mapInPandas(run, "n int, at long, docs long").groupBy("n", "at").agg(F.sum("docs").alias("docs")).collect()
     return {(r["n"], int(tables[r["n"]][0][r["at"]])): r["docs"] for r in rows}
@@ -215,6 +216,7 @@ def _examiner(chosen: Items, threshold: float):
         for texts in batches:
             found = (examine(words_of(body, hashes), chosen, tables, threshold) for body in texts)
             yield pd.Series([[{"item_id": i, "score": s, "begin": b, "end": e} for i, s, b, e in hits] for hits in found], dtype=object)
+        trim()
 
     return F.pandas_udf(run, FOUND)
 

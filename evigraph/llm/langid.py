@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph.llm.wordhash import trim
+
 WINDOW = 192
 BATCH = 48
 EMBED = 8
@@ -185,6 +187,7 @@ def predict(docs: DataFrame, model: ByteCNN | None, text: str = "text") -> DataF
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame(predict_texts(model, list(texts)), columns=["lang_pred", "score"])
+        trim()
 
     guess = F.pandas_udf(run, PREDICTED)
     return docs.select(*kept, guess(F.col(text)).alias("_g")).select(*kept, "_g.lang_pred", "_g.score")

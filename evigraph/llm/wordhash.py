@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import xxhash
 
-CACHE = 400_000
+CACHE = 150_000
 
 
 class WordHashes(dict):
@@ -36,6 +38,14 @@ def worker_hashes(name: str, normal=None) -> WordHashes:
     return _of_worker[name]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: workers live on from task to task, and their peaks would add up."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 #: Odd multipliers of the places in a gram.
 PLACES = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF | 1) for i in range(16)]
 
