@@ -1,13 +1,17 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased and stripped of all but letters and digits.  Every stretch
-of ``STRETCH`` successive n-grams of a test item gives one seed, the n-gram that
-the fewest documents hold (counted over all documents), so that edited copies
-keep some seeds and common phrases fetch nothing.  Where a document holds a
-seed, the passage around it is aligned with the item, word by word: +1 for equal
-words, -1 for others and for gaps.  A document is contaminated by an item if the
-best local score is ``threshold`` of the item's words or more; items of fewer
-than ``LEAST_WORDS`` words must be found whole.
+Words are lower-cased and stripped of all but letters and digits.  A document is
+contaminated by an item if the best local alignment, word by word with +1 for
+equal words and -1 for others and for gaps, scores ``threshold`` of the item's
+words or more; items of fewer than ``LEAST_WORDS`` words must be found whole.
+
+Seeds lose no such document.  An alignment that scores T has runs of equal words
+with an error between any two, so its runs hold T - 1 pairs of successive words
+or more.  Of an item's L - 1 pairs any L - T + 1 hence include one that the
+document holds: those that the fewest documents hold (counted over all) are the
+seeds, and the T - 2 most frequent ones fetch nothing.  Such an alignment has at
+most L - T errors, which bounds the passage around a seed that it can lie in; the
+passage is aligned if it holds T - 1 of the item's pairs.
 
 Test items are a stated query set: they go out with the tasks in blocks of at
 most ``block_items`` items and ``block_words`` words, each block against all
@@ -20,6 +24,7 @@ carried along (``contamination`` is replaced).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,8 +35,6 @@ from pyspark.sql import functions as F
 
 from evigraph.llm.wordhash import WordHashes, grams, trim, worker_hashes
 
-GRAM = 3
-STRETCH = 3
 LEAST_WORDS = 8
 FOUND = "array<struct<item_id: long, score: double, begin: int, end: int>>"
 
@@ -49,28 +52,44 @@ def words_of(text: str | None, hashes: WordHashes) -> np.ndarray:
     return w[w != 0]
 
 
-def gram_size(n_words: int) -> int:
-    return min(GRAM, n_words)
+def least_score(n_words: int, threshold: float) -> int:
+    """The least whole score that counts as found."""
+    return max(1, math.ceil(threshold * n_words - 1e-9)) if n_words >= LEAST_WORDS else n_words
+
+
+def gram_size(least: int) -> int:
+    """A score of one needs no more than a word."""
+    return 2 if least >= 2 else 1
+
+
+@dataclass
+class Index:
+    """Grams of one size in order, and the places ``first[k]`` to ``first[k + 1]`` that hold the k-th."""
+
+    keys: np.ndarray
+    first: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+    seed: np.ndarray
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes, and a bitmap of their low bits that few others pass."""
+        bits = np.zeros(1 << 20, bool)
+        bits[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        return self.keys, bits
 
 
 @dataclass
 class Items:
-    """A block of test items, with the seeds chosen for each."""
+    """A block of test items, with their grams by the gram's number of words."""
 
     ids: list
     words: list[np.ndarray]
-    #: hash -> [(item, place)], by the gram's number of words
-    seeds: dict[int, dict[int, list[tuple[int, int]]]]
+    least: np.ndarray
+    index: dict[int, Index]
 
     def tables(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """By gram size: the hashes in order, and a bitmap of their low bits that few others pass."""
-        out = {}
-        for n, found in self.seeds.items():
-            bits = np.zeros(1 << 20, bool)
-            keys = np.array(sorted(found), np.uint64)
-            bits[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            out[n] = (keys, bits)
-        return out
+        return {n: x.table() for n, x in self.index.items()}
 
 
 def spots(text_grams: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -83,15 +102,20 @@ def spots(text_grams: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.nd
     return maybe[keys[np.minimum(at, len(keys) - 1)] == text_grams[maybe]]
 
 
-def all_grams(ids: list, texts: list[str | None]) -> Items:
+def all_grams(ids: list, texts: list[str | None], threshold: float) -> Items:
     hashes = WordHashes(plain)
     words = [words_of(t, hashes) for t in texts]
-    seeds: dict[int, dict[int, list[tuple[int, int]]]] = {}
-    for i, w in enumerate(words):
-        n = gram_size(len(w))
-        for place, g in enumerate(grams(w, n).tolist() if n else []):
-            seeds.setdefault(n, {}).setdefault(g, []).append((i, place))
-    return Items(ids, words, seeds)
+    least = np.array([least_score(len(w), threshold) for w in words], np.int64)
+    index = {}
+    for n in sorted({gram_size(t) for w, t in zip(words, least, strict=True) if len(w)}):
+        own = [(i, grams(w, n)) for i, w in enumerate(words) if len(w) and gram_size(least[i]) == n]
+        every = np.concatenate([g for _, g in own])
+        order = np.argsort(every, kind="stable")
+        keys, first = np.unique(every[order], return_index=True)
+        item = np.concatenate([np.full(len(g), i) for i, g in own])[order]
+        place = np.concatenate([np.arange(len(g)) for _, g in own])[order]
+        index[n] = Index(keys, np.append(first, len(every)), item, place, np.zeros(len(every), bool))
+    return Items(ids, words, least, index)
 
 
 def count_documents(docs: DataFrame, items: Items, text: str) -> dict[tuple[int, int], int]:
@@ -115,21 +139,23 @@ def count_documents(docs: DataFrame, items: Items, text: str) -> dict[tuple[int,
         trim()
 
     rows = docs.select(text).mapInPandas(run, "n int, at long, docs long").groupBy("n", "at").agg(F.sum("docs").alias("docs")).collect()
-    return {(r["n"], int(tables[r["n"]][0][r["at"]])): r["docs"] for r in rows}
+    return {(r["n"], r["at"]): r["docs"] for r in rows}
 
 
 def rare_seeds(items: Items, docs_with: dict[tuple[int, int], int]) -> Items:
-    seeds: dict[int, dict[int, list[tuple[int, int]]]] = {}
-    for i, w in enumerate(items.words):
-        n = gram_size(len(w))
-        own = grams(w, n).tolist() if n else []
-        rank = [(docs_with.get((n, g), 0), g) for g in own]
-        for first in range(max(1, len(own) - STRETCH + 1) if own else 0):
-            place = min(range(first, min(first + STRETCH, len(own))), key=lambda p: (rank[p], p))
-            at = seeds.setdefault(n, {}).setdefault(own[place], [])
-            if (i, place) not in at:
-                at.append((i, place))
-    return Items(items.ids, items.words, seeds)
+    """Marks L - T + 1 places of each item, those whose grams the fewest documents hold."""
+    index = {}
+    for n, x in items.index.items():
+        held = np.array([docs_with.get((n, k), 0) for k in range(len(x.keys))], np.int64)
+        held = np.repeat(held, np.diff(x.first))
+        order = np.lexsort((x.place, held, x.item))
+        starts = np.flatnonzero(np.diff(x.item[order], prepend=-1))
+        rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        lengths = np.array([len(w) for w in items.words])
+        seed = np.zeros(len(order), bool)
+        seed[order] = rank <= (lengths - items.least)[x.item[order]]
+        index[n] = Index(x.keys, x.first, x.item, x.place, seed)
+    return Items(items.ids, items.words, items.least, index)
 
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -149,12 +175,11 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def passages(starts: list[int], length: int, n_words: int) -> list[tuple[int, int]]:
-    """Stretches of a text in which an item that seems to start there may lie."""
-    pad = length // 2 + 4
+def passages(starts: list[int], length: int, errors: int, n_words: int) -> list[tuple[int, int]]:
+    """Stretches of a text in which an item that seems to start there may lie, with so many errors."""
     out: list[tuple[int, int]] = []
     for s in sorted(set(starts)):
-        a, b = max(0, s - pad), min(n_words, s + length + pad)
+        a, b = max(0, s - errors), min(n_words, s + length + errors)
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -162,25 +187,45 @@ def passages(starts: list[int], length: int, n_words: int) -> list[tuple[int, in
     return out
 
 
-def examine(words: np.ndarray, items: Items, tables: dict[int, tuple[np.ndarray, np.ndarray]], threshold: float) -> list[tuple]:
+def places(words: np.ndarray, items: Items, tables: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, list[int]]:
+    """By item, where in the text it seems to start: at seeds with enough of its grams around them."""
     starts: dict[int, list[int]] = {}
     for n, table in tables.items():
         g = grams(words, n)
-        if len(g):
-            for p in spots(g, table).tolist():
-                for i, place in items.seeds[n][int(g[p])]:
-                    starts.setdefault(i, []).append(p - place)
+        p = spots(g, table) if len(g) else g
+        if not len(p):
+            continue
+        x = items.index[n]
+        at = np.searchsorted(x.keys, g[p])
+        many = x.first[at + 1] - x.first[at]
+        row = np.arange(many.sum()) + np.repeat(x.first[at] - (np.cumsum(many) - many), many)
+        p, item, seed = np.repeat(p, many), x.item[row], x.seed[row]
+        counts = np.bincount(item, minlength=len(items.ids))
+        fetched = np.unique(item[seed])
+        for i in fetched[counts[fetched] >= items.least[fetched] - n + 1].tolist():
+            shared = items.least[i] - n + 1
+            own, length = item == i, len(items.words[i])
+            begin = (p - x.place[row])[own & seed]
+            held = np.unique(p[own])
+            errors = length - items.least[i]
+            near = np.searchsorted(held, begin + length + errors) - np.searchsorted(held, begin - errors)
+            # an alignment uses each place of the text once
+            if (begin := begin[near >= shared]).size:
+                starts[i] = begin.tolist()
+    return starts
+
+
+def examine(words: np.ndarray, items: Items, tables: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
     out = []
-    for i, at in sorted(starts.items()):
-        item = items.words[i]
-        need = threshold * len(item) if len(item) >= LEAST_WORDS else len(item)
+    for i, at in sorted(places(words, items, tables).items()):
+        item, least = items.words[i], int(items.least[i])
         best = (0, 0, 0)
-        for a, b in passages(at, len(item), len(words)):
+        for a, b in passages(at, len(item), len(item) - least, len(words)):
             score, end = smith_waterman(item, words[a:b])
             if score > best[0]:
                 best = (score, a, a + end)
         score, a, end = best
-        if score and score >= need - 1e-9:
+        if score >= least:
             _, back = smith_waterman(item[::-1], words[a:end][::-1])
             out.append((items.ids[i], score / len(item), end - back, end))
     return out
@@ -204,17 +249,17 @@ def annotate(docs: DataFrame, items: DataFrame, threshold: float = 0.4, text: st
     kept = [c for c in docs.columns if c != "contamination"]
     out = docs.select(*kept, F.array().cast(FOUND).alias("contamination"))
     for ids, texts in blocks(items, item_id, item_text, block_items, block_words):
-        every = all_grams(ids, texts)
+        every = all_grams(ids, texts, threshold)
         chosen = rare_seeds(every, count_documents(docs, every, text))
-        out = out.withColumn("contamination", F.concat("contamination", _examiner(chosen, threshold)(F.col(text))))
+        out = out.withColumn("contamination", F.concat("contamination", _examiner(chosen)(F.col(text))))
     return out
 
 
-def _examiner(chosen: Items, threshold: float):
+def _examiner(chosen: Items):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hashes, tables = worker_hashes("plain", plain), chosen.tables()
         for texts in batches:
-            found = (examine(words_of(body, hashes), chosen, tables, threshold) for body in texts)
+            found = (examine(words_of(body, hashes), chosen, tables) for body in texts)
             yield pd.Series([[{"item_id": i, "score": s, "begin": b, "end": e} for i, s, b, e in hits] for hits in found], dtype=object)
         trim()
 

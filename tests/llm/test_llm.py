@@ -462,6 +462,31 @@ def test_decontamination(spark):
     assert decontaminate.pairs(d, b.where("false")).count() == 0 and decontaminate.pairs(d.where("false"), b).count() == 0
 
 
+def test_edited_copies_are_all_found(spark):
+    """Every 4th or 5th word replaced, words put in, frequent words: what scores 0.4 by brute force is found, and nothing else."""
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [(i, [rng.choice(vocabulary) for _ in range(n)]) for i, n in enumerate([9, 15, 20, 40, 60, 3, 1])]
+    docs = []
+    for key, item in items:
+        for step in (2, 3, 4, 5, 9):
+            edited = ["edit" if k % step == step - 1 else w for k, w in enumerate(item)]
+            more = [x for k, w in enumerate(item) for x in ([w, "more"] if k % step == step - 1 else [w])]
+            half = item[: len(item) * 2 // step]
+            docs += [[rng.choice(vocabulary) for _ in range(30)] + body + [rng.choice(vocabulary) for _ in range(30)] for body in (edited, more, half)]
+    docs += [item for _, item in items]
+    want = set()
+    for d, body in enumerate(docs):
+        for i, item in items:
+            score = slow_alignment(item, body)
+            if score >= (0.4 * len(item) if len(item) >= 8 else len(item)):
+                want.add((d, i, round(score / len(item), 6)))
+    rows = spark.createDataFrame([(d, " ".join(body)) for d, body in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(item)) for i, item in items], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["score"]) for r in decontaminate.pairs(rows, b).collect()} == want
+    assert len(want) > 40
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
