@@ -5,8 +5,11 @@ Vectors are described by the ordered list of their nearest reference points
 vectors are compared if they share ``min_shared`` pivots or more, and linked if
 their cosine in double precision reaches ``threshold``.  Pivots are vectors of
 the table itself, those with the smallest digests: a bounded sample, whose size
-grows with the table up to ``MAX_PIVOTS``, so lists keep their length.  Every
-vector is indexed; recall against brute force is a test.
+grows with the table up to ``MAX_PIVOTS``.  A pivot whose cosine with an earlier
+one reaches ``APART`` is left out: a dense group, however large, has few pivots of
+its own, which all its members name, and recall doesn't fall with the group's
+size; lists of dense groups grow with them and are compared whole.  Every vector
+is indexed; recall against brute force is a test.
 
 Whole copies are one class with a count, so copies are never paired.  Lists are
 dealt out in blocks: a list of c chunks becomes its pairs of chunks, each a task
@@ -37,6 +40,7 @@ from evigraph.llm.components import components
 PER_PIVOT = 100
 MIN_PIVOTS, MAX_PIVOTS = 48, 8192
 NEAREST = 10
+APART = 0.5
 CHUNK = 512
 
 
@@ -52,6 +56,17 @@ def classes(vectors: DataFrame) -> DataFrame:
     return rows.groupBy(*digests).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("label").alias("label"), F.first("v").alias("v"))
 
 
+def apart(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors, in order, without those too close to an earlier one that stays."""
+    out = np.empty_like(vectors)
+    n = 0
+    for v in vectors:
+        if n == 0 or (out[:n] @ v).max() < APART:
+            out[n] = v
+            n += 1
+    return out[:n]
+
+
 def describe(rows: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> DataFrame:
     """Adds ``order``: the numbers of the nearest pivots, nearest first."""
 
@@ -82,6 +97,7 @@ def compare(batch: list[pd.DataFrame], threshold: float, min_shared: int) -> pd.
     v = np.stack(rows["v"].to_numpy())
     v = v / np.linalg.norm(v, axis=1, keepdims=True)
     order = np.sort(np.stack(rows["order"].to_numpy()), axis=1)
+    min_shared = min(min_shared, order.shape[1])  # a table of one dense group has one pivot
     first = np.arange(len(rows)) if same else np.flatnonzero(rows["side"].to_numpy() == 0)
     second = first if same else np.flatnonzero(rows["side"].to_numpy() == 1)
     rep, mult = rows["rep"].to_numpy(), rows["mult"].to_numpy()
@@ -135,7 +151,7 @@ def link(vectors: DataFrame, threshold: float = 0.93, nearest: int = NEAREST, mi
         n = int(min(MAX_PIVOTS, max(MIN_PIVOTS, row["count"] // PER_PIVOT)))
         got = reps.where(F.size("v") == row["dim"]).orderBy("h1", "h2").limit(n).select("v").collect()
         p = np.array([g["v"] for g in got], float)
-        pivots[row["dim"]] = p / np.linalg.norm(p, axis=1, keepdims=True)
+        pivots[row["dim"]] = apart(p / np.linalg.norm(p, axis=1, keepdims=True))
     described = describe(reps.select("rep", "mult", "label", "v"), pivots, nearest)
     listed = described.select("*", F.size("v").alias("dim"), F.explode("order").alias("pivot"))
     listed = materialize(listed, "lists") if facts else listed

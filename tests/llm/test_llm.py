@@ -306,6 +306,23 @@ def test_pivots_against_brute_force(spark):
     assert pivots.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+@pytest.mark.parametrize(("near", "others"), [(2000, 4000), (600, 0)])
+def test_pivots_in_a_dense_group(spark, monkeypatch, near, others):
+    """Different near copies of one vector, with many pivots of their own."""
+    monkeypatch.setattr(pivots, "PER_PIVOT", 10)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(near + others, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[:near] = v[0] + v[:near] * math.tan(math.acos(0.97))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    links = v @ v.T >= 0.93
+    np.fill_diagonal(links, False)
+    want = links.sum(axis=1)
+    got = {r["vec_id"]: r["n_links"] for r in pivots.link(spark.createDataFrame([(i, x, 1) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>, label int").repartition(4)).collect()}
+    have = np.array([got[i] for i in range(len(v))])
+    assert want.sum() > near and have.sum() >= 0.95 * want.sum() and (have <= want).all()
+
+
 TOKEN_TEXTS = ["Hello  world, it's \n\n fine.", " lead and trail ", "ünïcode naïve façade 日本語 tokens", "a\nb c\n", "x" * 3000, "", None, "<|endoftext|> inside", "don't we'll 12 34ab, (x) …", "tab\tand nbsp thing"]
 
 
