@@ -1,8 +1,9 @@
 """Calibration of weights and thresholds on positive controls.
 
-The control rows are few, so the objective runs on the driver:
-mean of -ln p plus a quadratic pull to preferred values, minimized inside bounds
-by direction-set line searches with golden sections, from up to three starts.
+The objective runs on the driver, over all controls; equal ones can be given once
+with their number (``counts``): mean of -ln p plus a quadratic pull to preferred
+values, minimized inside bounds by direction-set line searches with golden
+sections, from up to three starts.
 """
 
 from __future__ import annotations
@@ -31,12 +32,12 @@ class Parameter:
         return min(self.high, max(self.low, math.exp(z) if self.log else z))
 
 
-def objective(parameters: list[Parameter], probability: Callable[[dict[str, float]], np.ndarray], pull: float) -> Callable[[np.ndarray], float]:
+def objective(parameters: list[Parameter], probability: Callable[[dict[str, float]], np.ndarray], pull: float, counts: np.ndarray | None = None) -> Callable[[np.ndarray], float]:
     def value(z: np.ndarray) -> float:
         theta = {p.name: p.outer(v) for p, v in zip(parameters, z, strict=True)}
         p = np.clip(np.asarray(probability(theta), float), 1e-15, 1.0)
         away = [((p_.inner(theta[p_.name]) - p_.inner(p_.preferred)) / p_.scale) ** 2 for p_ in parameters]
-        return float(-np.log(p).mean() + pull * np.mean(away))
+        return float(-np.average(np.log(p), weights=counts) + pull * np.mean(away))
 
     return value
 
@@ -58,9 +59,9 @@ def line_search(f: Callable[[float], float], low: float, high: float, rounds: in
     return min((low, high, (a + b) / 2), key=f)
 
 
-def calibrate(parameters: list[Parameter], probability: Callable[[dict[str, float]], np.ndarray], pull: float = 0.1, sweeps: int = 25, tolerance: float = 1e-10) -> dict:
+def calibrate(parameters: list[Parameter], probability: Callable[[dict[str, float]], np.ndarray], pull: float = 0.1, sweeps: int = 25, tolerance: float = 1e-10, counts: np.ndarray | None = None) -> dict:
     """Best values, the loss at the start and at the end, and whether it improved."""
-    loss = objective(parameters, probability, pull)
+    loss = objective(parameters, probability, pull, counts)
     low = np.array([p.inner(p.low) for p in parameters])
     high = np.array([p.inner(p.high) for p in parameters])
     first = np.array([p.inner(p.start) for p in parameters])

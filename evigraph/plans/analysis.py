@@ -476,19 +476,20 @@ def close_names(t: Tables) -> DataFrame:
 
 @query("calibrate_positive_controls")
 def calibrate(t: Tables) -> DataFrame:
-    """Weights and threshold of one stream, fitted to the few control parts (the largest sizes)."""
+    """Weights and threshold of one stream, fitted to all control parts (the largest sizes)."""
     from evigraph.operators.evidence import background_threshold
 
     values = quantity(t)
     tq = background_threshold(values, "x").first()["tq"]
     controls = values.join(t.part.where("p_size = 50").select(F.col("p_partkey").alias("symbol")), "symbol", "left_semi")
-    x = np.array([r["x"] for r in controls.orderBy(F.desc("x"), "symbol").limit(1000).collect()])  # controls are few by definition
+    rows = controls.groupBy("x").count().orderBy("x").collect()  # one row a different value
+    x, counts = np.array([r["x"] for r in rows], float), np.array([r["count"] for r in rows], float)
 
     def p(theta: dict[str, float]) -> np.ndarray:
         factor = np.maximum(0.5, 1 - np.exp(-0.5 * (x / (tq * theta["tq"])) ** 2)) / 0.5
         return 1 / (1 + np.exp(-theta["weight"] * np.log(factor)))
 
-    fit = C.calibrate([C.Parameter("weight", 0.2, 1.0, 0.0, 3.0, 0.5), C.Parameter("tq", 1.0, 1.0, 0.25, 4.0, float(np.log(2)), log=True)], p)
+    fit = C.calibrate([C.Parameter("weight", 0.2, 1.0, 0.0, 3.0, 0.5), C.Parameter("tq", 1.0, 1.0, 0.25, 4.0, float(np.log(2)), log=True)], p, counts=counts if len(counts) else None)
     row = (float(fit["values"]["weight"]), float(fit["values"]["tq"]), float(fit["start_loss"]), float(fit["loss"]), bool(fit["improved"]))
     return rounded(t.spark.createDataFrame([row], "weight double, tq double, start_loss double, loss double, improved boolean"))
 

@@ -229,6 +229,25 @@ def test_calibration_improves_inside_bounds():
     assert 0 <= one["values"]["weight"] <= 3 and 0.25 <= one["values"]["tq"] <= 4
 
 
+def test_calibration_uses_all_controls(spark, tmp_path):
+    from evigraph.plans import CATALOG_QUERIES
+
+    rows = [(k, float(1 + k * 7 % 40)) for k in range(3000)]
+    spark.createDataFrame(rows, "l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, 50 if k % 2 else 1) for k in range(3000)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    tq = E.background_threshold(spark.createDataFrame(rows, "symbol long, x double"), "x").first()["tq"]
+    x = np.array([x for k, x in rows if k % 2])
+
+    def p(theta):
+        factor = np.maximum(0.5, 1 - np.exp(-0.5 * (x / (tq * theta["tq"])) ** 2)) / 0.5
+        return 1 / (1 + np.exp(-theta["weight"] * np.log(factor)))
+
+    want = C.calibrate([C.Parameter("weight", 0.2, 1.0, 0.0, 3.0, 0.5), C.Parameter("tq", 1.0, 1.0, 0.25, 4.0, math.log(2), log=True)], p)
+    got = CATALOG_QUERIES["calibrate_positive_controls"](spark, str(tmp_path)).first()
+    assert (got["start_loss"], got["loss"]) == pytest.approx((want["start_loss"], want["loss"]), abs=2e-6)
+    assert (got["weight"], got["tq"]) == pytest.approx((want["values"]["weight"], want["values"]["tq"]), abs=1e-4)
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("sym\tx\tA\nA\t\t0.5\nB\t2\t0\n")
     rows = R.read_delimited(spark, str(tmp_path / "a.tsv")).collect()
