@@ -232,7 +232,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, text: str = "te
     encoded.repartition(parts, "key").mapInArrow(once, PACK).write.option("compression", "zstd").parquet(path["pack"])
 
     recipes = spark.read.schema(PACK).parquet(path["pack"]).where("kind = 'r'").select("doc_id", "n_tokens", "keys")
-    recipes = recipes.withColumn("leaf", F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit(b":"), "keys"), 256))
+    recipes = recipes.withColumn("leaf", leaf())
     ordered = prefix_sums(recipes, ["doc_id", "leaf"], "n_tokens")
     ordered.write.parquet(path["recipes"])
     merkle(spark.read.parquet(path["recipes"]).select(F.col("position").alias("node"), F.col("leaf").alias("digest"))).write.parquet(path["manifest"])
@@ -289,11 +289,17 @@ def merkle(leaves: DataFrame) -> DataFrame:
     return out
 
 
+def leaf():
+    """The digest of a recipe."""
+    return F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit(b":"), "keys"), 256)
+
+
 def verify_manifest(spark: SparkSession, path: dict[str, str]) -> int:
-    """Number of Merkle nodes that differ from what they cover."""
-    built = merkle(spark.read.parquet(path["recipes"]).select(F.col("position").alias("node"), F.col("leaf").alias("digest")))
-    kept = spark.read.parquet(path["manifest"])
-    return built.join(kept, ["level", "node", "digest"], "full_outer").count() - kept.count()
+    """Number of Merkle nodes that differ from what they cover, leaves from their recipes."""
+    built = merkle(spark.read.parquet(path["recipes"]).select(F.col("position").alias("node"), leaf().alias("digest"))).withColumn("built", F.lit(True))
+    kept = spark.read.parquet(path["manifest"]).withColumn("kept", F.lit(True))
+    both = built.join(kept, ["level", "node", "digest"], "full_outer")
+    return both.where("built IS NULL OR kept IS NULL").select("level", "node").distinct().count()
 
 
 def chunk_facts(spark: SparkSession, path: dict[str, str], tokenizer: str) -> DataFrame:
@@ -347,7 +353,9 @@ def crc_after(crc: int, following: int, size: int) -> int:
 
 
 def read(spark: SparkSession, path: dict[str, str], tokenizer: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and n_chunks of every document, from the files."""
+    """doc_id, start, n_tokens, ids_crc32 and n_chunks of every document, from the files; a manifest that differs stops it."""
+    if wrong := verify_manifest(spark, path):
+        raise ValueError(f"{wrong} nodes of the manifest differ from the recipes")
     recipes = spark.read.parquet(path["recipes"])
     steps = recipes.select(
         "position",

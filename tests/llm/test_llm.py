@@ -349,6 +349,24 @@ def test_token_store_round_trip(spark):
     assert token_store.verify_manifest(spark, stored) == 0
 
 
+def test_token_store_refuses_other_recipes(spark, tmp_path):
+    rows = [(i, " ".join(f"w{i} {k}" for k in range(900))) for i in range(4)]
+    stored = token_store.write(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER)
+    kept = spark.read.parquet(stored["recipes"])
+    n = token_store.KEY_BYTES
+    changes = {
+        "order": kept.withColumn("keys", F.expr(f"concat(substring(keys, {n + 1}), substring(keys, 1, {n}))")),
+        "dropped": kept.withColumn("keys", F.expr(f"substring(keys, {n + 1})")),
+        "id": kept.withColumn("doc_id", F.col("doc_id") + 1),
+        "none": kept.where("false"),
+    }
+    assert kept.where(f"length(keys) > {n}").count() == 4 and token_store.verify_manifest(spark, stored) == 0
+    for name, rows in changes.items():
+        rows.write.parquet(f"{tmp_path}/{name}")
+        with pytest.raises(ValueError, match="manifest"):
+            token_store.read(spark, {**stored, "recipes": f"{tmp_path}/{name}"}, TOKENIZER)
+
+
 def test_token_store_odd_rows(spark):
     stored = token_store.write(odd_docs(spark), TOKENIZER)
     got = token_store.read(spark, stored, TOKENIZER).orderBy("start").collect()
