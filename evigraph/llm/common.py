@@ -1,8 +1,8 @@
 """Helpers shared by the training-data operators.
 
 Tables that cut lineage go to the folder named by ``spark.checkpoint.dir``,
-which the driver and all executors share.  Only where that setting is absent
-(local tests) a folder of our own is used.
+which the driver and all executors share.  Only where that setting is absent and
+the master is local (tests) a folder of our own is used.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="evigraph-")
@@ -55,6 +57,23 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Tables:
+    """Tables that an operator writes on its way, to be removed once nothing lazy refers to them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = materialize_at(df, name)
+        self.paths.setdefault(name, []).append(path)
+        return out
+
+    def remove(self, *names: str) -> None:
+        for name in names:
+            for path in self.paths.pop(name, ()):
+                remove(self.spark, path)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

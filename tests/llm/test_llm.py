@@ -99,6 +99,61 @@ def test_jaccard_equals_brute_force(spark):
         assert (got[key]["n_shingles"], got[key]["component_id"]) == (len(sets_of(text)), component)
 
 
+def test_jaccard_pairs_are_all_links(spark):
+    rows = near_corpus()
+    links, members = jaccard.pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    text = dict(rows)
+    node = {r["doc_id"]: r["node"] for r in members.collect()}
+    got = [frozenset((r["a"], r["b"])) for r in links.collect()]
+    want = set()
+    for i, (a, _) in enumerate(rows):
+        for b, _ in rows[:i]:
+            x, y = sets_of(text[a]), sets_of(text[b])
+            assert (x == y) == (node[a] == node[b])
+            if x != y and 100 * len(x & y) >= 75 * len(x | y):
+                want.add(frozenset((node[a], node[b])))
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_jaccard_template_pages_do_not_meet(spark):
+    """Pages that share four fifths of their words, below the threshold, make no pairs at all."""
+    rows = [(i, " ".join([f"own{i}x{j}" for j in range(20)] + [f"shared{j}" for j in range(80)])) for i in range(400)]
+    corpus = jaccard.prepare(spark.createDataFrame(rows, "doc_id long, text string"), "text", "doc_id")
+    assert corpus.entries().count() > 400
+    assert jaccard.meet(corpus.entries().withColumn("root", F.col("node")), across=True).count() == 0
+    rows += [(i + 1000, t.replace("x19", "y")) for i, t in rows[:50]]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == i % 1000 for i in got)
+
+
+def test_jaccard_slices_change_nothing(monkeypatch):
+    rng = np.random.default_rng(1)
+    m = 6000
+    token, node, n, place = rng.integers(0, 400, m) ** 2 // 300, rng.integers(0, 900, m), np.zeros(m), rng.integers(0, 12, m)
+    n, place = 40 + node % 7, (node * 31 + token) % 12
+    order = np.lexsort((node, place, token))
+    rows = [c[order].astype(np.int64) for c in (token, node, n, place)]
+
+    def product(slice_, step):
+        monkeypatch.setattr(jaccard, "SLICE", slice_)
+        long, waiting, pairs, entries = jaccard.LongColumn(), [c[:0] for c in rows], collections.Counter(), set()
+        for at in range(0, m, step):
+            waiting = [np.concatenate([w, c[at : at + step]]) for w, c in zip(waiting, rows, strict=True)]
+            out, waiting = jaccard.multiply(waiting, at + step >= m, long)
+            for kind, a, b, x, y, c in (r for t in out for r in zip(*t, strict=True)):
+                if kind == 2:
+                    entries.add((a, b, x, y))
+                else:
+                    pairs[a, b, x, y] += c
+        return pairs, entries
+
+    assert product(10**9, m) == product(600, 250)
+
+
+def test_jaccard_numbers_of_colliding_digests():
+    assert jaccard.node_of((1, 2), frozenset()) == 1 and jaccard.node_of((1, 2), frozenset([1])) == 2
+
+
 def test_jaccard_odd_rows(spark):
     got = jaccard.link(odd_docs(spark)).collect()
     by = collections.defaultdict(list)
