@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space of the word rule, as the body of a character class.
@@ -79,6 +79,47 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def unsigned_bucket(hex_digest: Column, digits: int = 3) -> Column:
-    """The first hex digits of a digest as a range bucket: buckets sort as the digests do."""
-    return F.conv(F.substring(hex_digest, 1, digits), 16, 10).cast("int")
+def carried(df: DataFrame, *replaced: str) -> list[Column]:
+    """The columns that an operator carries along: all but those that it replaces, whatever their names hold."""
+    gone = {name.lower() for name in replaced}
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in gone]
+
+
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for an operator's own columns that no input column has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+BUCKET_ROWS = 50_000
+COARSE = 3
+
+
+def bucket_digits(rows: int) -> int:
+    """Hex digits of a digest that make range buckets of BUCKET_ROWS rows or less; they change no result."""
+    digits = COARSE
+    while 16**digits * BUCKET_ROWS < rows:
+        digits += 1
+    return digits
+
+
+def sums_before(totals: DataFrame, groups: list[str], bucket: str, values: dict[str, str]) -> DataFrame:
+    """Adds, for each value, its sum over the group's buckets before this one.
+
+    In two levels: inside the buckets that share their first digits, and over
+    those digits, of which a group has 16 ** COARSE at most.
+    """
+    coarse = F.substring(bucket, 1, COARSE).alias("coarse")
+    level = totals.groupBy(*groups, coarse).agg(*[F.sum(v).alias(v) for v in values])
+    ahead = lambda *of: Window.partitionBy(*of).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda v, window: F.coalesce(F.sum(v).over(window), F.lit(0))
+    level = level.select(*groups, "coarse", *[before(v, ahead(*groups).orderBy("coarse")).alias(f"before_{v}") for v in values])
+    inside = totals.withColumn("coarse", coarse)
+    inside = inside.select("*", *[before(v, ahead(*groups, "coarse").orderBy(bucket)).alias(f"inside_{v}") for v in values])
+    joined = inside.join(level, [*groups, "coarse"])
+    return joined.select(*totals.columns, *[(F.col(f"inside_{v}") + F.col(f"before_{v}")).cast("long").alias(name) for v, name in values.items()])

@@ -3,7 +3,8 @@
 Words are lower-cased and stripped of all but letters and digits.  A document is
 contaminated by an item if the best local alignment, word by word with +1 for
 equal words and -1 for others and for gaps, scores ``threshold`` of the item's
-words or more; items of fewer than ``LEAST_WORDS`` words must be found whole.
+words or more, and ``LEAST_MATCH`` (or all words of a shorter item): less than
+that is found anywhere.
 
 Seeds lose no such document.  An alignment that scores T has runs of equal words
 with an error between any two, so its runs hold T - 1 pairs of successive words
@@ -17,9 +18,11 @@ Test items are a stated query set: they go out with the tasks in blocks of at
 most ``block_items`` items and ``block_words`` words, each block against all
 rows.  Documents stay where they are: no shuffle, no join, one row at a time.
 
-Defined cases: null or empty texts and items match nothing; rows with equal ids
-are judged one by one; an item given twice is reported twice; extra columns are
-carried along (``contamination`` is replaced).
+Defined cases: null or empty texts and items match nothing; rows, equal ones too,
+are judged one by one; an item given twice is reported twice; of equally good
+passages the first counts; very long texts are read whole, as one row; an empty
+table gives an empty result, and without items nothing is contaminated; extra
+columns are carried along, whatever their names (``contamination`` is replaced).
 """
 
 from __future__ import annotations
@@ -33,9 +36,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.llm.common import carried
 from evigraph.llm.wordhash import WordHashes, grams, trim, worker_hashes
 
-LEAST_WORDS = 8
+LEAST_MATCH = 4
 FOUND = "array<struct<item_id: long, score: double, begin: int, end: int>>"
 
 
@@ -54,7 +58,7 @@ def words_of(text: str | None, hashes: WordHashes) -> np.ndarray:
 
 def least_score(n_words: int, threshold: float) -> int:
     """The least whole score that counts as found."""
-    return max(1, math.ceil(threshold * n_words - 1e-9)) if n_words >= LEAST_WORDS else n_words
+    return max(math.ceil(threshold * n_words - 1e-9), min(n_words, LEAST_MATCH), 1)
 
 
 def gram_size(least: int) -> int:
@@ -246,8 +250,7 @@ def blocks(items: DataFrame, item_id: str, text: str, block_items: int, block_wo
 
 def annotate(docs: DataFrame, items: DataFrame, threshold: float = 0.4, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_items: int = 5000, block_words: int = 400_000) -> DataFrame:
     """Adds ``contamination``: for each item found, its id, score (share of its words) and the words' range in the text."""
-    kept = [c for c in docs.columns if c != "contamination"]
-    out = docs.select(*kept, F.array().cast(FOUND).alias("contamination"))
+    out = docs.select(*carried(docs, "contamination"), F.array().cast(FOUND).alias("contamination"))
     for ids, texts in blocks(items, item_id, item_text, block_items, block_words):
         every = all_grams(ids, texts, threshold)
         chosen = rare_seeds(every, count_documents(docs, every, text))

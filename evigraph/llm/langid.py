@@ -4,17 +4,22 @@ Texts are cut into windows of ``window`` bytes, all of them, so the whole text
 counts.  A window's bytes are embedded, filters of several widths slide over
 them, each filter's maximum over the window is kept, and a softmax layer gives
 the languages' probabilities; a text's prediction is the mean of its windows'
-log probabilities, weighted by their bytes.
+log probabilities, weighted by their bytes.  One more class stands for noise, made
+from the training windows by rule; it is left out of the score and tells whether
+a text is in any language at all.
 
 The network is trained on the driver in numpy, on at most ``per_language`` rows
-of each language (those with the smallest digest of the id: a bounded sample,
-the same on every run) and ``train_windows`` windows of each.  Its weights are a
+of each language (those with the smallest digest of id and text: a bounded
+sample, the same on every run) and ``train_windows`` windows of each, spread over
+the whole text by a hash of their number.  Its weights are a
 few thousand numbers and go out with the tasks.  Inference works on batches of
 at most ``BATCH`` windows whatever the texts' lengths.
 
-Defined cases: a text that is null or has no letter is ``und`` with score 0; so
-is everything if no row can be learned from; ties go to the first language by
-name; extra columns are carried along (``lang_pred`` and ``score`` are replaced).
+Defined cases: a text that is null or has no letter is ``und`` with score 0 and noise 1; so
+is everything if no row can be learned from; equal rows are judged alike, and
+learned from once; ties go to the first language by name; an empty table gives an
+empty result; extra columns are carried along, whatever their names
+(``lang_pred``, ``score`` and ``noise`` are replaced).
 """
 
 from __future__ import annotations
@@ -27,13 +32,14 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.llm.wordhash import trim
+from evigraph.llm.common import carried, own_names
+from evigraph.llm.wordhash import mix64, trim
 
 WINDOW = 192
 BATCH = 48
 EMBED = 8
 FILTERS = {2: 8, 3: 12, 4: 12}
-PREDICTED = "struct<lang_pred: string, score: double>"
+PREDICTED = "struct<lang_pred: string, score: double, noise: double>"
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -41,6 +47,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def to_learn(doc_id: Column) -> Column:
+    """Rows to learn from: not those held out, nor those without an id, of which that can't be told."""
+    return ~held_out(doc_id) & doc_id.isNotNull()
+
+
 class ByteCNN:
     """Embedding -> filters of several widths -> ReLU -> max over the window -> softmax."""
 
@@ -51,8 +62,8 @@ class ByteCNN:
         self.conv = {w: rng.normal(0, 1 / np.sqrt(w * EMBED), (w * EMBED, n)).astype(np.float32) for w, n in FILTERS.items()}
         self.bias = {w: np.zeros(n, np.float32) for w, n in FILTERS.items()}
         total = sum(FILTERS.values())
-        self.out = rng.normal(0, 0.1, (total, len(langs))).astype(np.float32)
-        self.out_bias = np.zeros(len(langs), np.float32)
+        self.out = rng.normal(0, 0.1, (total, len(langs) + 1)).astype(np.float32)  # the last class is noise
+        self.out_bias = np.zeros(len(langs) + 1, np.float32)
         self._padded: np.ndarray | None = None
 
     def params(self) -> list[np.ndarray]:
@@ -155,46 +166,70 @@ def windows(data: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     return x.reshape(n, window), size
 
 
+def spread(text: str, count: int, seed: int) -> list[bytes]:
+    """Up to so many windows of a text, in an order that their numbers' hashes give, without those that hold no letter."""
+    x, size = windows(text.encode("utf-8", "replace"))
+    least, out = min(WINDOW // 3, size.max()), []
+    for i in np.argsort(mix64(np.arange(len(x), dtype=np.uint64) + np.uint64(seed)), kind="stable").tolist():
+        if size[i] >= least and _LETTER.search(x[i].tobytes().decode("utf-8", "ignore")):
+            out.append(x[i].tobytes())
+            if len(out) == count:
+                break
+    return out
+
+
 def train(labelled: DataFrame, per_language: int = 300, train_windows: int = 4, text: str = "text", lang: str = "lang", key: str = "doc_id") -> ByteCNN | None:
     """Fits the network on a bounded sample of the rows given; None if there is none."""
     digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.md5(F.col(text))))
-    first = Window.partitionBy("lang").orderBy("digest", "text")
-    rows = labelled.where(F.col(lang).isNotNull() & F.rlike(F.col(text), F.lit(r"\p{L}")))
-    # first inside slices of a language, so that no language comes together
-    rows = rows.select(F.col(lang).alias("lang"), F.substring(F.col(text), 1, 4 * WINDOW * train_windows).alias("text"), digest.alias("digest"))
-    sliced = Window.partitionBy("lang", F.substring("digest", -2, 2)).orderBy("digest", "text")
-    for window, most in ((sliced, -(-per_language // 16)), (first, per_language)):
-        rows = rows.withColumn("n", F.row_number().over(window)).where(F.col("n") <= most).drop("n")
-    got = sorted((r["lang"], r["digest"], r["text"]) for r in rows.collect())
-    langs = sorted({g[0] for g in got})
+    rows = labelled.where(F.col(lang).isNotNull() & F.rlike(F.col(text), F.lit(r"\p{L}"))).select(F.col(lang).alias("lang"), F.col(text).alias("text"), digest.alias("digest"))
+    # rows are picked by digest alone, first inside slices of a language, so that no language comes together; then their texts are fetched
+    picked = rows.select("lang", "digest").distinct()
+    sliced, first = (Window.partitionBy("lang", *more).orderBy("digest") for more in ([F.substring("digest", -2, 2)], []))
+    for window in (sliced, first):
+        picked = picked.withColumn("n", F.row_number().over(window)).where(F.col("n") <= per_language).drop("n")
+
+    @F.pandas_udf("array<binary>")
+    def some(texts: pd.Series, digests: pd.Series) -> pd.Series:
+        return pd.Series([spread(t, train_windows, int(d[:15], 16)) for t, d in zip(texts, digests, strict=True)])
+
+    chosen = rows.join(picked, ["lang", "digest"]).dropDuplicates(["lang", "digest"])
+    got = sorted((r["lang"], r["digest"], r["x"]) for r in chosen.select("lang", "digest", some("text", "digest").alias("x")).collect())  # bounded
+    langs = sorted({lang_ for lang_, _, x in got if x})
     if not langs:
         return None
-    xs, ys = [], []
-    for lang_, _, body in got:
-        x, size = windows(body.encode("utf-8", "replace"))
-        keep = np.flatnonzero(size >= min(WINDOW // 3, size.max()))[:train_windows]
-        xs.append(x[keep])
-        ys.append(np.full(len(keep), langs.index(lang_)))
-    return ByteCNN(langs).fit(np.concatenate(xs), np.concatenate(ys))
+    xs = [np.frombuffer(w, np.uint8) for _, _, x in got for w in x]
+    ys = [langs.index(lang_) for lang_, _, x in got for _ in x]
+    x, y = np.stack(xs), np.array(ys)
+    unread = noise(x[:: len(langs)])
+    return ByteCNN(langs).fit(np.concatenate([x, unread]), np.concatenate([y, np.full(len(unread), len(langs))]))
+
+
+def noise(x: np.ndarray, seed: int = 6) -> np.ndarray:
+    """Windows in no language: the same bytes in another order, or letters drawn at random."""
+    rng = np.random.default_rng(seed)
+    mixed = rng.permuted(x[::2], axis=1)
+    letters = rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJ 0123456789", np.uint8), x[1::2].shape)
+    return np.concatenate([mixed, letters])
 
 
 def predict(docs: DataFrame, model: ByteCNN | None, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    """Adds lang_pred, score (its probability among the languages) and noise (the probability that the text is in none)."""
+    kept = carried(docs, "lang_pred", "score", "noise")
     if model is None:
-        return docs.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(1.0).alias("noise"))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame(predict_texts(model, list(texts)), columns=["lang_pred", "score"])
+            yield pd.DataFrame(predict_texts(model, list(texts)), columns=["lang_pred", "score", "noise"])
         trim()
 
     guess = F.pandas_udf(run, PREDICTED)
-    return docs.select(*kept, guess(F.col(text)).alias("_g")).select(*kept, "_g.lang_pred", "_g.score")
+    own = own_names(docs, "guess")[0]
+    return docs.withColumn(own, guess(F.col(text))).select(*kept, f"{own}.lang_pred", f"{own}.score", f"{own}.noise")
 
 
-def predict_texts(model: ByteCNN, texts: list[str | None]) -> list[tuple[str, float]]:
-    sums = np.zeros((len(texts), len(model.langs)))
+def predict_texts(model: ByteCNN, texts: list[str | None]) -> list[tuple[str, float, float]]:
+    sums = np.zeros((len(texts), len(model.langs) + 1))
     sizes = np.zeros(len(texts))
     xs: list[np.ndarray] = []
     owners: list[np.ndarray] = []
@@ -225,10 +260,11 @@ def predict_texts(model: ByteCNN, texts: list[str | None]) -> list[tuple[str, fl
     out = []
     for total, n in zip(sums, sizes, strict=True):
         if n == 0:
-            out.append(("und", 0.0))
+            out.append(("und", 0.0, 1.0))
             continue
         p = np.exp(total / n - (total / n).max())
-        p /= p.sum()
+        p, none = p[:-1], float(p[-1] / p.sum())
+        p /= max(p.sum(), np.finfo(float).tiny)
         best = int(p.argmax())
-        out.append((model.langs[best], float(min(1.0, p[best]))))
+        out.append((model.langs[best], float(min(1.0, p[best])), none))
     return out

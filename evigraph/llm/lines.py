@@ -22,8 +22,10 @@ Each text that stays does so at one place, so documents are put together from
 the texts, without a join on hot lines.
 
 Defined cases: null or empty text has no lines; a null doc_id stands last; rows
-with one doc_id count as copies of one document; an empty table gives an empty
-result; extra columns are carried along by ``deduplicate`` and else ignored.
+with one doc_id count as copies of one document, and repeated rows keep the same
+lines; very long texts and lines are taken whole; an empty table gives an empty
+result; extra columns are carried along by ``deduplicate``, whatever their names,
+and else ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import materialize
+from evigraph.llm.common import carried, materialize, own_names
 
 LEAST = 20
 BLOCK = 64
@@ -71,7 +73,8 @@ def _half_keys(line: Column) -> Column:
 
 def near_lines(texts: DataFrame, least: int = LEAST) -> DataFrame:
     """(pos, earlier): texts with an earlier one within an edit, and the earliest of those."""
-    long = texts.where(F.length("line") >= least).select("pos", "line", F.xxhash64("line").alias("id"))
+    # a line one character shorter can be the earlier one
+    long = texts.where(F.length("line") >= least - 1).select("pos", "line", F.xxhash64("line").alias("id"))
     halves = long.select("id", F.explode(_half_keys(F.col("line"))).alias("key"))
     ids = halves.join(_differ(halves), "key").select("id").distinct()
     # bits of the ids, at most BITS / 64 rows whatever the number of lines; a line that passes by chance only costs work
@@ -108,8 +111,9 @@ def near_lines(texts: DataFrame, least: int = LEAST) -> DataFrame:
     met = variants.select("pos", "x.v", "x.role").withColumn("m0", first(0)).withColumn("m1", first(1)).withColumn("m2", first(2))
     earlier = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
     met = met.select("pos", earlier.alias("earlier")).where("earlier < pos").groupBy("pos").agg(F.min("earlier").alias("earlier"))
-    own = lines.select("pos", "line")
-    checked = met.join(own, "pos").join(own.select(F.col("pos").alias("earlier"), F.col("line").alias("line2")), "earlier")
+    own = lines.select("pos", "line").where(F.length("line") >= least)
+    earlier_line = lines.select(F.col("pos").alias("earlier"), F.col("line").alias("line2"))
+    checked = met.join(own, "pos").join(earlier_line, "earlier")
     return checked.where(F.levenshtein("line", "line2", 1) >= 0).select("pos", "earlier")
 
 
@@ -142,7 +146,14 @@ def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def deduplicate(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents with the lines that stay, and their blank lines."""
-    kept = kept_lines(docs, least).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
-    lines = F.filter(F.split("text", "\n"), lambda x, i: (trimmed(x) == "") | F.array_contains(F.col("kept"), i))
-    return joined.withColumn("text", F.when(F.col("text").isNotNull(), F.array_join(lines, "\n"))).select(*docs.columns)
+    key, numbers = own_names(docs, "key", "kept")
+    kept = kept_lines(docs, least).select(F.col("doc_id").alias(key), F.col("kept").alias(numbers))
+    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(key)), "left")
+    listed = F.coalesce(F.col(numbers), F.array().cast("array<int>"))
+
+    def put_together(lines: Column) -> Column:
+        blank = F.filter(F.transform(lines, lambda x, i: F.when(trimmed(x) == "", i)), lambda i: i.isNotNull())
+        return F.array_join(F.transform(F.array_sort(F.concat(listed, blank)), lambda i: F.element_at(lines, i + 1)), "\n")
+
+    text = F.transform(F.array(F.split("text", "\n")), put_together)[0]
+    return joined.select(*[F.when(F.col("text").isNotNull(), text).alias(c) if c.lower() == "text" else x for c, x in zip(docs.columns, carried(docs), strict=True)])

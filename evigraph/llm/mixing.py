@@ -3,8 +3,9 @@
 Rows get hash-random keys, are range-sorted by key within their source, and a
 distributed prefix sum of token counts says where each source's budget ends.
 All of it is DataFrame functions; no source is ever brought into one task: the
-leading digits of the key are range buckets, windows run inside (source,
-bucket), and the prefix sum over buckets runs on at most 4096 totals a source.
+leading digits of the key, as many as the rows ask for, are range buckets,
+windows run inside (source, bucket), and prefix sums over the buckets' totals are
+distributed too.
 
 Budgets.  Sources are ordered by code point with null last and have the weights
 of ``WEIGHTS`` in turn.  They share ``share`` times the sum of all sizes by
@@ -16,9 +17,10 @@ sums over the sources ordered by ``size / weight`` (no iteration).
 A budget of e whole epochs and a rest takes every row e times and, once more,
 the rows in key order up to the rest, the last one in part.
 
-Defined cases: null text has size 0, and rows of size 0 take nothing; a null
-source is a source of its own; equal rows are interchangeable; an empty table
-gives an empty result; clashing extra columns are replaced.
+Defined cases: null or empty text has size 0, and rows of size 0 take nothing; very
+long texts count whole and may be taken in part; a null source is a source of its
+own; rows equal in key, size and text are interchangeable; an empty table gives an empty result; extra columns are carried
+along, whatever their names (those of ``OWN`` are replaced).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import unsigned_bucket, word_count
+from evigraph.llm.common import bucket_digits, carried, own_names, sums_before, word_count
 
 WEIGHTS = (3, 1, 2)
 OWN = ("size", "source_size", "target", "taken", "copies")
@@ -70,45 +72,49 @@ def mix(
     size: Column | None = None,
     key: str = "doc_id",
     source: str = "source",
+    text: str = "text",
 ) -> DataFrame:
-    """Adds size, source_size, target, taken (words) and copies (how often a row is begun)."""
-    kept = [c for c in docs.columns if c not in OWN]
+    """Adds size (the words of the text if not given), source_size, target, taken (words) and copies (how often a row is begun)."""
+    kept = carried(docs, *OWN)
+    sized = docs.select(*kept, (word_count(F.col(text)) if size is None else size.cast("long")).alias("size"))
     # null sources get a key of their own, so that windows and join deal the rows out alike (one shuffle)
+    s, none, bucket, digest, tie, upto = own_names(sized, "s", "none", "bucket", "digest", "tie", "upto")
     rows = (
-        docs.select(*kept, (word_count(F.col("text")) if size is None else size.cast("long")).alias("size"))
-        .withColumn("_s", F.coalesce(F.col(source), F.lit("")))
-        .withColumn("_n", F.col(source).isNull())
-        .withColumn("_key", mix_key(F.col(key), seed))
-        .withColumn("_b", unsigned_bucket(F.col("_key")))
+        sized.withColumn(s, F.coalesce(F.col(source), F.lit("")))
+        .withColumn(none, F.col(source).isNull())
+        .withColumn(digest, mix_key(F.col(key), seed))
+        .withColumn(bucket, F.substring(digest, 1, bucket_digits(docs.count())))
+        # rows of one key and size may have different texts
+        .withColumn(tie, F.xxhash64(text))
     )
-    place = ["_s", "_n", "_b"]
-    totals = rows.groupBy(*place).agg(F.sum("size").alias("_total"))
-    ahead = Window.partitionBy("_s", "_n").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = totals.groupBy("_s", "_n").agg(F.sum("_total").alias("source_size"))
-    sizes = sizes.withColumn("source", F.when(~F.col("_n"), F.col("_s")))
-    goals = targets(sizes, weights, share, most).withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_n", F.col("source").isNull())
-    plan = (
-        totals.withColumn("_ahead", F.coalesce(F.sum("_total").over(ahead), F.lit(0)))
-        .join(goals.drop("source"), ["_s", "_n"])
-        .select(*place, "_ahead", "source_size", "target")
-    )
-    within = Window.partitionBy(*place).orderBy("_key", F.col(key), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = rows.withColumn("_upto", F.sum("size").over(within)).join(plan, place)
-    budget = F.floor(F.col("target")).cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    rest = budget - epochs * F.col("source_size")
-    start = F.col("_ahead") + F.col("_upto") - F.col("size")
+    place = [s, none, bucket]
+    totals = rows.groupBy(F.col(s).alias("s"), F.col(none).alias("none"), F.col(bucket).alias("bucket")).agg(F.sum("size").alias("total"))
+    sizes = totals.groupBy("s", "none").agg(F.sum("total").alias("source_size"))
+    goals = targets(sizes.select(F.when(~F.col("none"), F.col("s")).alias("source"), "source_size"), weights, share, most)
+    goals = goals.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"), "source_size", "target")
+    plan = sums_before(totals, ["s", "none"], "bucket", {"total": "ahead"}).join(goals, ["s", "none"])
+    plan = plan.select(F.struct("ahead", "source_size", "target").alias("plan"), *[F.col(x).alias(y) for x, y in zip(("s", "none", "bucket"), place, strict=True)])
+    own_plan = own_names(rows.withColumn(upto, F.lit(0)), "plan")[0]
+    plan = plan.withColumnRenamed("plan", own_plan)
+    within = Window.partitionBy(*place).orderBy(digest, F.col(key), "size", tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = rows.withColumn(upto, F.sum("size").over(within)).join(plan, place)
+    source_size, target, ahead = (F.col(own_plan)[c] for c in ("source_size", "target", "ahead"))
+    budget = F.floor(target).cast("long")
+    epochs = F.when(source_size > 0, F.floor(budget / source_size)).otherwise(0).cast("long")
+    rest = budget - epochs * source_size
+    start = ahead + F.col(upto) - F.col("size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
     return joined.select(
         *kept,
         "size",
-        "source_size",
-        "target",
+        source_size.alias("source_size"),
+        target.alias("target"),
         (epochs * F.col("size") + part).cast("long").alias("taken"),
         (epochs + (part > 0).cast("long")).alias("copies"),
     )
 
 
 def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each row as often as it is begun, whole each time."""
-    return mixed.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    """The mix itself: these columns of each row as often as it is begun, whole each time."""
+    copy = own_names(mixed, "copy")[0]
+    return mixed.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(copy)).drop(copy)

@@ -133,9 +133,9 @@ WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS k, trim(unnest(ls), {TRIMMED}) AS line FROM x),
 f AS (SELECT line, doc_id, k FROM l WHERE line <> '' QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, k) = 1),
 o AS (SELECT *, row_number() OVER (ORDER BY doc_id, k) AS pos FROM f),
-q AS (SELECT pos, line, unnest([length(line), length(line) - 1]) AS n FROM o WHERE length(line) >= {lines.LEAST}),
+q AS (SELECT pos, line, unnest([length(line), length(line) - 1]) AS n FROM o WHERE length(line) >= {lines.LEAST} - 1),
 h AS (SELECT pos, line, 0 AS side, n, left(line, (n // 2)::INT) AS part FROM q UNION SELECT pos, line, 1, n, right(line, (n - n // 2)::INT) FROM q),
-c AS (SELECT DISTINCT a.pos, a.line, b.line AS other FROM h a JOIN h b ON a.side = b.side AND a.n = b.n AND a.part = b.part AND b.pos < a.pos),
+c AS (SELECT DISTINCT a.pos, a.line, b.line AS other FROM h a JOIN h b ON a.side = b.side AND a.n = b.n AND a.part = b.part AND b.pos < a.pos AND length(a.line) >= {lines.LEAST}),
 g AS (SELECT pos, CASE WHEN length(line) <= length(other) THEN line ELSE other END AS s, CASE WHEN length(line) <= length(other) THEN other ELSE line END AS t FROM c),
 dr AS (SELECT DISTINCT pos FROM g WHERE len(list_filter(range(0, length(t)), lambda i: left(s, i::INT) = left(t, i::INT) AND
       (CASE WHEN length(s) = length(t) THEN substr(s, i + 2) ELSE substr(s, i + 1) END) = substr(t, i + 2))) > 0),

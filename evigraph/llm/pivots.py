@@ -1,11 +1,12 @@
 """Embedding near-dedup by a pivot-permutation index.
 
 Vectors are described by the ordered list of their nearest reference points
-(pivots).  Every pivot has an inverted list of the vectors that name it; two
-vectors are compared if they share ``min_shared`` pivots or more, and linked if
-their cosine in double precision reaches ``threshold``.  Pivots are vectors of
-the table itself, those with the smallest digests: a bounded sample, whose size
-grows with the table up to ``MAX_PIVOTS``.  A pivot whose cosine with an earlier
+(pivots).  Every pivot has an inverted list of the vectors that name it.  The
+lists give, for each pair, the number of pivots shared; pairs that share
+``min_shared`` or more are candidates, and only their cosines are worked out, in
+double precision, and held against ``threshold``.  Pivots are vectors of the
+table itself, those with the smallest digests: a bounded sample, whose size grows
+with the table up to ``PIVOT_BYTES``.  A pivot whose cosine with an earlier
 one reaches ``APART`` is left out: a dense group, however large, has few pivots of
 its own, which all its members name, and recall doesn't fall with the group's
 size; lists of dense groups grow with them and are compared whole.  Every vector
@@ -14,14 +15,17 @@ is indexed; recall against brute force is a test.
 Whole copies are one class with a count, so copies are never paired.  Lists are
 dealt out in blocks: a list of c chunks becomes its pairs of chunks, each a task
 of its own of at most two chunks; no list, however long, comes together.  A
-block compares its vectors in one product and returns sums, not pairs: for each
-vector its number of links and the least vector of its component there.  A
-pair counts in the list of its smallest shared pivot only.
+block returns sums, not pairs: for each vector its number of links and the least
+vector of its component there.  A pair is a candidate in the list of its smallest
+shared pivot only.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite
 component, or whose label is null, link with nothing; so do vectors of different
-length; rows with a null id get a null component; equal ids are one vector if
-label and vector agree too; extra columns are ignored.
+length; repeated rows are vectors of their own and link with each other; rows with
+a null id take part, and have a null component if no other id is reached; rows with
+one id and different vectors are told apart by their vectors and keep a row each;
+nothing has a size limit; an empty table gives an empty result; only id, label and
+vector are read, so extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -33,12 +37,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from evigraph.llm.common import materialize
 from evigraph.llm.components import components
 
 PER_PIVOT = 100
-MIN_PIVOTS, MAX_PIVOTS = 48, 8192
+MIN_PIVOTS, PIVOT_BYTES = 48, 32 << 20
 NEAREST = 10
 APART = 0.5
 CHUNK = 512
@@ -53,7 +58,10 @@ def classes(vectors: DataFrame) -> DataFrame:
     """One row for each different (label, vector): rep, mult, and the digests that members are joined by."""
     rows = vectors.where(usable()).select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
     digests = [F.xxhash64("label", "v").alias("h1"), F.xxhash64("v", "label", F.lit(1)).alias("h2")]
-    return rows.groupBy(*digests).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("label").alias("label"), F.first("v").alias("v"))
+    # single precision travels as such; cosines are worked out in double
+    own = vectors.schema["embedding"].dataType.elementType
+    vector = F.first("v").cast(ArrayType(own)) if isinstance(own, FloatType) else F.first("v")
+    return rows.groupBy(*digests).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("label").alias("label"), vector.alias("v"))
 
 
 def apart(vectors: np.ndarray) -> np.ndarray:
@@ -74,7 +82,7 @@ def describe(rows: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> Da
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("v"))
             sizes = np.diff(column.offsets.to_numpy())
-            values = column.flatten().to_numpy()
+            values = column.flatten().to_numpy().astype(float)
             ends = np.cumsum(sizes)
             order: list[list[int]] = [[] for _ in sizes]
             for dim in np.unique(sizes).tolist():
@@ -89,31 +97,51 @@ def describe(rows: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> Da
     return rows.mapInArrow(run, rows.schema.simpleString()[7:-1] + ",order:array<int>")
 
 
+def candidates(left: np.ndarray, right: np.ndarray, pivot: int, least: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that share ``least`` pivots and none smaller than this list's, counted list by list."""
+    counts, earlier = np.zeros((len(left), len(right)), np.uint8), np.zeros((len(left), len(right)), bool)
+    lists = []
+    for order in (left, right):
+        flat, at = order.ravel(), np.argsort(order, axis=None, kind="stable")
+        named, start = np.unique(flat[at], return_index=True)
+        lists.append(dict(zip(named.tolist(), np.split(at // order.shape[1], start[1:]), strict=True)))
+    for p in lists[0].keys() & lists[1].keys():
+        cell = np.ix_(lists[0][p], lists[1][p])
+        counts[cell] += 1
+        if p < pivot:
+            earlier[cell] = True
+    found = (counts >= least) & ~earlier
+    return np.nonzero(np.triu(found, 1) if same else found)
+
+
 def compare(batch: list[pd.DataFrame], threshold: float, min_shared: int) -> pd.DataFrame:
     """Sums for one block: rows of chunk pair (i, j) of one list; those of chunk i have side 0."""
     rows = pd.concat(batch, ignore_index=True) if len(batch) > 1 else batch[0].reset_index(drop=True)
     same = bool(rows["i"].iloc[0] == rows["j"].iloc[0])
     pivot = int(rows["pivot"].iloc[0])
-    v = np.stack(rows["v"].to_numpy())
+    v = np.stack(rows["v"].to_numpy()).astype(float)
     v = v / np.linalg.norm(v, axis=1, keepdims=True)
-    order = np.sort(np.stack(rows["order"].to_numpy()), axis=1)
+    order = np.stack(rows["order"].to_numpy())
     min_shared = min(min_shared, order.shape[1])  # a table of one dense group has one pivot
     first = np.arange(len(rows)) if same else np.flatnonzero(rows["side"].to_numpy() == 0)
     second = first if same else np.flatnonzero(rows["side"].to_numpy() == 1)
     rep, mult = rows["rep"].to_numpy(), rows["mult"].to_numpy()
     links = np.zeros(len(rows), np.int64)
     root = np.arange(len(rows))
-    near = (v[first] @ v[second].T) >= threshold
-    if same:
-        near = np.triu(near, 1)
-    a, b = np.nonzero(near)
+    a, b = candidates(order[first], order[second], pivot, min_shared, same)
     a, b = first[a], second[b]
+    whole = v[first] @ v[second].T if 16 * len(a) > len(first) * len(second) else None
+    place = np.empty(len(rows), np.int64)
     for at in range(0, len(a), 20_000):
         x, y = a[at : at + 20_000], b[at : at + 20_000]
-        shared = (order[x][:, :, None] == order[y][:, None, :]).any(axis=2)
-        # the smallest shared pivot is this list's, and enough are shared
-        keep = (shared.sum(axis=1) >= min_shared) & (np.where(shared, order[x], np.iinfo(np.int32).max).min(axis=1) == pivot)
-        x, y = x[keep], y[keep]
+        if whole is None:
+            cosine = np.einsum("ij,ij->i", v[x], v[y])
+        else:
+            place[second] = np.arange(len(second))
+            columns = place[y]
+            place[first] = np.arange(len(first))
+            cosine = whole[place[x], columns]
+        x, y = x[cosine >= threshold], y[cosine >= threshold]
         np.add.at(links, x, mult[y])
         np.add.at(links, y, mult[x])
         # all links are kept as edges to a local root: union by repeated minimum
@@ -148,7 +176,7 @@ def link(vectors: DataFrame, threshold: float = 0.93, nearest: int = NEAREST, mi
     facts = reps.groupBy(F.size("v").alias("dim")).count().collect()  # one row a vector length
     pivots: dict[int, np.ndarray] = {}
     for row in facts:
-        n = int(min(MAX_PIVOTS, max(MIN_PIVOTS, row["count"] // PER_PIVOT)))
+        n = int(max(MIN_PIVOTS, min(row["count"] // PER_PIVOT, PIVOT_BYTES // (8 * row["dim"]))))
         got = reps.where(F.size("v") == row["dim"]).orderBy("h1", "h2").limit(n).select("v").collect()
         p = np.array([g["v"] for g in got], float)
         pivots[row["dim"]] = apart(p / np.linalg.norm(p, axis=1, keepdims=True))

@@ -18,7 +18,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link(_docs(spark, sf_dir).select("doc_id", "text"))
+    return jaccard.link(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     held = langid.held_out(F.col("doc_id"))
-    model = langid.train(docs.where(~held).select("doc_id", "text", "lang"))
+    model = langid.train(docs.where(langid.to_learn(F.col("doc_id"))).select("doc_id", "text", "lang"))
     return langid.predict(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 

@@ -4,7 +4,8 @@ Everything is DataFrame functions.  Positions are code points, ends exclusive.
 
 Patterns.  Matches are found leftmost and without overlap by kind.  Their
 positions come from the pieces between matches: splitting by the same pattern
-gives the gaps, and running sums of gap and match lengths give the starts.
+gives the gaps, and running sums of gap and match lengths give the starts.  A
+text with n matches costs n log n.
 
 Markov models.  Two first-order character models over the characters that
 tokens are made of, one of random strings and one of ordinary identifiers, are
@@ -14,8 +15,9 @@ letter and a digit is a secret if its mean log-likelihood ratio per transition
 exceeds ``threshold``.  Such spans are added where no pattern's span overlaps.
 
 Defined cases: null or empty text has no spans; the models never take spans
-away; extra columns are carried along; the same row twice gives the same result
-twice.
+away; very long texts are searched whole; the same row twice gives the same result
+twice; an empty table gives an empty result; extra columns are carried along,
+whatever their names (``spans`` is replaced).
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.llm.common import carried, own_names
+
 #: The patterns of the kinds, in their order.
 ASSIGN_BASE = (
     r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
@@ -35,6 +39,7 @@ ASSIGN_BASE = (
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+SPANS = "array<struct<start: bigint, kind: int, end: bigint, match: string>>"
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN_LEAST = 6
 #: Characters of the models; all others count as one more.
@@ -105,34 +110,52 @@ def score_token(token: Column, ratios: list[float]) -> Column:
     return pairs / (F.length(token) - 1)
 
 
+def running(values: Column, zero: Column, combine) -> Column:
+    """Running totals of an array in log2(n) doubling steps: linear work each, and no array that grows item by item."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int"))
+
+    def double(acc: Column, k: Column) -> Column:
+        shift = F.least(F.call_function("shiftleft", F.lit(1), k), F.size(acc))
+        moved = F.concat(F.array_repeat(zero, shift), F.slice(acc, F.lit(1), F.size(acc) - shift))
+        return F.zip_with(acc, moved, combine)
+
+    return F.aggregate(steps, values, double)
+
+
 def spans_of(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """array<struct<start, kind, end, match>> of all matches; ``keep`` may drop some by their text."""
     p = F.lit(pattern)
     found = F.regexp_extract_all(text, p, F.lit(0))
     gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,kind:int,end:long,match:string>>").alias("out"))
-    walked = F.aggregate(
-        F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("match")),
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["match"])).cast("long").alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(x["gap"])).cast("long").alias("start"),
-                        F.lit(kind).alias("kind"),
-                        (acc["at"] + F.length(x["gap"]) + F.length(x["match"])).cast("long").alias("end"),
-                        x["match"].alias("match"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-    )["out"]
-    spans = F.when(F.rlike(text, p), walked).otherwise(start["out"])
+    pieces = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda gap, match: F.struct((F.length(gap) + F.length(match)).cast("long").alias("n"), match.alias("match")))
+
+    def placed(pieces: Column) -> Column:
+        ends = running(F.transform(pieces, lambda x: x["n"]), F.lit(0).cast("long"), lambda x, y: x + y)
+        span = lambda x, end: F.struct((end - F.length(x["match"])).cast("long").alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("match"))
+        return F.zip_with(pieces, ends, span)
+
+    # bound once: a column named twice would be worked out twice
+    spans = F.flatten(F.transform(F.array(pieces), placed))
+    spans = F.when(F.rlike(text, p), spans).otherwise(F.array().cast(SPANS))
     return F.filter(spans, keep) if keep else spans
 
 
+def apart(tokens: Column, base: Column) -> Column:
+    """The tokens that no base span overlaps: of the base spans that start before a token's end none ends after its start."""
+    event = lambda at, first, end, token: F.struct(at.alias("at"), first.alias("first"), end.alias("end"), token.alias("token"))
+    none = F.lit(None).cast(SPANS[6:-1])
+    ends = F.transform(tokens, lambda t: event(t["end"], F.lit(0), F.lit(-1).cast("long"), t))
+    starts = F.transform(base, lambda s: event(s["start"], F.lit(1), s["end"], none))
+
+    def pick(events: Column) -> Column:
+        latest = running(F.transform(events, lambda e: e["end"]), F.lit(-1).cast("long"), lambda x, y: F.greatest(x, y))
+        judged = F.zip_with(events, latest, lambda e, end: F.when(end <= e["token"]["start"], e["token"]))
+        return F.filter(judged, lambda t: t.isNotNull())
+
+    sorted_ = F.array_sort(F.concat(ends, starts))
+    return F.when(F.size(base) == 0, tokens).when(F.size(tokens) == 0, tokens).otherwise(F.flatten(F.transform(F.array(sorted_), pick)))
+
+
 def scan(docs: DataFrame, text: str = "text", threshold: float = 0.4, samples: list[tuple[str, bool]] | None = None) -> DataFrame:
     """Adds ``spans``: array<struct<start, kind, end, match>> by start, then kind (0..3 as in KINDS)."""
     ratios = log_ratios(samples if samples is not None else labelled_samples())
@@ -144,9 +167,9 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = 0.4, samples: l
         3,
         lambda s: F.rlike(s["match"], F.lit("[0-9]")) & F.rlike(s["match"], F.lit("[A-Za-z]")) & (score_token(s["match"], ratios) > threshold),
     )
-    found = docs.drop("spans").withColumn("_base", F.concat(assigned, spans_of(body, ACCESS, 1), spans_of(body, HEX, 2))).withColumn("_tokens", tokens)
-    added = F.filter("_tokens", lambda t: ~F.exists("_base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return found.withColumn("spans", F.array_sort(F.concat("_base", added))).drop("_base", "_tokens")
+    base, added = own_names(docs, "base", "tokens")
+    found = docs.withColumn(base, F.concat(assigned, spans_of(body, ACCESS, 1), spans_of(body, HEX, 2))).withColumn(added, tokens)
+    return found.select(*carried(docs, "spans"), F.array_sort(F.concat(F.col(base), apart(F.col(added), F.col(base)))).alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:

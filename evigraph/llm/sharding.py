@@ -3,8 +3,9 @@
 Everything is DataFrame functions.  Row numbers are global and depend on the
 rows alone, not on how they lie in partitions: rows are ordered by a digest of
 their key, the first digits of the digest are range buckets, a window numbers
-the rows inside a bucket, and a prefix sum over the bucket counts (4096 rows at
-most, whatever the input) gives each bucket's first number.
+the rows inside a bucket, and prefix sums over the bucket counts give each
+bucket's first number.  The number of digits follows the number of rows, so a
+bucket stays small; the prefix sums are distributed.
 
 The permutation is an unbalanced Feistel network on Z_a x Z_b with
 a = ceil(sqrt(n)) and b = ceil(n / a), so that fewer than a values lie outside
@@ -13,10 +14,11 @@ a = ceil(sqrt(n)) and b = ceil(n / a), so that fewer than a values lie outside
 shards``: shard sizes differ by one row at most and slots have no gaps, and
 both can be computed for any row number without looking at the data.
 
-Defined cases: null text has no bytes (size 16) and a null checksum; rows equal
-in key, size and text are interchangeable; an empty table gives an empty
-result; further columns are carried along (``row_number``, ``shard`` and
-``slot`` of the input, if present, are replaced).
+Defined cases: null text has no bytes (size 16) and a null checksum; a null key
+is like an empty one; rows equal in key and text are interchangeable and each has
+its own number; a text's length doesn't matter; an empty table gives an empty
+result; further columns are carried along, whatever their names (``row_number``,
+``shard`` and ``slot`` of the input, if present, are replaced).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import unsigned_bucket
+from evigraph.llm.common import bucket_digits, carried, own_names, sums_before
 
 ROUNDS = 6
 MAX_WALK = 24
@@ -48,22 +50,15 @@ def with_row_numbers(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     bucket together.  Both passes derive the bucket from the row itself, so a
     task that is run again gives the same numbers.
     """
-    digest = row_digest(F.col(key), F.col(text))
-    rows = docs.withColumn("_digest", digest).withColumn("_bucket", unsigned_bucket(F.col("_digest")))
-    counts = {r["_bucket"]: r["n"] for r in rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()}  # 4096 rows at most
-    first, offsets = 0, []
-    for bucket in sorted(counts):
-        offsets.append((bucket, first))
-        first += counts[bucket]
-    base = docs.sparkSession.createDataFrame(offsets, "_bucket int, _first long")
-    order = Window.partitionBy("_bucket").orderBy("_digest", F.col(key))
-    numbered = (
-        rows.withColumn("_in_bucket", F.row_number().over(order) - 1)
-        .join(F.broadcast(base), "_bucket")
-        .withColumn("row_number", (F.col("_first") + F.col("_in_bucket")).cast("long"))
-        .drop("_digest", "_bucket", "_in_bucket", "_first")
-    )
-    return numbered, first
+    n = docs.count()
+    digest, bucket, number = own_names(docs, "digest", "bucket", "in_bucket")
+    rows = docs.withColumn(digest, row_digest(F.col(key), F.col(text))).withColumn(bucket, F.substring(digest, 1, bucket_digits(n)))
+    counts = rows.groupBy(F.col(bucket).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    first = sums_before(counts, [], "bucket", {"n": "first"}).select(F.col("bucket").alias(bucket), F.col("first").alias(number))
+    order = Window.partitionBy(bucket).orderBy(digest, F.col(key))
+    kept = carried(docs, "row_number")
+    numbered = rows.select(*kept, bucket, (F.row_number().over(order) - 1).alias("row_number"))
+    return numbered.join(first, bucket).select(*kept, (F.col(number) + F.col("row_number")).cast("long").alias("row_number")), n
 
 
 def round_value(value: Column, round_key: Column, modulus: Column) -> Column:
@@ -102,10 +97,12 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 7, key: str = "doc_id",
     """Adds ``row_number``, ``shard`` and ``slot`` to every row."""
     if shards < 1:
         raise ValueError("shards must be positive")
-    numbered, n = with_row_numbers(docs.drop("row_number", "shard", "slot"), key, text)
-    return (
-        numbered.withColumn("_p", feistel(F.col("row_number"), max(n, 1), seed))
-        .withColumn("shard", (F.col("_p") % shards).cast("int"))
-        .withColumn("slot", F.floor(F.col("_p") / shards).cast("long"))
-        .drop("_p")
+    kept = carried(docs, "row_number", "shard", "slot")
+    numbered, n = with_row_numbers(docs.select(*kept), key, text)
+    place = own_names(numbered, "place")[0]
+    return numbered.withColumn(place, feistel(F.col("row_number"), max(n, 1), seed)).select(
+        *kept,
+        "row_number",
+        (F.col(place) % shards).cast("int").alias("shard"),
+        F.floor(F.col(place) / shards).cast("long").alias("slot"),
     )

@@ -25,8 +25,10 @@ piece come from the library's model and are kept, two generations of at most
 special token's string, go through the library whole.
 
 Defined cases: null text is empty and has only the end id; a null doc_id comes
-first; rows with the same doc_id are ordered by their ids' digest; an empty
-table gives an empty result; extra columns are ignored.
+first; rows with the same doc_id are ordered by their ids' digest, and whole copies
+are interchangeable; very long texts are encoded and stored whole; an empty table
+gives an empty result; only doc_id and text are read, so extra columns may have any
+name.
 """
 
 from __future__ import annotations
@@ -217,19 +219,12 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, text: str = "te
             if rows:
                 yield _batch(rows)
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # keys of one partition
-        for batch in batches:
-            fresh = []
-            for key in batch.column(1).to_pylist():
-                fresh.append(key not in seen)
-                seen.add(key)
-            yield batch.filter(pa.array(fresh))
-
     path = {k: new_path(spark, k) for k in ("pack", "recipes", "manifest")}
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     encoded = docs.select("doc_id", text).mapInArrow(encode, PACK)
-    encoded.repartition(parts, "key").mapInArrow(once, PACK).write.option("compression", "zstd").parquet(path["pack"])
+    # equal chunks of different tasks: the first, by a sort that can spill
+    once = encoded.repartition(parts, "key").dropDuplicates(["key"])
+    once.write.option("compression", "zstd").parquet(path["pack"])
 
     recipes = spark.read.schema(PACK).parquet(path["pack"]).where("kind = 'r'").select("doc_id", "n_tokens", "keys")
     recipes = recipes.withColumn("leaf", leaf())

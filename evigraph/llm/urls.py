@@ -15,7 +15,10 @@ Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, with
 A-Z lower-cased; path: from there up to ``?``, ``#`` or the end.  Without
 ``://``, or for null, both are empty, no rule fits and the default holds.  Of
 the fitting host rules the longest wins; without one, a fitting pattern rule
-blocks; otherwise the row is allowed.  Extra columns are carried along.
+blocks; otherwise the row is allowed.  Equal rows, and rows with one page_id, are
+judged one by one; very long urls are read whole; an empty table gives an empty
+result.  Extra columns are carried along, whatever their names (host, path, rule
+and verdict are replaced).
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import LOWER, UPPER
+from evigraph.llm.common import LOWER, UPPER, carried, own_names
 
 TOKEN = r"[a-z0-9]+"
 
@@ -93,16 +96,17 @@ def token_counts(urls: DataFrame, rules: tuple[Rule, ...]) -> dict[str, int]:
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES, url: str = "url", max_rules: int = 20_000) -> DataFrame:
     """Adds host, path, rule (host rules only) and verdict."""
     host, path = split_url(F.col(url))
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = carried(pages, "host", "path", "rule", "verdict")
     rows = pages.select(*kept, host.alias("host"), path.alias("path"))
     seen = token_counts(rows, rules)
     rarest = [min(r.tokens, key=lambda t: (seen.get(t, 0), t)) if r.tokens else None for r in rules]
-    out = rows.withColumn("_j", F.lit(None).cast(JUDGED))
+    own = own_names(rows, "judged")[0]
+    out = rows.withColumn(own, F.lit(None).cast(JUDGED))
     for first in range(0, len(rules), max_rules):
         judged = _matcher(rules[first : first + max_rules], rarest[first : first + max_rules])
-        out = out.withColumn("_j", judged("host", "path", "_j.best", "_j.weight", "_j.verdict"))
-    verdict = F.coalesce("_j.verdict", F.lit("allow"))
-    return out.select(*kept, "host", "path", F.when(F.col("_j.weight") > 0, F.col("_j.best")).alias("rule"), verdict.alias("verdict"))
+        out = out.withColumn(own, judged("host", "path", f"{own}.best", f"{own}.weight", f"{own}.verdict"))
+    verdict = F.coalesce(f"{own}.verdict", F.lit("allow"))
+    return out.select(*kept, "host", "path", F.when(F.col(f"{own}.weight") > 0, F.col(f"{own}.best")).alias("rule"), verdict.alias("verdict"))
 
 
 JUDGED = "struct<best: string, weight: int, verdict: string>"

@@ -478,7 +478,7 @@ def brute_kept(rows, least=lines.LEAST):
                 first[line] = (i, k)
     kept = collections.defaultdict(list)
     for line, place in first.items():
-        if not any(p < place and len(line) >= least and len(o) >= least and within_one(o, line) for o, p in first.items() if o != line):
+        if not any(p < place and len(line) >= least and within_one(o, line) for o, p in first.items() if o != line):
             kept[place[0]].append(place[1])
     return {i: sorted(v) for i, v in kept.items()}
 
