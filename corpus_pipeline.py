@@ -26,7 +26,7 @@ from evigraph.llm.common import carried, materialize, own_names, word_count
 
 SHARDS = 40
 #: From here on a text is in no language, however many there are; short clean texts stay well below.
-MOST_NOISE = 0.99
+MOST_NOISE = 0.95
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
