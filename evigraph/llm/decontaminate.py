@@ -32,30 +32,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm.common import carried
-from evigraph.llm.wordhash import WordHashes, grams, trim, worker_hashes
+from evigraph.llm.wordhash import grams, plain_words, trim
 
 LEAST_MATCH = 4
 FOUND = "array<struct<item_id: long, score: double, begin: int, end: int>>"
 
 
-def plain(word: str) -> bytes:
-    word = word.lower()
-    bare = word.strip(".,;:!?\"'()[]")
-    if bare.isalnum():
-        return bare.encode()
-    return "".join(c for c in word if c.isalnum()).encode()
-
-
-def words_of(text: str | None, hashes: WordHashes) -> np.ndarray:
-    w = hashes.of((text or "").split())
-    return w[w != 0]
-
-
 def least_score(n_words: int, threshold: float) -> int:
     """The least whole score that counts as found."""
     return max(math.ceil(threshold * n_words - 1e-9), min(n_words, LEAST_MATCH), 1)
@@ -107,8 +94,7 @@ def spots(text_grams: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.nd
 
 
 def all_grams(ids: list, texts: list[str | None], threshold: float) -> Items:
-    hashes = WordHashes(plain)
-    words = [words_of(t, hashes) for t in texts]
+    words = list(plain_words(pa.array(texts, pa.string())))
     least = np.array([least_score(len(w), threshold) for w in words], np.int64)
     index = {}
     for n in sorted({gram_size(t) for w, t in zip(words, least, strict=True) if len(w)}):
@@ -126,12 +112,10 @@ def count_documents(docs: DataFrame, items: Items, text: str) -> dict[tuple[int,
     """In how many documents each n-gram of the items occurs: at most one row an n-gram comes to the driver."""
     tables = items.tables()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = worker_hashes("plain", plain)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {n: np.zeros(len(keys), np.int64) for n, (keys, _) in tables.items()}
         for batch in batches:
-            for body in batch[text]:
-                w = words_of(body, hashes)
+            for w in plain_words(batch.column(0)):
                 for n, table in tables.items():
                     g = grams(w, n)
                     hit = spots(g, table) if len(g) else g
@@ -139,10 +123,10 @@ def count_documents(docs: DataFrame, items: Items, text: str) -> dict[tuple[int,
                         sums[n][np.unique(np.searchsorted(table[0], g[hit]))] += 1
         for n, s in sums.items():
             held = np.flatnonzero(s)
-            yield pd.DataFrame({"n": np.full(len(held), n), "at": held, "docs": s[held]})
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), n, np.int32)), pa.array(held), pa.array(s[held])], names=["n", "at", "docs"])
         trim()
 
-    rows = docs.select(text).mapInPandas(run, "n int, at long, docs long").groupBy("n", "at").agg(F.sum("docs").alias("docs")).collect()
+    rows = docs.select(text).mapInArrow(run, "n int, at long, docs long").groupBy("n", "at").agg(F.sum("docs").alias("docs")).collect()
     return {(r["n"], r["at"]): r["docs"] for r in rows}
 
 
@@ -259,14 +243,16 @@ def annotate(docs: DataFrame, items: DataFrame, threshold: float = 0.4, text: st
 
 
 def _examiner(chosen: Items):
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hashes, tables = worker_hashes("plain", plain), chosen.tables()
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("begin", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tables = chosen.tables()
         for texts in batches:
-            found = (examine(words_of(body, hashes), chosen, tables) for body in texts)
-            yield pd.Series([[{"item_id": i, "score": s, "begin": b, "end": e} for i, s, b, e in hits] for hits in found], dtype=object)
+            found = (examine(words, chosen, tables) for words in plain_words(texts))
+            yield pa.array([[{"item_id": i, "score": s, "begin": b, "end": e} for i, s, b, e in hits] for hits in found], kind)
         trim()
 
-    return F.pandas_udf(run, FOUND)
+    return F.arrow_udf(run, FOUND)
 
 
 def pairs(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -7,13 +7,15 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("evigraph.llm")
 import public_tokenizers  # noqa: E402
 
-from evigraph.llm import decontaminate, jaccard, langid, lines, mixing, pivots, secrets, sharding, token_store, urls  # noqa: E402
+from evigraph.llm import decontaminate, jaccard, langid, lines, mixing, pivots, secrets, sharding, token_store, urls, wordhash  # noqa: E402
+from evigraph.llm.wordhash import plain_words, raw_words  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -607,9 +609,31 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
+def slow_plain(text):
+    words = ("".join(c for c in w if c.isalnum()) for w in (text or "").lower().split())
+    return [w for w in words if w]
+
+
+@pytest.mark.parametrize("stretch", [wordhash.STRETCH, 16])
+def test_words_of_batches_are_words_of_texts(monkeypatch, stretch):
+    monkeypatch.setattr(wordhash, "STRETCH", stretch)
+    rng = random.Random(2)
+    odd = ["a  b\tC c", None, "", "  ", "É é ÜBER über.", "x" * 3000 + " yy", "no break \u2014 dash \u201cquoted\u201d \u2026", "don't we'll 12,34 a-b", "\x1cfoo bar", "日本語 テキスト", " lead", "trail "]
+    texts = odd + ["".join(rng.choice("abcDEé.,-  \n\t") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    for words_of, slow in ((raw_words, lambda t: (t or "").encode().lower().split()), (plain_words, slow_plain)):
+        for part in (texts, [None], [""], []):
+            seen, back = {}, {}
+            got = list(words_of(pa.array(part, pa.string())))
+            assert len(got) == len(part)
+            for hashes, text in zip(got, part, strict=True):
+                want = slow(text)
+                assert len(hashes) == len(want)
+                for h, w in zip(hashes.tolist(), want, strict=True):
+                    assert seen.setdefault(w, h) == h and back.setdefault(h, w) == w
+
+
 def test_hashes_are_digests_of_whole_sets():
-    h = jaccard.WordHashes()
-    a, b = jaccard.shingles("A b c d e f", h), jaccard.shingles("a B c d e f f", h)
+    a, b = (jaccard.shingles(w) for w in raw_words(pa.array(["A b c d e f", "a B c d e f f"])))
     assert len(a) == 2 and len(b) == 3 and set(a.tolist()) < set(b.tolist())
     assert jaccard.fingerprint(a) != jaccard.fingerprint(b)
     assert math.isclose(len(hashlib.blake2b(a.tobytes()).digest()), 64)
