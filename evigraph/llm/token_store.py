@@ -96,15 +96,20 @@ class Encoder:
         )
         self.special = [t["content"] for t in spec.get("added_tokens", ())]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.letter = "H" if self.dtype.itemsize == 2 else "I"
+        self.short = [struct.Struct(f"<{n}{self.letter}").pack for n in range(32)]
         self.model = self.tokenizer.model
+        self.tokenize = self.model.tokenize
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.bytes_as = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.space = self.bytes_as[32]
         self.pieces_of = regex.compile(PIECES).findall
         self.pieces, self.heads, self.units = _Kept(self.model_ids, CACHE // 4), _Kept(self.at_start, CACHE // 4), _Kept(self.after_space, CACHE)
 
     def pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
+        n = len(ids)
+        return self.short[n](*ids) if n < len(self.short) else struct.pack(f"<{n}{self.letter}", *ids)
 
     def whole(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -114,10 +119,12 @@ class Encoder:
             shown = piece.replace(" ", self.bytes_as[32])
         else:
             shown = piece.encode().decode("latin-1").translate(self.bytes_as)
-        return self.pack([t.id for t in self.model.tokenize(shown)])
+        return self.pack([t.id for t in self.tokenize(shown)])
 
     def after_space(self, word: str) -> bytes:
         """Ids of a word and the single space before it; the word may hold line ends but not at its ends."""
+        if word.isalpha() and word.isascii():  # most words
+            return self.pack([t.id for t in self.tokenize(self.space + word)])
         return self.word(" ", word, self.units)
 
     def at_start(self, word: str) -> bytes:
@@ -303,13 +310,19 @@ def chunk_facts(spark: SparkSession, path: dict[str, str], tokenizer: str) -> Da
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = _width(tokenizer)
         for batch in batches:
-            keys, ns, crcs = [], [], []
-            for key, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if _digest(payload) != key:
+            if not batch.num_rows:
+                continue
+            _, offsets, body = batch.column(1).buffers()
+            ends = np.frombuffer(offsets, np.int32)[batch.column(1).offset :][: batch.num_rows + 1].astype(np.int64)
+            stored = memoryview(body)[ends[0] : ends[-1]]
+            ids = memoryview(np.frombuffer(stored, dtype).astype("<u4")).cast("B")
+            wide, crcs = 4 // dtype.itemsize, []
+            places = (ends - ends[0]).tolist()
+            for key, a, b in zip(batch.column(0).to_pylist(), places, places[1:], strict=False):
+                if _digest(stored[a:b]) != key:
                     raise ValueError(f"chunk {key.hex()} doesn't hold what its key says")
-                ids = np.frombuffer(payload, dtype).astype("<u4")
-                keys.append(key), ns.append(len(ids)), crcs.append(zlib.crc32(ids.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(crcs, pa.int64())], names=["key", "n", "crc"])
+                crcs.append(zlib.crc32(ids[a * wide : b * wide]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends) // dtype.itemsize), pa.array(crcs, pa.int64())], names=["key", "n", "crc"])
 
     pack = spark.read.schema(PACK).parquet(path["pack"]).where("kind = 'c'").select("key", "payload")
     return pack.mapInArrow(read, "key binary, n long, crc long")
@@ -330,21 +343,37 @@ def _times(a: int, b: int) -> int:
     return out
 
 
-_shift: dict[int, int] = {}
+_tables: list[np.ndarray] = []
 
 
-def crc_after(crc: int, following: int, size: int) -> int:
-    """CRC-32 of two strings put together, from theirs and the second's bytes."""
-    power = _shift.get(size)
-    if power is None:
-        power, square, left = 0x80000000, 0x00800000, size  # x^0, x^8
-        while left:
-            if left & 1:
-                power = _times(power, square)
-            square = _times(square, square)
-            left >>= 1
-        _shift[size] = power
-    return _times(crc, power) ^ following
+def _table(k: int) -> np.ndarray:
+    """What a checksum's four bytes become when 2 ** k bytes follow."""
+    while len(_tables) <= k:
+        power = 0x00800000  # x^8
+        for _ in range(len(_tables)):
+            power = _times(power, power)
+        bits = np.array([_times(1 << i, power) for i in range(32)], np.uint32)
+        values = np.arange(256)
+        _tables.append(np.stack([np.bitwise_xor.reduce(np.where(values[:, None] >> np.arange(8) & 1, bits[8 * j : 8 * j + 8], np.uint32(0)), axis=1) for j in range(4)]).astype(np.uint32))
+    return _tables[k]
+
+
+def crc_shifted(crcs: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Shares of parts in the CRC-32 of the whole, from their own and the number of bytes after them; xor puts them together."""
+    out = crcs.astype(np.uint32)
+    for k in range(int(following.max(initial=0)).bit_length()):
+        at = np.flatnonzero(following >> k & 1)
+        c, t = out[at], _table(k)
+        out[at] = t[0][c & 255] ^ t[1][c >> 8 & 255] ^ t[2][c >> 16 & 255] ^ t[3][c >> 24]
+    return out
+
+
+def crcs_of_wholes(crcs: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """CRC-32 of strings put together from parts; each string's parts begin at its start."""
+    upto = np.cumsum(sizes)
+    many = np.diff(np.append(starts, len(crcs)))
+    whole = np.repeat(upto[starts + many - 1], many)
+    return np.bitwise_xor.reduceat(crc_shifted(crcs, whole - upto), starts)
 
 
 def read(spark: SparkSession, path: dict[str, str], tokenizer: str) -> DataFrame:
@@ -363,15 +392,13 @@ def read(spark: SparkSession, path: dict[str, str], tokenizer: str) -> DataFrame
     parts = F.array_sort(F.collect_list(F.struct("at", "n", "crc")))
     docs = joined.groupBy("position", "doc_id", "start").agg(parts.alias("parts"))
 
-    @F.pandas_udf("long")
-    def together(parts: pd.Series) -> pd.Series:
-        out = []
-        for steps in parts:
-            crc = 0
-            for step in steps:
-                crc = crc_after(crc, int(step["crc"]), 4 * int(step["n"]))
-            out.append(crc)
-        return pd.Series(out, dtype="int64")
+    @F.arrow_udf("long")
+    def together(parts: pa.Array) -> pa.Array:
+        if not len(parts):
+            return pa.array([], pa.int64())
+        flat, starts = parts.flatten(), parts.offsets.to_numpy()
+        crcs, sizes = flat.field("crc").to_numpy(zero_copy_only=False), 4 * flat.field("n").to_numpy(zero_copy_only=False)
+        return pa.array(crcs_of_wholes(crcs, sizes, starts[:-1] - starts[0]).astype(np.int64))
 
     lost = F.exists("parts", lambda p: p["n"].isNull())
     checked = docs.withColumn("parts", F.when(lost, F.raise_error(F.lit("a chunk of a recipe is missing"))).otherwise(F.col("parts")))

@@ -418,6 +418,17 @@ def test_token_store_refuses_other_recipes(spark, tmp_path):
         "none": kept.where("false"),
     }
     assert kept.where(f"length(keys) > {n}").count() == 4 and token_store.verify_manifest(spark, stored) == 0
+    whole = spark.read.schema(token_store.PACK).parquet(stored["pack"])
+    tampered = whole.withColumn("payload", F.when(F.col("kind") == "c", F.concat(F.expr("substring(payload, 3)"), F.expr("substring(payload, 1, 2)"))))
+    tampered.write.parquet(f"{tmp_path}/pack")
+    with pytest.raises(Exception, match="doesn't hold what its key says"):
+        token_store.read(spark, {**stored, "pack": f"{tmp_path}/pack"}, TOKENIZER).collect()
+    whole.where("kind = 'r'").write.parquet(f"{tmp_path}/lost")
+    with pytest.raises(Exception, match="a chunk of a recipe is missing"):
+        token_store.read(spark, {**stored, "pack": f"{tmp_path}/lost"}, TOKENIZER).collect()
+    spark.read.parquet(stored["manifest"]).where("level > 0 OR node > 0").write.parquet(f"{tmp_path}/manifest")
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.read(spark, {**stored, "manifest": f"{tmp_path}/manifest"}, TOKENIZER)
     for name, rows in changes.items():
         rows.write.parquet(f"{tmp_path}/{name}")
         with pytest.raises(ValueError, match="manifest"):
@@ -434,8 +445,12 @@ def test_token_store_odd_rows(spark):
 
 
 def test_crc_of_parts():
-    a, b = b"some bytes", b"and others, more of them"
-    assert token_store.crc_after(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+    rng = random.Random(3)
+    parts = [[rng.randbytes(rng.choice([1, 4, 100, 5000, 70_000])) for _ in range(rng.randint(1, 9))] for _ in range(20)]
+    flat = [p for whole in parts for p in whole]
+    starts = np.cumsum([0, *map(len, parts)])[:-1]
+    got = token_store.crcs_of_wholes(np.array([zlib.crc32(p) for p in flat]), np.array([len(p) for p in flat]), starts)
+    assert got.tolist() == [zlib.crc32(b"".join(whole)) for whole in parts]
 
 
 def within_one(a, b):
