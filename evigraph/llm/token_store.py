@@ -122,12 +122,14 @@ class Encoder:
         return self.pack([t.id for t in self.tokenize(shown)])
 
     def after_space(self, word: str) -> bytes:
-        """Ids of a word and the single space before it; the word may hold line ends but not at its ends."""
+        """Ids of a word and the single space before it."""
         if word.isalpha() and word.isascii():  # most words
             return self.pack([t.id for t in self.tokenize(self.space + word)])
         return self.word(" ", word, self.units)
 
     def at_start(self, word: str) -> bytes:
+        if word.isalpha() and word.isascii():
+            return self.pack([t.id for t in self.tokenize(word)])
         return self.word("", word, self.heads)
 
     def word(self, before: str, word: str, kept: _Kept) -> bytes:
@@ -139,23 +141,20 @@ class Encoder:
             return self.model_ids(before + word)
         if word[-1] in ".," and word[:-1].isalpha():
             return kept[word[:-1]] + self.pieces[word[-1]]
-        if "\n" in word:  # a single line end between others' characters is a piece of its own
-            first, *rest = word.split("\n")
-            if all(p and not p[0].isspace() and not p[-1].isspace() for p in (first, *rest)):
-                return kept[first] + b"".join(self.pieces["\n"] + self.heads[p] for p in rest)
         return b"".join(map(self.pieces.__getitem__, self.pieces_of(before + word)))
 
+    def line(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        return self.heads[first] + b"".join(map(self.units.__getitem__, rest))
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if not self.fast or any(s in text for s in self.special):
             return self.whole(text)
-        first, *rest = text.split(" ")
         try:
-            if rest and not first:
-                raise _Unsafe
-            start = self.heads[first] if first else b""
-            return start + b"".join(map(self.units.__getitem__, rest))
+            # a single line end between others' characters is a piece of its own
+            return self.pieces["\n"].join(map(self.line, text.split("\n"))) if "\n" in text else self.line(text)
         except _Unsafe:
             if max(text) >= "ɐ":
                 return self.whole(text)
@@ -231,7 +230,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, text: str = "te
     encoded = docs.select("doc_id", text).mapInArrow(encode, PACK)
     # equal chunks of different tasks: the first, by a sort that can spill
     once = encoded.repartition(parts, "key").dropDuplicates(["key"])
-    once.write.option("compression", "zstd").parquet(path["pack"])
+    # keys and payloads are all different: a dictionary of them would only be tried and thrown away
+    once.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path["pack"])
 
     recipes = spark.read.schema(PACK).parquet(path["pack"]).where("kind = 'r'").select("doc_id", "n_tokens", "keys")
     recipes = recipes.withColumn("leaf", leaf())
