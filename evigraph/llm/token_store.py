@@ -266,8 +266,7 @@ def prefix_sums(rows: DataFrame, order: list[str], value: str) -> DataFrame:
     is windowed in one task.
     """
     spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     laid = materialize_at(laid, "ordered")[0].withColumn("_part", F.shiftright("_at", 33))
     totals = laid.groupBy("_part").agg(F.sum(value).alias("_v"), F.count(F.lit(1)).alias("_n"))
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -298,10 +297,12 @@ def leaf():
 
 def verify_manifest(spark: SparkSession, path: dict[str, str]) -> int:
     """Number of Merkle nodes that differ from what they cover, leaves from their recipes."""
-    built = merkle(spark.read.parquet(path["recipes"]).select(F.col("position").alias("node"), leaf().alias("digest"))).withColumn("built", F.lit(True))
-    kept = spark.read.parquet(path["manifest"]).withColumn("kept", F.lit(True))
-    both = built.join(kept, ["level", "node", "digest"], "full_outer")
-    return both.where("built IS NULL OR kept IS NULL").select("level", "node").distinct().count()
+    built = merkle(spark.read.parquet(path["recipes"]).select(F.col("position").alias("node"), leaf().alias("digest")))
+    kept = spark.read.parquet(path["manifest"])
+    both = built.select("level", "node", "digest", F.lit(1).alias("side")).unionByName(kept.select("level", "node", "digest", F.lit(-1).alias("side")))
+    # each node once from either, with one digest
+    nodes = both.groupBy("level", "node").agg(F.sum("side").alias("sides"), F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    return nodes.where("sides != 0 OR n != 2 OR low != high OR low IS NULL").count()
 
 
 def chunk_facts(spark: SparkSession, path: dict[str, str], tokenizer: str) -> DataFrame:
