@@ -39,6 +39,8 @@ WINDOW = 192
 BATCH = 48
 EMBED = 8
 FILTERS = {2: 8, 3: 12, 4: 12}
+#: Rows of all languages together that are learned from, at most.
+MAX_PICKED = 100_000
 PREDICTED = "struct<lang_pred: string, score: double, noise: double>"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -185,14 +187,18 @@ def train(labelled: DataFrame, per_language: int = 300, train_windows: int = 4,
     # rows are picked by digest alone, first inside slices of a language, so that no language comes together; then their texts are fetched
     picked = rows.select("lang", "digest").distinct()
     sliced, first = (Window.partitionBy("lang", *more).orderBy("digest") for more in ([F.substring("digest", -2, 2)], []))
-    for window in (sliced, first):
-        picked = picked.withColumn("n", F.row_number().over(window)).where(F.col("n") <= per_language).drop("n")
+    for window, most in ((sliced, -(-per_language // 16)), (first, per_language)):
+        picked = picked.withColumn("n", F.row_number().over(window)).where(F.col("n") <= most).drop("n")
+    wanted = picked.limit(MAX_PICKED + 1).collect()
+    if len(wanted) > MAX_PICKED:
+        raise ValueError("too many languages to learn")
+    picked = labelled.sparkSession.createDataFrame(wanted, picked.schema)
 
     @F.pandas_udf("array<binary>")
     def some(texts: pd.Series, digests: pd.Series) -> pd.Series:
         return pd.Series([spread(t, train_windows, int(d[:15], 16)) for t, d in zip(texts, digests, strict=True)])
 
-    chosen = rows.join(picked, ["lang", "digest"]).dropDuplicates(["lang", "digest"])
+    chosen = rows.join(F.broadcast(picked), ["lang", "digest"]).dropDuplicates(["lang", "digest"])
     got = sorted((r["lang"], r["digest"], r["x"]) for r in chosen.select("lang", "digest", some("text", "digest").alias("x")).collect())  # bounded
     langs = sorted({lang_ for lang_, _, x in got if x})
     if not langs:
