@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions import kernels as K
-from evigraph.operators.order import totals_before
+from evigraph.operators.order import quantiles, totals_before
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,7 @@ def background_threshold(values: DataFrame, value: str, q: float = 0.75, positiv
     """One row: the exact, linearly interpolated quantile over all finite values."""
     x = K.finite(F.col(value))
     x = F.when(x > 0, x) if positive else x
-    return values.agg(F.percentile(x, F.lit(q)).alias("tq"), F.count(x).alias("background"))
+    return quantiles(values, x, [q]).select(F.col("q")[0].alias("tq"), F.col("n").alias("background"))
 
 
 def signaling_factors(values: DataFrame, universe: DataFrame, key: str, value: str, q: float = 0.75, floor: float = 0.5) -> DataFrame:
@@ -109,7 +109,7 @@ def log2_histogram(values: DataFrame, value: str, bins: int = 41, least_span: fl
 
 def quantile_curve(values: DataFrame, value: str, steps: int = 100) -> DataFrame:
     qs = [i / steps for i in range(steps + 1)]
-    return values.agg(F.percentile(value, F.array(*[F.lit(q) for q in qs])).alias("q")).select(F.posexplode("q").alias("step", "value"))
+    return quantiles(values, F.col(value), qs).select(F.posexplode("q").alias("step", "value"))
 
 
 def percentile_position(values: DataFrame, key: str, value: str) -> DataFrame:

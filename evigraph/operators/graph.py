@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,20 +109,85 @@ def hop_costs(edges: DataFrame, target, max_hops: int) -> DataFrame:
     return out
 
 
-def top_paths(edges: DataFrame, start, target, k: int, max_hops: int, width: int = 200, allowed: DataFrame | None = None) -> DataFrame:
+#: Up to so many edges, which are counted, a graph is searched in one task; beyond, hop by hop over the cluster.
+LOCAL_EDGES = 2_000_000
+
+
+def best_first(src: np.ndarray, dst: np.ndarray, cost: np.ndarray, start, target, k: int, max_hops: int) -> list[tuple[list, float]]:
+    """The k cheapest loopless paths (nodes, cost): partial paths in the order of their cost and the least cost to go.
+
+    The cost to go in so many hops is exact for walks, hence a lower bound for paths,
+    so paths arrive in order and the search ends with the k-th and its ties.
+    """
+    names, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    u, v = ends[: len(src)], ends[len(src) :]
+    place = {name: i for i, name in enumerate(names.tolist())}
+    if start not in place or target not in place or start == target:
+        return []
+    order = np.argsort(u, kind="stable")
+    u, v, cost = u[order], v[order], cost[order]
+    first = np.searchsorted(u, np.arange(len(names) + 1))
+    to_go = [np.full(len(names), np.inf)]
+    to_go[0][place[target]] = 0.0
+    for _ in range(max_hops):
+        now = to_go[-1].copy()
+        np.minimum.at(now, u, cost + to_go[-1][v])
+        to_go.append(now)
+    goal, found, bound = place[target], [], np.inf
+    heap = [(float(to_go[max_hops][place[start]]), 0.0, (place[start],))]
+    while heap:
+        whole, so_far, path = heapq.heappop(heap)
+        if whole > bound + 1e-9 or whole == np.inf:
+            break
+        if path[-1] == goal:
+            found.append((path, so_far))
+            if len(found) == k:
+                bound = so_far
+            continue
+        left = max_hops - len(path)
+        if left < 0:
+            continue
+        near = slice(first[path[-1]], first[path[-1] + 1])
+        sums = so_far + cost[near]
+        wholes = sums + to_go[left][v[near]]
+        for i in np.flatnonzero(wholes <= bound + 1e-9).tolist():
+            node = int(v[near][i])
+            if node not in path and wholes[i] < np.inf:
+                heapq.heappush(heap, (float(wholes[i]), float(sums[i]), (*path, node)))
+    labels = names.tolist()
+    return sorted((([labels[i] for i in path], total) for path, total in found), key=lambda r: (r[1], r[0]))[:k]
+
+
+def top_paths(edges: DataFrame, start, target, k: int, max_hops: int, width: int = 200, allowed: DataFrame | None = None, local_edges: int = LOCAL_EDGES, bans: DataFrame | None = None) -> DataFrame:
     """The k cheapest loopless paths of at most ``max_hops`` steps: (cost, nodes, hops), exact.
 
-    The least costs to the target prune twice: a narrow beam gives k paths, whose
-    k-th cost is a bound, and the full expansion drops whatever can't get below
-    it.  ``edges``: (src, dst, p, cost).  ``allowed``: nodes that may lie between.
+    A graph of at most ``local_edges`` edges is searched best first in one task.
+    For larger ones the least costs to the target prune twice: a narrow beam gives k
+    paths, whose k-th cost is a bound, and the full expansion drops whatever can't
+    get below it.  ``edges``: (src, dst, p, cost).  ``allowed``: nodes that may lie
+    between.  ``bans``: (src, dst) steps that must not be taken.
     """
     from evigraph.sources.state import cut
 
     edges = edges.where(F.col("src") != F.col("dst")).select("src", "dst", "cost")
+    if bans is not None:
+        edges = edges.join(bans.select("src", "dst"), ["src", "dst"], "left_anti")
+    kind = edges.schema["dst"].dataType.simpleString()
     if allowed is not None:
-        ends = allowed.select("node").unionByName(edges.sparkSession.createDataFrame([(start,), (target,)], f"node {edges.schema['dst'].dataType.simpleString()}")).distinct()
+        ends = allowed.select("node").unionByName(edges.sparkSession.createDataFrame([(start,), (target,)], f"node {kind}")).distinct()
         edges = edges.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
     steps = cut(edges, "steps")
+    if steps.count() <= local_edges:
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = [b for b in batches if len(b)]
+            if held:
+                rows = pd.concat(held).groupby(["src", "dst"], as_index=False)["cost"].min()
+                paths = best_first(rows["src"].to_numpy(), rows["dst"].to_numpy(), rows["cost"].to_numpy(float), start, target, k, max_hops)
+                if paths:
+                    yield pd.DataFrame({"nodes": [p for p, _ in paths], "cost": [c for _, c in paths]})
+
+        found = steps.coalesce(1).mapInPandas(search, f"nodes array<{kind}>, cost double")
+        return cut(found, "paths").withColumn("hops", F.size("nodes") - 1)
     best = cut(hop_costs(steps, target, max_hops), "best")
 
     def expand(bound: float | None) -> DataFrame:

@@ -31,3 +31,66 @@ def with_rank(rows: DataFrame, by: Column, name: str = "rank") -> DataFrame:
     counts = keyed.groupBy("_by").agg(F.count(F.lit(1)).alias("_n"))
     ranked = totals_before(counts, ["_by"], "_n", "_before").select("_by", (F.col("_before") + 1).cast("long").alias(name))
     return keyed.join(ranked, "_by").drop("_by")
+
+
+ACCURACY = 100_000
+FEW = 8
+
+
+def _many_quantiles(x: DataFrame, qs: list[float]) -> DataFrame:
+    counted = x.groupBy("x").agg(F.count(F.lit(1)).alias("m"))
+    n = counted.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"))
+    place = F.transform(F.array(*[F.lit(q) for q in qs]), lambda q: q * (F.col("n") - 1))
+    n = n.select("n", place.alias("place"), F.array_distinct(F.concat(F.transform(place, lambda p: F.floor(p)), F.transform(place, lambda p: F.ceil(p)))).alias("ranks"))
+    ranked = totals_before(counted, ["x"], "m").join(F.broadcast(n))  # one row
+    hit = ranked.select("x", F.explode(F.filter("ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("m")))).alias("rank"))
+    found = hit.agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))  # two ranks a quantile at most
+
+    def between(p: Column) -> Column:
+        low, high = F.element_at("at", F.floor(p)), F.element_at("at", F.ceil(p))
+        return F.when(F.col("n") > 0, low + (high - low) * (p - F.floor(p)))
+
+    return n.join(F.broadcast(found)).select(F.transform("place", between).alias("q"), "n")
+
+
+def quantiles(values: DataFrame, value: Column, qs: list[float]) -> DataFrame:
+    """One row (q, n): exact, linearly interpolated quantiles, and the number of values that aren't null.
+
+    A summary of bounded size brackets each quantile within 2 / ACCURACY of the
+    rows; the values below a bracket are counted, and only the different values
+    inside the brackets come together.  Many quantiles are picked from running
+    counts of all different values instead.
+    """
+    x = values.select(value.cast("double").alias("x")).where("x IS NOT NULL")
+    if len(qs) > FEW:
+        return _many_quantiles(x, qs)
+    ends = [min(1.0, max(0.0, q + side * 2 / ACCURACY)) for q in qs for side in (-1, 1)]
+    rough = x.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", F.array(*[F.lit(e) for e in ends]), F.lit(ACCURACY)).alias("ends"))
+    bracketed = x.join(F.broadcast(rough.select("ends")))  # one row
+    low, high = (lambda i: F.col("ends")[2 * i]), (lambda i: F.col("ends")[2 * i + 1])
+    each = lambda f: F.array(*[f(i) for i in range(len(qs))])
+    below = bracketed.agg(
+        each(lambda i: F.count_if(F.col("x") < low(i))).alias("below"),
+        # the summary's ranks may be one off
+        each(lambda i: F.max(F.when(F.col("x") < low(i), F.col("x")))).alias("before"),
+        each(lambda i: F.min(F.when(F.col("x") > high(i), F.col("x")))).alias("after"),
+    )
+    inside = F.lit(False)
+    for i in range(len(qs)):
+        inside = inside | F.col("x").between(low(i), high(i))
+    held = bracketed.where(inside).groupBy("x").agg(F.count(F.lit(1)).alias("m"))
+    held = held.agg(F.array_sort(F.collect_list(F.struct("x", "m"))).alias("held"))
+    row = rough.join(F.broadcast(below)).join(F.broadcast(held))  # one row each
+
+    def at(rank: Column, i: int) -> Column:
+        entries = F.filter("held", lambda e: e["x"].between(low(i), high(i)))
+        start = F.struct(F.col("below")[i].alias("seen"), F.lit(None).cast("double").alias("hit"))
+        step = lambda acc, e: F.struct((acc["seen"] + e["m"]).alias("seen"), F.coalesce(acc["hit"], F.when(acc["seen"] + e["m"] > rank, e["x"])).alias("hit"))
+        return F.when(rank < F.col("below")[i], F.col("before")[i]).otherwise(F.coalesce(F.aggregate(entries, start, step)["hit"], F.col("after")[i]))
+
+    out = []
+    for i, q in enumerate(qs):
+        place = F.lit(q) * (F.col("n") - 1)
+        one, two = at(F.floor(place), i), at(F.ceil(place), i)
+        out.append(F.when(F.col("n") > 0, one + (two - one) * (place - F.floor(place))))
+    return row.select(F.array(*out).alias("q"), "n")

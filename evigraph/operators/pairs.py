@@ -40,11 +40,20 @@ def dense_products(vectors: DataFrame, node: str, vector: str) -> DataFrame:
     return met.select(F.col("a.n").alias("node_a"), F.col("b.n").alias("node_b"), dot.alias("dot"), (dot / F.when(F.col("a.norm") * F.col("b.norm") > 0, F.col("a.norm") * F.col("b.norm"))).alias("cosine"))
 
 
-def node_thresholds(pairs: DataFrame, value: str, q: float = 0.75, positive_fallback: bool = True) -> DataFrame:
-    """(node, tq): quantile of a node's values with all others; of the positive ones if that isn't positive; else null."""
-    mirrored = pairs.select(F.col("node_a").alias("node"), value).unionByName(pairs.select(F.col("node_b").alias("node"), value))
+def node_thresholds(pairs: DataFrame, value: str, q: float = 0.75, positive_fallback: bool = True, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, tq): quantile of a node's values with all others; of the positive ones if that isn't positive; else null.
+
+    ``nodes`` (node): pairs of these that have no row count as zeros, in one row a
+    node with their number.
+    """
+    mirrored = pairs.select(F.col("node_a").alias("node"), value).unionByName(pairs.select(F.col("node_b").alias("node"), value)).withColumn("times", F.lit(1).cast("long"))
+    if nodes is not None:
+        n = nodes.select("node").distinct()
+        held = n.join(mirrored.groupBy("node").agg(F.count(F.lit(1)).alias("held")), "node", "left").join(F.broadcast(n.agg(F.count(F.lit(1)).alias("all"))))  # one row
+        zeros = held.select("node", F.lit(0.0).alias(value), (F.col("all") - 1 - F.coalesce("held", F.lit(0))).alias("times")).where("times > 0")
+        mirrored = mirrored.unionByName(zeros)
     x = F.col(value)
-    got = mirrored.groupBy("node").agg(F.percentile(x, F.lit(q)).alias("q"), F.percentile(F.when(x > 0, x), F.lit(q)).alias("p"))
+    got = mirrored.groupBy("node").agg(F.percentile(x, F.lit(q), F.col("times")).alias("q"), F.percentile(F.when(x > 0, x), F.lit(q), F.col("times")).alias("p"))
     second = F.when(F.col("p") > 0, F.col("p")) if positive_fallback else F.lit(None).cast("double")
     return got.select("node", F.when(F.col("q") > 0, F.col("q")).otherwise(second).alias("tq"))
 
@@ -103,13 +112,15 @@ def eligibility_fill(pairs: DataFrame, factors: DataFrame, unseen: float) -> Dat
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Replace: the new table's row wins; within a table the last by ``seq``."""
     rows = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))
-    w = Window.partitionBy(*keys).orderBy(F.desc("_side"), F.desc("seq"))
+    others = [F.col(c).asc_nulls_last() for c in sorted(set(old.columns) - {*keys, "seq"})]
+    w = Window.partitionBy(*keys).orderBy(F.desc("_side"), F.desc("seq"), *others)
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_side")
 
 
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Ignore: rows whose key is there already are left out."""
-    first = new.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))).where("_n = 1").drop("_n")
+    others = [F.col(c).asc_nulls_last() for c in sorted(set(new.columns) - {*keys, "seq"})]
+    first = new.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("seq", *others))).where("_n = 1").drop("_n")
     return old.unionByName(first.join(old, keys, "left_anti"))
 
 

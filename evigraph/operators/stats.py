@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph.operators.order import quantiles
+
 from evigraph.functions import kernels as K
 
 
@@ -115,7 +117,7 @@ def threshold_sweep(values: DataFrame, value: str, tq: Column, multipliers: list
 
 def compressed_scale(values: DataFrame, value: str) -> DataFrame:
     """log10(1 + x) where the tail is long (q99 over 100 medians, or over 1e4), else x."""
-    stats = values.agg(F.percentile(value, F.array(F.lit(0.5), F.lit(0.99))).alias("q"))
+    stats = quantiles(values, F.col(value), [0.5, 0.99]).select("q")
     rows = values.join(F.broadcast(stats))  # one row
     long_tail = (F.col("q")[1] > 100 * F.col("q")[0]) | (F.col("q")[1] > 1e4)
     return rows.withColumn("shown", F.when(long_tail, F.log10(1 + F.col(value))).otherwise(F.col(value))).withColumn("compressed", long_tail).drop("q")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph.operators.order import quantiles
 from evigraph.functions.special import t_pvalue
 
 EPS = float(np.finfo(float).eps)
@@ -30,9 +31,8 @@ def variance_trend(points: DataFrame, bins: int = 25, least: int = 20) -> DataFr
     At most ``bins`` rows: medians inside a bin are one group-by, edges one aggregate.
     """
     usable = points.where((F.col("n") >= 2) & (F.col("intensity") > 0) & (F.col("variance") >= 0)).select(F.log10("intensity").alias("x"), "variance")
-    edges = usable.agg(
-        F.array_distinct(F.percentile("x", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("edges"), F.greatest(F.percentile("variance", F.lit(0.5)), F.lit(EPS)).alias("overall")
-    )
+    edges = quantiles(usable, F.col("x"), [i / bins for i in range(bins + 1)]).select(F.array_distinct("q").alias("edges"))
+    edges = edges.join(quantiles(usable, F.col("variance"), [0.5]).select(F.greatest(F.col("q")[0], F.lit(EPS)).alias("overall")))  # one row each
     rows = usable.join(F.broadcast(edges))  # one row
     at = F.size(F.filter("edges", lambda e: e <= F.col("x")))
     rows = rows.withColumn("bin", F.least(at, F.size("edges") - 1))

@@ -415,12 +415,12 @@ def ontology_closure(t: Tables) -> DataFrame:
 
 @query(
     "nearest_anchor",
-    f"{CLOS}, a AS (SELECT node, ancestor, distance FROM mn JOIN part ON p_partkey = ancestor WHERE p_retailprice > 1200) SELECT node, arg_min(ancestor, (distance, ancestor)) AS anchor, min(distance)::INT AS distance FROM a GROUP BY 1",
+    f"{CLOS}, a AS (SELECT node, ancestor, distance FROM mn JOIN part ON p_partkey = ancestor WHERE p_size > 45) SELECT node, arg_min(ancestor, (distance, ancestor)) AS anchor, min(distance)::INT AS distance FROM a GROUP BY 1",
 )
 def nearest_anchor(t: Tables) -> DataFrame:
     from evigraph.operators.graph import closure
 
-    anchors = t.part.where("p_retailprice > 1200").select(F.col("p_partkey").alias("ancestor"))
+    anchors = t.part.where("p_size > 45").select(F.col("p_partkey").alias("ancestor"))
     rows = closure(dag(t)).join(anchors, "ancestor", "left_semi")
     return rows.groupBy("node").agg(F.min_by("ancestor", F.struct("distance", "ancestor")).alias("anchor"), F.min("distance").alias("distance"))
 
@@ -455,9 +455,21 @@ def extract_links(t: Tables) -> DataFrame:
     return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count_distinct("target").alias("targets"))
 
 
-@query("html_tables")
+@query(
+    "html_tables",
+    "SELECT n_nationkey AS page_id, 0 AS \"table\", 0 AS row, 'Name|Region' AS cells FROM nation UNION ALL SELECT n_nationkey, 0, 1, n_name || '|' || n_regionkey FROM nation UNION ALL SELECT n_nationkey, 1, 0, 'x y' FROM nation WHERE n_nationkey % 2 = 0",
+)
 def tables_of_pages(t: Tables) -> DataFrame:
-    return html_tables(t.pages, "page_id").select("page_id", "table", "row", F.array_join("cells", "|").alias("cells"))
+    """The driver's pages hold no tables, so pages are made from nations."""
+    head = "<html><TABLE class=a><tr><th>Name</th><th>Region</th></tr>\n<tr><td><b>"
+    page = F.concat(F.lit(head), "n_name", F.lit("</b></td><td>"), F.col("n_regionkey").cast("string"), F.lit("</td></tr></TABLE>"), F.when(F.col("n_nationkey") % 2 == 0, "<table><tr><td>x\n y</td></tr></table>").otherwise(""))
+    pages = t.nation.select(F.col("n_nationkey").alias("page_id"), page.alias("html"))
+    return html_tables(pages, "page_id").select("page_id", "table", "row", F.array_join("cells", "|").alias("cells"))
+
+
+@query("html_tables_of_pages", "SELECT page_id, len(regexp_extract_all(lower(html), '<table')) AS tables FROM pages")
+def tables_in_pages(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", F.regexp_count(F.lower("html"), F.lit("<table")).cast("long").alias("tables"))
 
 
 @query("truthy_text", "SELECT c_custkey, c_acctbal > 0 AS positive, lower(trim(CASE WHEN c_acctbal > 5000 THEN ' Yes' WHEN c_acctbal > 0 THEN '1.0' ELSE 'TRUE ' END)) IN ('true', '1', 'yes') AS flag FROM customer")

@@ -65,6 +65,11 @@ THRESH = (
     "mir AS (SELECT node_a AS node, {v} AS v FROM prod UNION ALL SELECT node_b, {v} FROM prod), "
     "th AS (SELECT node, CASE WHEN quantile_cont(v, 0.75) > 0 THEN quantile_cont(v, 0.75) ELSE quantile_cont(v, 0.75) FILTER (WHERE v > 0) END AS tq FROM mir GROUP BY 1)"
 )
+#: The same over all pairs: those without a common dimension count as zeros.
+ZERO_THRESH = (
+    "mir AS (SELECT a.s AS node, coalesce({v}, 0) AS v FROM nrm a JOIN nrm b ON a.s <> b.s LEFT JOIN prod ON node_a = least(a.s, b.s) AND node_b = greatest(a.s, b.s)), "
+    + THRESH[THRESH.index("th AS") :]
+)
 RECIP = (
     "SELECT prod.node_a, prod.node_b, round({v}, 6) AS {v}, round((CASE WHEN a.tq IS NULL THEN 0.5 ELSE greatest(0.5, 1 - exp(-0.5 * power(greatest({v}, 0) / a.tq, 2))) END + "
     "CASE WHEN b.tq IS NULL THEN 0.5 ELSE greatest(0.5, 1 - exp(-0.5 * power(greatest({v}, 0) / b.tq, 2))) END) / 2 / 0.5, 6) AS factor "
@@ -77,18 +82,39 @@ def profiles(t: Tables) -> DataFrame:
     return rows.groupBy(F.col("l_suppkey").alias("s"), F.col("c_nationkey").alias("d")).agg(F.sum("l_quantity").alias("w"))
 
 
-def _reciprocal(products: DataFrame, value: str) -> DataFrame:
-    return rounded(P.reciprocal_factors(products, P.node_thresholds(products, value), value).select("node_a", "node_b", value, "factor"))
+def _reciprocal(rows: DataFrame, value: str, continuous: bool = False) -> DataFrame:
+    """Pairs without a common dimension are zeros in the thresholds, and have no row."""
+    products = P.sparse_products(rows, "s", "d", "w")
+    thresholds = P.node_thresholds(products, value, nodes=rows.select(F.col("s").alias("node")))
+    return rounded(P.reciprocal_factors(products, thresholds, value, continuous=continuous).select("node_a", "node_b", value, "factor"))
 
 
-@query("pair_dot_bf", f"WITH {PROFILE}, {THRESH.format(v='dot')} {RECIP.format(v='dot')}")
+@query("pair_dot_bf", f"WITH {PROFILE}, {ZERO_THRESH.format(v='dot')} {RECIP.format(v='dot')}")
 def pair_dot(t: Tables) -> DataFrame:
-    return _reciprocal(P.sparse_products(profiles(t), "s", "d", "w"), "dot")
+    return _reciprocal(profiles(t), "dot")
 
 
-@query("pair_cosine_bf", f"WITH {PROFILE}, {THRESH.format(v='cosine')} {RECIP.format(v='cosine')}")
+@query("pair_cosine_bf", f"WITH {PROFILE}, {ZERO_THRESH.format(v='cosine')} {RECIP.format(v='cosine')}")
 def pair_cosine(t: Tables) -> DataFrame:
-    return _reciprocal(P.sparse_products(profiles(t), "s", "d", "w"), "cosine")
+    return _reciprocal(profiles(t), "cosine")
+
+
+SPARSE_PROFILE = PROFILE.replace("l_orderkey = o_orderkey JOIN", "l_orderkey = o_orderkey AND l_quantity >= 49 AND l_discount > 0.07 JOIN")
+
+
+def sparse_profiles(t: Tables) -> DataFrame:
+    rows = t.lineitem.where("l_quantity >= 49 AND l_discount > 0.07").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return rows.groupBy(F.col("l_suppkey").alias("s"), F.col("c_nationkey").alias("d")).agg(F.sum("l_quantity").alias("w"))
+
+
+@query("pair_dot_sparse_bf", f"WITH {SPARSE_PROFILE}, {ZERO_THRESH.format(v='dot')} {RECIP.format(v='dot')}")
+def pair_dot_sparse(t: Tables) -> DataFrame:
+    return _reciprocal(sparse_profiles(t), "dot")
+
+
+@query("pair_dot_sparse_continuous_bf", f"WITH {SPARSE_PROFILE}, {ZERO_THRESH.format(v='dot')} {RECIP.format(v='dot').replace('greatest(0.5,', 'greatest(0.5e-6,')}")
+def pair_dot_continuous(t: Tables) -> DataFrame:
+    return _reciprocal(sparse_profiles(t), "dot", continuous=True)
 
 
 EMB = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import kernels as K
 from evigraph.functions.keys import joined_set
+from evigraph.operators.order import quantiles
 from evigraph.operators import evidence as E
 from evigraph.operators.order import with_rank
 from evigraph.plans.catalog import Tables, query, rounded
@@ -69,7 +70,7 @@ def node_transcript(t: Tables) -> DataFrame:
     f"WITH {SITE} SELECT symbol, l_orderkey, l_linenumber, round(lfc, 6) AS lfc, round(greatest(0.5, 1 - exp(-0.5 * power(abs(lfc) / tq, 2))), 6) AS factor FROM best, st",
 )
 def node_site_max(t: Tables) -> DataFrame:
-    tq = sites(t).agg(F.percentile(F.abs("lfc"), F.lit(0.75)).alias("tq"))
+    tq = quantiles(sites(t), F.abs("lfc"), [0.75]).select(F.col("q")[0].alias("tq"))
     rows = best_sites(t).join(F.broadcast(tq))  # one row
     return rounded(rows.select("symbol", "l_orderkey", "l_linenumber", "lfc", K.floored_factor(F.abs("lfc"), F.col("tq")).alias("factor")))
 
@@ -104,7 +105,7 @@ def ledger(t: Tables) -> DataFrame:
         factor = E.stream_factor(stream, F.col("x"), F.col("tq"), F.lit(True), F.col("x").isNotNull(), None)
         return rows.select("symbol", F.lit(ord_).alias("ord"), F.lit(name).alias("stream"), F.lit(weight).alias("weight"), factor.alias("factor"))
 
-    tq = sites(t).agg(F.percentile(F.abs("lfc"), F.lit(0.75)).alias("tq"))
+    tq = quantiles(sites(t), F.abs("lfc"), [0.75]).select(F.col("q")[0].alias("tq"))
     site = best_sites(t).join(F.broadcast(tq))  # one row
     site = site.select("symbol", F.lit(3).alias("ord"), F.lit("site").alias("stream"), F.lit(0.8).alias("weight"), K.floored_factor(F.abs("lfc"), F.col("tq")).alias("factor"))
     return abundance(quantity(t), 1, "abundance", 1.0, 0.5, False).unionByName(abundance(returned_revenue(t), 2, "revenue", 0.5, 1.0, True)).unionByName(site)

@@ -15,6 +15,8 @@ def state_dir(spark: SparkSession) -> str:
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="evigraph-")
@@ -50,12 +52,10 @@ class StateStore:
         return None if v is None else self.spark.read.parquet(f"{self.root}/{name}/v={v}")
 
     def replace(self, name: str, df: DataFrame) -> int:
+        """A crash at any point leaves the old version or the new one, never none."""
+        from evigraph.sources.feeds import put_text
+
         v = (self.version(name) or 0) + 1
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={v}")
-        new = self._path(f"{self.root}/{name}.json.{uuid.uuid4().hex}")
-        out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps({"version": v}).encode()))
-        out.close()
-        self._fs.delete(self._manifest(name), False)
-        self._fs.rename(new, self._manifest(name))
+        put_text(self.spark, f"{self.root}/{name}.json", json.dumps({"version": v}))
         return v
