@@ -98,19 +98,15 @@ def describe(rows: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> Da
 
 
 def candidates(left: np.ndarray, right: np.ndarray, pivot: int, least: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that share ``least`` pivots and none smaller than this list's, counted list by list."""
-    counts, earlier = np.zeros((len(left), len(right)), np.uint8), np.zeros((len(left), len(right)), bool)
-    lists = []
-    for order in (left, right):
-        flat, at = order.ravel(), np.argsort(order, axis=None, kind="stable")
-        named, start = np.unique(flat[at], return_index=True)
-        lists.append(dict(zip(named.tolist(), np.split(at // order.shape[1], start[1:]), strict=True)))
-    for p in lists[0].keys() & lists[1].keys():
-        cell = np.ix_(lists[0][p], lists[1][p])
-        counts[cell] += 1
-        if p < pivot:
-            earlier[cell] = True
-    found = (counts >= least) & ~earlier
+    """Pairs that share ``least`` pivots and none smaller than this list's: a product of the block's inverted lists counts them."""
+    width = left.shape[1]
+    named, at = np.unique(np.concatenate([left, right]).ravel(), return_inverse=True)
+    lists = np.zeros((len(left) + len(right), len(named)), np.float32)
+    lists[np.repeat(np.arange(len(lists)), width), at] = 1
+    x, y = lists[: len(left)], lists[len(left) :]
+    smaller = int(np.searchsorted(named, pivot))
+    found = x @ y.T >= least
+    found &= x[:, :smaller] @ y[:, :smaller].T == 0
     return np.nonzero(np.triu(found, 1) if same else found)
 
 
