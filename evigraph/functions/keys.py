@@ -57,6 +57,14 @@ def duplicates(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).count().where("count > 1")
 
 
+def left_join(left: DataFrame, right: DataFrame, *on: str, one_to_one: bool = False) -> DataFrame:
+    """Left join whose right keys must be unique, and the left ones too if ``one_to_one``; a key that isn't stops it."""
+    for side, df in (("right", right), ("left", left))[: 1 + one_to_one]:
+        if not duplicates(df, *on).isEmpty():
+            raise ValueError(f"the {side} table holds a key more than once")
+    return left.join(right, list(on), "left")
+
+
 def close_names(names: DataFrame, wanted: str, column: str, most: int = 5, least_ratio: float = 0.45) -> DataFrame:
     """Nearest names by edit distance, as a share of the longer name."""
     ratio = 1 - F.levenshtein(F.lower(F.col(column)), F.lit(wanted.lower())) / F.greatest(F.length(column), F.lit(len(wanted)))

@@ -50,6 +50,14 @@ def windows_of(text: Column, size: int) -> Column:
     return F.transform(places, lambda i: F.struct(i.alias("at"), F.substring(text, i, F.lit(size)).alias("window")))
 
 
+def target_sites(text: Column, flank: int, residues: str, letters: str) -> Column:
+    """Sites of one sequence: array<struct<at, residue, window>> with a residue asked for in the middle and known letters only."""
+    size = 2 * flank + 1
+    good = lambda w: F.rlike(w["window"], F.lit(f"^[{letters}]{{{flank}}}[{residues}][{letters}]{{{flank}}}$"))
+    site = lambda w: F.struct((w["at"] + flank).alias("at"), F.substring(w["window"], flank + 1, 1).alias("residue"), w["window"].alias("window"))
+    return F.transform(F.filter(windows_of(text, size), good), site)
+
+
 def weight_scores(windows: DataFrame, weights: DataFrame, key: list[str]) -> DataFrame:
     """Position-weight sums: (key, window) against (model, letter, pos, weight); windows that occur often are scored once."""
     different = windows.select("window").distinct()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,28 +19,59 @@ def co_occurring(rows: DataFrame, group: str, member: str) -> DataFrame:
     return met.groupBy(F.col(f"a.{member}").alias("node_a"), F.col(f"b.{member}").alias("node_b")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Nodes a block, and dimensions that a block's product takes at a time.
+BLOCK, DIMENSIONS = 1024, 4096
+#: Partners of a hub that one task joins with as many others.
+CHUNK = 2000
+
+
 def sparse_products(profiles: DataFrame, node: str, dim: str, w: str) -> DataFrame:
-    """(node_a, node_b, dot, cosine) from long profiles: an equi-join on the dimension, only pairs with one in common."""
-    norms = profiles.groupBy(node).agg(F.sqrt(F.sum(F.col(w) * F.col(w))).alias("norm"))
-    p = profiles.join(norms, node).select(node, dim, w, "norm")
-    a, b = p.alias("a"), p.alias("b")
-    met = a.join(b, (F.col(f"a.{dim}") == F.col(f"b.{dim}")) & (F.col(f"a.{node}") < F.col(f"b.{node}")))
-    return met.groupBy(F.col(f"a.{node}").alias("node_a"), F.col(f"b.{node}").alias("node_b")).agg(
-        F.sum(F.col(f"a.{w}") * F.col(f"b.{w}")).alias("dot"),
-        F.sum(F.col(f"a.{w}") * F.col(f"b.{w}") / F.when(F.col("a.norm") * F.col("b.norm") > 0, F.col("a.norm") * F.col("b.norm"))).alias("cosine"),
-    )
+    """(node_a, node_b, dot, cosine) from long profiles, of the pairs with a dimension in common."""
+    rows = profiles.where(F.col(w).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.collect_list(F.struct(F.xxhash64(dim).alias("d"), F.col(w).cast("double").alias("w"))).alias("e"))
+    return block_products(rows.select("node", F.transform("e", lambda e: e["d"]).alias("dims"), F.transform("e", lambda e: e["w"]).alias("weights")))
 
 
 def dense_products(vectors: DataFrame, node: str, vector: str) -> DataFrame:
-    """All pairs of short dense vectors, a stated all-pairs job: blocks of nodes meet by an equi-join on the block pair."""
-    blocks = 16
-    rows = vectors.select(F.col(node).alias("n"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    rows = rows.withColumn("norm", K.norm(F.col("v"))).withColumn("own", F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int"))
-    left = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).alias("a")
-    right = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).alias("b")
-    met = left.join(right, (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own")) & (F.col("a.n") < F.col("b.n")))
-    dot = K.dot(F.col("a.v"), F.col("b.v"))
-    return met.select(F.col("a.n").alias("node_a"), F.col("b.n").alias("node_b"), dot.alias("dot"), (dot / F.when(F.col("a.norm") * F.col("b.norm") > 0, F.col("a.norm") * F.col("b.norm"))).alias("cosine"))
+    """(node_a, node_b, dot, cosine) of all pairs of dense vectors, a stated all-pairs job."""
+    places = F.transform(F.sequence(F.lit(1), F.size(vector)), lambda i: i.cast("long"))
+    return block_products(vectors.where(F.size(vector) > 0).select(F.col(node).alias("node"), places.alias("dims"), F.transform(vector, lambda x: x.cast("double")).alias("weights")))
+
+
+def block_products(rows: DataFrame) -> DataFrame:
+    """Products of all pairs of (node, dims, weights), block by block of nodes, each pair of blocks one matrix product in a task of its own."""
+    blocks = max(1, -(-rows.count() // BLOCK))
+    own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("node", "dims", "weights", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    kind = rows.schema["node"].dataType.simpleString()
+    return dealt.groupBy("i", "j").applyInArrow(_products, f"node_a {kind}, node_b {kind}, dot double, cosine double")
+
+
+def _products(table: pa.Table) -> pa.Table:
+    dims, weights = table.column("dims").combine_chunks(), table.column("weights").combine_chunks()
+    many = np.diff(dims.offsets.to_numpy())
+    row = np.repeat(np.arange(len(many)), many)
+    names, at = np.unique(dims.flatten().to_numpy(), return_inverse=True)
+    w = weights.flatten().to_numpy(zero_copy_only=False)
+    norm = np.sqrt(np.bincount(row, w * w, len(many)))
+    first = np.flatnonzero(table.column("own").to_numpy() == table.column("i").to_numpy())
+    second = np.flatnonzero(table.column("own").to_numpy() == table.column("j").to_numpy())
+    dot, common = np.zeros((len(first), len(second))), np.zeros((len(first), len(second)), np.float32)
+    for lowest in range(0, len(names), DIMENSIONS):
+        pick = (at >= lowest) & (at < lowest + DIMENSIONS)
+        values, held = np.zeros((len(many), min(DIMENSIONS, len(names) - lowest))), np.zeros((len(many), min(DIMENSIONS, len(names) - lowest)), np.float32)
+        np.add.at(values, (row[pick], at[pick] - lowest), w[pick])
+        held[row[pick], at[pick] - lowest] = 1
+        dot += values[first] @ values[second].T
+        common += held[first] @ held[second].T
+    a, b = np.nonzero(np.triu(common, 1) if len(first) == len(second) and (first == second).all() else common)
+    dot, length = dot[a, b], norm[first[a]] * norm[second[b]]
+    node = table.column("node").combine_chunks()
+    one, two = node.take(pa.array(first[a])), node.take(pa.array(second[b]))
+    low = pc.less(one, two)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cosine = pa.array(dot / length, mask=length <= 0)
+    return pa.table({"node_a": pc.if_else(low, one, two), "node_b": pc.if_else(low, two, one), "dot": pa.array(dot), "cosine": cosine})
 
 
 def node_thresholds(pairs: DataFrame, value: str, q: float = 0.75, positive_fallback: bool = True, nodes: DataFrame | None = None) -> DataFrame:
@@ -58,6 +92,19 @@ def node_thresholds(pairs: DataFrame, value: str, q: float = 0.75, positive_fall
     return got.select("node", F.when(F.col("q") > 0, F.col("q")).otherwise(second).alias("tq"))
 
 
+def seed_thresholds(new: DataFrame, seeds: DataFrame, node: str, dim: str, w: str, q: float = 0.75) -> DataFrame:
+    """(node, tq): for new profiles the quantile of their products with all seed profiles, those without a common dimension as zeros."""
+    a = new.select(F.col(node).alias("node"), F.col(dim).alias("d"), F.col(w).alias("wa"))
+    b = seeds.select(F.col(node).alias("seed"), F.col(dim).alias("d"), F.col(w).alias("wb"))
+    products = a.join(b, "d").groupBy("node", "seed").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    n = b.agg(F.count_distinct("seed").alias("seeds"))
+    held = a.select("node").distinct().join(products.groupBy("node").agg(F.count(F.lit(1)).alias("held")), "node", "left").join(F.broadcast(n))  # one row
+    zeros = held.select("node", F.lit(0.0).alias("dot"), (F.col("seeds") - F.coalesce("held", F.lit(0))).alias("times")).where("times > 0")
+    rows = products.select("node", "dot", F.lit(1).cast("long").alias("times")).unionByName(zeros)
+    got = rows.groupBy("node").agg(F.percentile("dot", F.lit(q), F.col("times")).alias("tq"))
+    return got.select("node", F.when(F.col("tq") > 0, F.col("tq")).alias("tq"))
+
+
 def reciprocal_factors(pairs: DataFrame, thresholds: DataFrame, value: str, multiplier: float = 1.0, continuous: bool = False, floor: float = 1e-6) -> DataFrame:
     """Mean of the likelihoods by either end's threshold, over the neutral one."""
     ta = thresholds.select(F.col("node").alias("node_a"), (F.col("tq") * multiplier).alias("tq_a"))
@@ -94,9 +141,11 @@ def incremental_pairs(nodes: DataFrame, node: str, new: Column) -> DataFrame:
 def shared_anchor_closure(anchors: DataFrame, hub: str, node: str, factor: float = 1.8, least: int = 1) -> DataFrame:
     """Pairs of nodes anchored to a common hub with two partners or more; binary, one pass."""
     a = anchors.select(F.col(hub).alias("hub"), F.col(node).alias("node")).distinct()
-    usable = a.groupBy("hub").count().where("count >= 2").select("hub")
-    a = a.join(usable, "hub", "left_semi")
-    met = a.alias("x").join(a.alias("y"), (F.col("x.hub") == F.col("y.hub")) & (F.col("x.node") < F.col("y.node")))
+    # a hub with many partners becomes pairs of chunks, each joined on its own
+    usable = a.groupBy("hub").count().where("count >= 2").select("hub", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
+    dealt = a.join(usable, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    same = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
+    met = dealt.alias("x").join(dealt.alias("y"), same & (F.col("x.node") < F.col("y.node")))
     grouped = met.groupBy(F.col("x.node").alias("node_a"), F.col("y.node").alias("node_b")).agg(
         F.count(F.lit(1)).alias("supporting"), F.array_join(F.array_sort(F.collect_set(F.col("x.hub").cast("string"))), ";").alias("hubs")
     )

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.operators.order import quantiles
 from evigraph.functions.special import t_pvalue
+from evigraph.operators.order import quantiles
 
 EPS = float(np.finfo(float).eps)
 
@@ -93,6 +95,27 @@ def response_draws(points: DataFrame, gene: str, time: str = "minute", draws: in
     return points.select(gene, time, "mean", "se").groupBy(gene).applyInPandas(run, f"{gene} {kind}, draw int, response double")
 
 
+def sensitivity(points: DataFrame, gene: str, site: str, priors: list[float], alphas: list[float], time: str = "minute") -> DataFrame:
+    """Responses for a grid (prior_df, alpha): each prior is worked out once, the cutoffs only gate it again."""
+    parts = [gene_responses(moderated_t(points, p), gene, site, time, alpha=1.0).withColumn("prior_df", F.lit(float(p))) for p in priors]
+    rows = functools.reduce(DataFrame.unionByName, parts).drop("passed")
+    return rows.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas]))).withColumn("passed", F.col("p") < F.col("alpha"))
+
+
+def sensitivity_paths(path_nodes: DataFrame, grid: DataFrame, draws: DataFrame, node: str) -> DataFrame:
+    """Order statistics of each path in each cell of the grid, over the nodes that pass there.
+
+    ``draws``: (prior_df, node, draw, response), one set a prior.
+    """
+    cell = ["prior_df", "alpha"]
+    key = lambda c: F.struct(*cell, c).alias(c)
+    passed = grid.where("passed").select(*cell, node)
+    placed = path_nodes.crossJoin(F.broadcast(grid.select(*cell).distinct()))  # the grid's few cells
+    drawn = passed.join(draws, ["prior_df", node])
+    out = path_order(placed.select(key("path"), "pos", key(node)), drawn.select(key(node), "draw", "response"), node)
+    return out.select("path.*", *[c for c in out.columns if c != "path"])
+
+
 def path_order(path_nodes: DataFrame, draws: DataFrame, node: str) -> DataFrame:
     """For each path: soft precedence and Kendall tau over the draws; (path, pos, node) against (node, draw, response)."""
     placed = path_nodes.join(draws, node).select("path", "pos", "draw", "response")

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.functions import kernels as K
+from evigraph.functions.keys import left_join
 from evigraph.operators import development as D
 from evigraph.operators import edge_stage as S
+from evigraph.operators import mapping as M
 from evigraph.operators import pairs as P
 from evigraph.operators import records as R
 from evigraph.operators import settings as C
@@ -433,6 +435,63 @@ def universe_subset(t: Tables) -> DataFrame:
     return S.both_ends(sharing(t), nodes(t).where("NOT kinase").select("node"))
 
 
+@query(
+    "new_profile_thresholds",
+    "WITH pf AS (SELECT l_suppkey AS s, l_partkey % 200 AS d, sum(l_quantity) AS w FROM lineitem WHERE l_quantity >= 49 GROUP BY 1, 2), a AS (SELECT * FROM pf WHERE s % 5 = 0), b AS (SELECT * FROM pf WHERE s % 5 <> 0), "
+    "n AS (SELECT DISTINCT s AS node FROM a), m AS (SELECT DISTINCT s AS seed FROM b), p AS (SELECT a.s AS node, b.s AS seed, sum(a.w * b.w) AS dot FROM a JOIN b USING (d) GROUP BY 1, 2), "
+    "v AS (SELECT n.node, coalesce(dot, 0) AS dot FROM n CROSS JOIN m LEFT JOIN p ON p.node = n.node AND p.seed = m.seed), t AS (SELECT node, quantile_cont(dot, 0.75) AS tq FROM v GROUP BY 1) SELECT node, CASE WHEN tq > 0 THEN round(tq, 6) END AS tq FROM t",
+)
+def new_profiles(t: Tables) -> DataFrame:
+    pf = t.lineitem.where("l_quantity >= 49").groupBy(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 200).alias("d")).agg(F.sum("l_quantity").alias("w"))
+    return rounded(P.seed_thresholds(pf.where("s % 5 = 0"), pf.where("s % 5 <> 0"), "s", "d", "w"))
+
+
+@query(
+    "target_phosphosites",
+    "WITH w AS (SELECT p_partkey, unnest(range(1, 29)) AS i, translate(md5(p_partkey::VARCHAR), '0123456789abcdef', 'STYACDEFGHIKLMN-') AS s FROM part) "
+    "SELECT p_partkey, (i + 2)::INT AS at, substr(s, i + 2, 1) AS residue, substr(s, i, 5) AS window FROM (SELECT p_partkey, i::INT AS i, s FROM w) WHERE regexp_full_match(substr(s, i, 5), '[A-Z]{2}[STY][A-Z]{2}')",
+)
+def target_sites(t: Tables) -> DataFrame:
+    sequence = F.translate(F.md5(F.col("p_partkey").cast("string")), "0123456789abcdef", "STYACDEFGHIKLMN-")
+    return t.part.select("p_partkey", F.explode(M.target_sites(sequence, 2, "STY", "A-Z")).alias("s")).select("p_partkey", "s.*")
+
+
+@query("left_join_validated", "SELECT o_orderkey, o_custkey, c_mktsegment FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def left_join_validated(t: Tables) -> DataFrame:
+    return left_join(t.orders.select("o_orderkey", "o_custkey"), t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey").select("o_orderkey", "o_custkey", "c_mktsegment")
+
+
+@query(
+    "binary_update_steps",
+    "WITH s AS (" + FIVE + "), a AS (SELECT node, f2, f5, p0 * f1 / (p0 * f1 + 1 - p0) AS p1 FROM s), b AS (SELECT node, f5, p1, p1 * f2 / (p1 * f2 + 1 - p1) AS p2 FROM a) "
+    "SELECT node, round(p1, 6) AS p1, round(p2, 6) AS p2, round(p2, 6) AS p3 FROM b",
+)
+def binary_steps(t: Tables) -> DataFrame:
+    """The last factor is missing and leaves the probability as it is."""
+    rows = t.supplier.select(F.col("s_suppkey").alias("node"), F.when(F.col("s_nationkey") % 2 == 0, 2.0).otherwise(1.0).alias("f1"), (1 + (F.col("s_suppkey") % 4) / 4.0).alias("f2"))
+    rows = rows.withColumn("p1", K.binary_update(F.lit(0.5), F.col("f1"))).withColumn("p2", K.binary_update(F.col("p1"), F.col("f2")))
+    return rounded(rows.withColumn("p3", K.binary_update(F.col("p2"), F.lit(None).cast("double"))).select("node", "p1", "p2", "p3"))
+
+
+@query(
+    "likelihood_without_clamp",
+    "SELECT c_custkey, round(greatest(0.5, 1 - exp(-0.5 * power(c_acctbal / 2500, 2))), 6) AS squared, round(greatest(0.5, 1 - exp(-0.5 * power(greatest(c_acctbal, 0) / 2500, 2))), 6) AS clamped FROM customer",
+)
+def without_clamp(t: Tables) -> DataFrame:
+    one = lambda clamp: K.floored_likelihood(F.col("c_acctbal"), F.lit(2500.0), clamp=clamp)
+    return rounded(t.customer.select("c_custkey", one(False).alias("squared"), one(True).alias("clamped")))
+
+
+@query("temporal_sensitivity")
+def temporal_sensitivity(t: Tables) -> DataFrame:
+    """The t distribution has no SQL; a test holds the grid against single runs."""
+    from evigraph.operators import temporal as T
+    from evigraph.plans.analysis import time_points
+
+    points = time_points(t)
+    return rounded(T.sensitivity(T.prior_variance(points, T.variance_trend(points)), "gene", "site", [2.0, 4.0, 8.0], [0.01, 0.05, 0.2]).select("gene", "prior_df", "alpha", "best_site", "p", "passed"))
+
+
 # -- a round of the search in six stages: three paths that end at different suppliers
 
 def _frontier(t: Tables) -> DataFrame:

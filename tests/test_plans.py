@@ -13,7 +13,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["node_posterior_histogram50", "edge_posterior", "pair_cosine_bf", "closure_shared_anchor", "direction_resolved", "information_bits_and_shift"])
+@pytest.mark.parametrize("name", ["node_posterior_histogram50", "edge_posterior", "closure_shared_anchor", "direction_resolved", "information_bits_and_shift"])
 def test_no_cartesian_products_and_no_python(spark, name):
     assert not re.search("CartesianProduct|Python|Pandas|Arrow", plan(CATALOG_QUERIES[name](spark, SF)))
 

@@ -155,6 +155,44 @@ def test_six_stages_of_a_round(spark, tmp_path):
     assert view["n_edges"] == 3 and json.loads(view["payload"])["edges"][0]["node_a"] == "B"
 
 
+def test_sensitivity_gates_again(spark):
+    from evigraph.operators import temporal as T
+
+    rng = random.Random(1)
+    rows = [(f"g{g}", f"s{k}", m, rng.gauss(g / 4, 1), abs(rng.gauss(1, 0.2)), 3, 0.8) for g in range(6) for k in range(2) for m in (1, 5, 15)]
+    points = spark.createDataFrame(rows, "gene string, site string, minute int, mean double, variance double, n int, prior_variance double")
+    grid = T.sensitivity(points, "gene", "site", [2.0, 8.0], [0.01, 0.2])
+    for prior, alpha in itertools.product((2.0, 8.0), (0.01, 0.2)):
+        one = {(r["gene"], r["best_site"], round(r["p"], 9), r["passed"]) for r in T.gene_responses(T.moderated_t(points, prior), "gene", "site", alpha=alpha).collect()}
+        cell = grid.where((F.col("prior_df") == prior) & (F.col("alpha") == alpha)).collect()
+        assert {(r["gene"], r["best_site"], round(r["p"], 9), r["passed"]) for r in cell} == one
+    draws = spark.createDataFrame([(p, f"g{g}", d, float(g + d)) for p in (2.0, 8.0) for g in range(6) for d in range(3)], "prior_df double, gene string, draw int, response double")
+    paths = spark.createDataFrame([(1, i, f"g{i}") for i in range(6)] + [(2, i, f"g{5 - i}") for i in range(6)], "path int, pos int, gene string")
+    got = {(r["prior_df"], r["alpha"], r["path"]): r["tau_mean"] for r in T.sensitivity_paths(paths, grid, draws, "gene").collect()}
+    assert got and all(v == (1 if k[2] == 1 else -1) for k, v in got.items())
+
+
+def test_validated_joins(spark):
+    from evigraph.functions.keys import left_join
+
+    one, two = spark.createDataFrame([(1, "a"), (1, "b")], "k int, x string"), spark.createDataFrame([(1, "c")], "k int, y string")
+    assert left_join(one, two, "k").count() == 2
+    for bad in ((two, one, False), (one, two, True)):
+        with pytest.raises(ValueError, match="more than once"):
+            left_join(bad[0], bad[1], "k", one_to_one=bad[2])
+
+
+def test_block_products_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    w = np.where(rng.random((40, 9)) < 0.3, rng.integers(1, 9, (40, 9)), 0)
+    rows = [(f"n{i}", f"d{j}", float(w[i, j])) for i in range(40) for j in range(9) if w[i, j]]
+    got = {(r["node_a"], r["node_b"]): (r["dot"], r["cosine"]) for r in P.sparse_products(spark.createDataFrame(rows, "n string, d string, w double"), "n", "d", "w").collect()}
+    want = {tuple(sorted((f"n{i}", f"n{j}"))): float(w[i] @ w[j]) for i in range(40) for j in range(i) if w[i] @ w[j] > 0}
+    assert {k: v for k, (v, _) in got.items()} == want
+    assert all(0 < c <= 1 + 1e-12 for _, c in got.values())
+
+
 def test_settings(spark):
     got = C.normalize_configuration({"edge_integration": {"prior_probability": 0.2}, "edge_streams": {"a": {"weight": 2}}}, ["a", "b"])
     assert got["edge_integration"]["prior_probability"] == 0.2 and got["edge_streams"]["a"]["weight"] == 2.0 and got["edge_streams"]["b"]["enabled"] is True
