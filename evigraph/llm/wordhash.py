@@ -16,6 +16,7 @@ SEPARATOR, DROPPED, KEPT = 0, 1, 2
 
 def trim() -> None:
     """Gives freed memory back to the system: workers live on from task to task, and their peaks would add up."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
