@@ -123,8 +123,11 @@ class Encoder:
 
     def after_space(self, word: str) -> bytes:
         """Ids of a word and the single space before it."""
-        if word.isalpha() and word.isascii():  # most words
-            return self.pack([t.id for t in self.tokenize(self.space + word)])
+        if word.isascii():  # most words
+            if word.isalpha():
+                return self.pack([t.id for t in self.tokenize(self.space + word)])
+            if word[-1:] in (",", ".") and word[:-1].isalpha():
+                return self.units[word[:-1]] + self.pieces[word[-1]]
         return self.word(" ", word, self.units)
 
     def at_start(self, word: str) -> bytes:
