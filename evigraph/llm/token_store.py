@@ -234,7 +234,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, text: str = "te
     # equal chunks of different tasks: the first, by a sort that can spill
     once = encoded.repartition(parts, "key").dropDuplicates(["key"])
     # keys and payloads are all different: a dictionary of them would only be tried and thrown away
-    once.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path["pack"])
+    once.write.option("compression", "snappy").option("parquet.enable.dictionary", "false").parquet(path["pack"])
 
     recipes = spark.read.schema(PACK).parquet(path["pack"]).where("kind = 'r'").select("doc_id", "n_tokens", "keys")
     recipes = recipes.withColumn("leaf", leaf())
