@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evigraph.llm import lines, mixing, secrets, sharding, urls
+from evigraph.llm import chat, codes, lines, mixing, secrets, sharding, urls
 from evigraph.llm.common import LOWER, UPPER, WORD_PATTERN
 
 
@@ -144,6 +144,73 @@ nl AS (SELECT doc_id, count(*) FILTER (WHERE line <> '') AS n_lines FROM l GROUP
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept, coalesce(kept_lines, '') AS kept_lines FROM documents d LEFT JOIN nl ON nl.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
+
+
+def _chat() -> str:
+    t = chat.Template()
+    hits = lambda x: f"len(regexp_extract_all({x}, {quoted(t.pattern('{}', '~*(?:{})'))}))"
+    size = lambda x: f"(length({x}) + {hits(x)})"
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+     UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+p AS (SELECT *, row_number() OVER w AS place, lag(role) OVER w IS DISTINCT FROM role AS opens FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (WHERE role = '{t.trained}'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = '{t.trained}'), '')) AS loss_sha256,
+ ({len(t.begin + t.end)} + sum({size('text')} + {len(t.turn_end)} + CASE WHEN opens THEN {len(t.header + t.header_end + t.gap)} + {size('role')} ELSE 0 END))::BIGINT AS formatted_chars
+FROM p GROUP BY conv_id
+"""
+
+
+def _funnels() -> str:
+    limit = 15 * 60 * 1_000_000
+    funnels = {"A": ("view", "click", "view", "purchase", "error"), "B": ("signup", "view", "click", "purchase", "error"), "C": ("click", "click", "purchase", "view", "signup")}
+    tables, ends = [], []
+    for f, (*steps, bad) in funnels.items():
+        tables.append(f"{f}1 AS (SELECT client_id, t, t AS t1 FROM e WHERE kind = '{steps[0]}')")
+        for k, step in enumerate(steps[1:], 2):
+            before = ", ".join(f"x.t{i}" for i in range(1, k))
+            tables.append(
+                f"{f}{k} AS (SELECT x.client_id, {before}, CASE WHEN n.t - x.t <= {limit} AND (b.t IS NULL OR b.t > n.t) THEN n.t END AS t{k}, t{k} AS t FROM {f}{k - 1} x "
+                f"ASOF LEFT JOIN (SELECT client_id, t FROM e WHERE kind = '{step}') n ON x.client_id = n.client_id AND x.t < n.t "
+                f"ASOF LEFT JOIN (SELECT client_id, t FROM e WHERE kind = '{bad}') b ON x.client_id = b.client_id AND x.t < b.t)"
+            )
+        ends.append(f"SELECT '{f}' AS funnel, client_id, t1, t2, t3, t4 FROM {f}4")
+    half = lambda k: f"list_sort(list(t{k} - t{k - 1}) FILTER (WHERE t{k} IS NOT NULL))[((50 * count(t{k}) + 99) // 100)::INT] AS t{k}"
+    return f"""
+WITH e AS (SELECT DISTINCT client_id, kind, epoch_us(ts) AS t FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND ts IS NOT NULL),
+{", ".join(tables)},
+a AS ({" UNION ALL ".join(ends)}),
+g AS (SELECT funnel, client_id, count(*) AS n1, count(t2) AS n2, count(t3) AS n3, count(t4) AS n4, {half(2)}, {half(3)}, {half(4)} FROM a GROUP BY 1, 2),
+d AS (SELECT *, (CASE WHEN n4 > 0 THEN 4 WHEN n3 > 0 THEN 3 WHEN n2 > 0 THEN 2 ELSE 1 END)::INT AS deepest FROM g)
+SELECT *, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM d
+"""
+
+
+def _codes() -> str:
+    """Rounds as tables of their own; whole numbers in doubles are exact here."""
+    nearest = lambda k: (
+        f"a{k} AS MATERIALIZED (SELECT vec_id, q.p, arg_min(b.e, (list_inner_product(b.v, b.v) - 2 * list_inner_product(q.v, b.v), b.e)) AS e, "
+        f"min(list_inner_product(b.v, b.v) - 2 * list_inner_product(q.v, b.v)) + any_value(list_inner_product(q.v, q.v)) AS err FROM q JOIN b{k} b ON b.p = q.p GROUP BY 1, 2)"
+    )
+    rounds = []
+    for k in range(codes.ROUNDS):
+        rounds.append(nearest(k))
+        rounds.append(
+            f"u{k} AS (SELECT p, e, i, floor(sum(v) / count(*)) AS c FROM (SELECT q.p, a.e, unnest(range(1, len(q.v) + 1)) AS i, unnest(q.v) AS v FROM a{k} a JOIN q ON q.vec_id = a.vec_id AND q.p = a.p) GROUP BY 1, 2, 3), "
+            f"b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.v, b.v) AS v FROM b{k} b LEFT JOIN (SELECT p, e, list(c ORDER BY i) AS v FROM u{k} GROUP BY 1, 2) n ON n.p = b.p AND n.e = b.e)"
+        )
+    last = codes.ROUNDS
+    return f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: floor({codes.SCALE} * x)) AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS MATERIALIZED (SELECT vec_id, p, v[p * len(v) // {codes.PARTS} + 1:(p + 1) * len(v) // {codes.PARTS}] AS v FROM k, range({codes.PARTS}) t(p)),
+b0 AS MATERIALIZED (SELECT p, e, v FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k) r JOIN q ON q.vec_id = r.vec_id WHERE e < {codes.ENTRIES}),
+{", ".join(rounds)}, {nearest(last)},
+s AS (SELECT sha256(string_agg(c::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS books FROM (SELECT p, e, unnest(range(len(v))) AS i, unnest(v) AS c FROM b{last})),
+f AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(err)::BIGINT AS error FROM a{last} GROUP BY 1)
+SELECT f.vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, books AS codebooks_sha256 FROM f JOIN k ON k.vec_id = f.vec_id, s
+"""
+
+
 #: The network, the alignment and the tokenizer's store can't be written in SQL.
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard": JACCARD,
@@ -153,4 +220,7 @@ ORACLE: dict[str, str] = {
     "op6_url_filters": _urls(),
     "op7_embedding_near_dedup": EMBEDDINGS,
     "op9_line_dedup": LINES,
+    "op11_chat_formatting": _chat(),
+    "op12_funnel_counting": _funnels(),
+    "op13_vector_codes": _codes(),
 }

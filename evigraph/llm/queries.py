@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import decontaminate, jaccard, langid, lines, mixing, pivots, secrets, sharding, token_store, urls
+from evigraph.llm import chat, codes, decontaminate, funnel, jaccard, langid, lines, mixing, pivots, secrets, sharding, token_store, urls
 from evigraph.llm.oracle import ORACLE
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -78,6 +78,43 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, stored, tokenizer)
 
 
+#: A conversation whose texts hold control strings of the common templates (fixed values).
+PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("conv_id", "turn", "role", "text")
+    probe = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in PROBE])
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(*names).unionByName(spark.range(1).select(F.inline(probe)))
+    formatted = chat.format_conversations(turns)
+    back = chat.read(formatted)
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+#: Steps and excluded kinds (fixed values).
+FUNNELS = [
+    funnel.Funnel("A", ("view", "click", "view", "purchase"), "error"),
+    funnel.Funnel("B", ("signup", "view", "click", "purchase"), "error"),
+    funnel.Funnel("C", ("click", "click", "purchase", "view"), "signup"),
+]
+
+
+def op12_funnel_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnel.count(spark.read.parquet(f"{sf_dir}/clicks.parquet").select("client_id", "kind", "ts"), FUNNELS)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_sharding": op2_sharding,
@@ -89,6 +126,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_chat_formatting": op11_chat_formatting,
+    "op12_funnel_counting": op12_funnel_counting,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
