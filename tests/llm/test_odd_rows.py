@@ -14,7 +14,7 @@ pytest.importorskip("evigraph.llm")
 import public_tokenizers  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from evigraph.llm import decontaminate, jaccard, langid, lines, mixing, pivots, secrets, sharding, token_store, urls  # noqa: E402
+from evigraph.llm import chat, codes, decontaminate, funnel, jaccard, langid, lines, mixing, pivots, secrets, sharding, token_store, urls  # noqa: E402
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Names that the operators use inside, or might.
@@ -50,6 +50,15 @@ def pages(spark):
     return spark.createDataFrame([(1, "https://example.org/es/1"), (1, "https://example.org/es/1"), (2, None), (3, ""), (4, long_url)], "page_id long, url string")
 
 
+def turns(spark):
+    return spark.createDataFrame([(i // 3, i % 3, ["user", "assistant", None][i % 3], [None, "a <s> b", ""][i % 3]) for i in range(12)] + [(None, None, None, None)], "conv_id long, turn long, role string, text string")
+
+
+def events(spark):
+    rows = [(i % 3, ["view", "click", "view", "purchase", "error", None][i % 6], f"2024-01-01 00:{i:02d}:00") for i in range(50)] + [(None, "view", None)]
+    return spark.createDataFrame(rows, "client_id long, kind string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 def stored(docs):
     spark = docs.sparkSession
     return token_store.read(spark, token_store.write(docs, TOKENIZER), TOKENIZER)
@@ -68,6 +77,9 @@ OPERATORS = {
     "op9": (texts, lines.report, False),
     "op9 texts": (texts, lines.deduplicate, True),
     "op10": (texts, lambda d: decontaminate.annotate(d, items(d.sparkSession)), True),
+    "op11": (turns, chat.format_conversations, False),
+    "op12": (events, lambda d: funnel.count(d, [funnel.Funnel("f", ("view", "click", "view"), "error")]), False),
+    "op13": (vectors, codes.compress, False),
     "language": (texts, lambda d: corpus_pipeline.language(d.sparkSession, d, ""), True),
     "near_duplicates": (texts, lambda d: corpus_pipeline.near_duplicates(d.sparkSession, d, ""), True),
     "mix": (texts, lambda d: corpus_pipeline.mix(d.sparkSession, d, ""), True),
@@ -96,7 +108,9 @@ def test_empty_tables_and_repeated_rows(spark, name):
     rows = make(spark)
     assert operator(rows.where("false")).count() == 0
     twice = operator(rows.unionAll(rows))
-    if name not in ("language", "near_duplicates", "mix"):
+    if name in ("op11", "op12"):  # a row for each conversation or client
+        assert twice.count() == operator(rows).count()
+    elif name not in ("language", "near_duplicates", "mix"):
         assert twice.count() == 2 * rows.count()
 
 
