@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
+import functools
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions import kernels as K
+from evigraph.sources.state import cut
 
 #: Classes of nodes, and the rules source class -> target class.
 CLASSES = (
@@ -94,123 +92,106 @@ def costs(edges: DataFrame, cutoff: float) -> DataFrame:
     return edges.where(F.col("p") > cutoff).select("src", "dst", "p", (-F.ln("p")).alias("cost"))
 
 
-def hop_costs(edges: DataFrame, target, max_hops: int) -> DataFrame:
-    """(node, hops, cost): least cost to the target in at most ``hops`` steps, one min-join a hop."""
-    from evigraph.sources.state import cut
+def hop_costs(edges: DataFrame, start, target, max_hops: int) -> DataFrame:
+    """(side, node, costs): least cost of a walk from the start (side 0) or to the target (side 1) in at most 0, 1, ... steps.
 
-    spark = edges.sparkSession
-    now = spark.createDataFrame([(target, 0.0)], f"node {edges.schema['dst'].dataType.simpleString()}, cost double")
-    out = now.withColumn("hops", F.lit(0))
-    for hop in range(1, max_hops + 1):
-        step = edges.join(now.select(F.col("node").alias("dst"), F.col("cost").alias("rest")), "dst").select(F.col("src").alias("node"), (F.col("cost") + F.col("rest")).alias("cost"))
-        # one row a node; without the cut each hop would double the plan
-        now = cut(now.unionByName(step).groupBy("node").agg(F.min("cost").alias("cost")), "hops")
-        out = out.unionByName(now.withColumn("hops", F.lit(hop)))
-    return out
-
-
-#: Up to so many edges, which are counted, a graph is searched in one task; beyond, hop by hop over the cluster.
-LOCAL_EDGES = 2_000_000
-
-
-def best_first(src: np.ndarray, dst: np.ndarray, cost: np.ndarray, start, target, k: int, max_hops: int) -> list[tuple[list, float]]:
-    """The k cheapest loopless paths (nodes, cost): partial paths in the order of their cost and the least cost to go.
-
-    The cost to go in so many hops is exact for walks, hence a lower bound for paths,
-    so paths arrive in order and the search ends with the k-th and its ties.
+    Both sides go in one min-join a step; a step's table has two rows a node at most,
+    and is written: its size is known then, so a small one is broadcast to the arcs.
     """
-    names, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
-    u, v = ends[: len(src)], ends[len(src) :]
-    place = {name: i for i, name in enumerate(names.tolist())}
-    if start not in place or target not in place or start == target:
-        return []
-    order = np.argsort(u, kind="stable")
-    u, v, cost = u[order], v[order], cost[order]
-    first = np.searchsorted(u, np.arange(len(names) + 1))
-    to_go = [np.full(len(names), np.inf)]
-    to_go[0][place[target]] = 0.0
+    spark, kind = edges.sparkSession, edges.schema["dst"].dataType.simpleString()
+    out, back = F.struct(F.lit(0).alias("side"), F.col("src").alias("node"), F.col("dst").alias("to")), F.struct(F.lit(1).alias("side"), F.col("dst").alias("node"), F.col("src").alias("to"))
+    arcs = cut(edges.select(F.explode(F.array(out, back)).alias("e"), "cost").select("e.side", "e.node", "e.to", "cost"), "arcs")
+    now = spark.createDataFrame([(0, start, 0.0), (1, target, 0.0)], f"side int, node {kind}, cost double")
+    levels = [now]
     for _ in range(max_hops):
-        now = to_go[-1].copy()
-        np.minimum.at(now, u, cost + to_go[-1][v])
-        to_go.append(now)
-    goal, found, bound = place[target], [], np.inf
-    heap = [(float(to_go[max_hops][place[start]]), 0.0, (place[start],))]
-    while heap:
-        whole, so_far, path = heapq.heappop(heap)
-        if whole > bound + 1e-9 or whole == np.inf:
-            break
-        if path[-1] == goal:
-            found.append((path, so_far))
-            if len(found) == k:
-                bound = so_far
-            continue
-        left = max_hops - len(path)
-        if left < 0:
-            continue
-        near = slice(first[path[-1]], first[path[-1] + 1])
-        sums = so_far + cost[near]
-        wholes = sums + to_go[left][v[near]]
-        for i in np.flatnonzero(wholes <= bound + 1e-9).tolist():
-            node = int(v[near][i])
-            if node not in path and wholes[i] < np.inf:
-                heapq.heappush(heap, (float(wholes[i]), float(sums[i]), (*path, node)))
-    labels = names.tolist()
-    return sorted((([labels[i] for i in path], total) for path, total in found), key=lambda r: (r[1], r[0]))[:k]
-
-
-def top_paths(edges: DataFrame, start, target, k: int, max_hops: int, width: int = 200, allowed: DataFrame | None = None, local_edges: int = LOCAL_EDGES, bans: DataFrame | None = None) -> DataFrame:
-    """The k cheapest loopless paths of at most ``max_hops`` steps: (cost, nodes, hops), exact.
-
-    A graph of at most ``local_edges`` edges is searched best first in one task.
-    For larger ones the least costs to the target prune twice: a narrow beam gives k
-    paths, whose k-th cost is a bound, and the full expansion drops whatever can't
-    get below it.  ``edges``: (src, dst, p, cost).  ``allowed``: nodes that may lie
-    between.  ``bans``: (src, dst) steps that must not be taken.
+        reached = arcs.join(now.withColumnRenamed("cost", "so_far"), ["side", "node"]).select("side", F.col("to").alias("node"), (F.col("so_far") + F.col("cost")).alias("cost"))
+        now = cut(reached.unionByName(now).groupBy("side", "node").agg(F.min("cost").alias("cost")), "hops")
+        levels.append(now)
+    rows = functools.reduce(DataFrame.unionByName, [level.withColumn("hop", F.lit(i)) for i, level in enumerate(levels)])
+    never = F.lit(float("inf"))
+    at = [F.coalesce(F.min(F.when(F.col("hop") == i, F.col("cost"))), never) for i in range(max_hops + 1)]
+    return cut(rows.groupBy("side", "node").agg(F.array(*at).alias("costs")), "hops")
+
+
+def top_paths(edges: DataFrame, start, target, k: int, max_hops: int, allowed: DataFrame | None = None, bans: DataFrame | None = None) -> DataFrame:
+    """The k cheapest loopless paths of at most ``max_hops`` steps: (cost, nodes, hops), exact; ties by their nodes.
+
+    The search goes from both ends and meets in the middle.  Least costs of walks
+    by number of steps, from the start and to the target, give every edge the cost
+    of the cheapest walk over it.  The (k * max_hops)-th of these is at least the cost
+    of the k-th walk, since a walk has max_hops edges at most; as a first bound it
+    leaves the few edges that such walks use.  Partial paths of half the steps
+    grow from both ends over these edges, as long as their cost and the least cost of
+    the rest are within the bound, and are joined where they meet.  Paths found lower
+    the bound; if loops leave fewer than k below it, four times as many edges give the
+    next one.  Once the bound lets all edges through that lie on any walk between
+    the ends, all paths are found, be they fewer than k.
+
+    ``edges``: (src, dst, cost).  ``allowed``: nodes that may lie between.
+    ``bans``: (src, dst) steps that must not be taken.
     """
-    from evigraph.sources.state import cut
-
     edges = edges.where(F.col("src") != F.col("dst")).select("src", "dst", "cost")
+    spark, kind = edges.sparkSession, edges.schema["dst"].dataType.simpleString()
     if bans is not None:
         edges = edges.join(bans.select("src", "dst"), ["src", "dst"], "left_anti")
-    kind = edges.schema["dst"].dataType.simpleString()
     if allowed is not None:
-        ends = allowed.select("node").unionByName(edges.sparkSession.createDataFrame([(start,), (target,)], f"node {kind}")).distinct()
+        ends = allowed.select("node").unionByName(spark.createDataFrame([(start,), (target,)], f"node {kind}")).distinct()
         edges = edges.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    steps = cut(edges, "steps")
-    if steps.count() <= local_edges:
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = [b for b in batches if len(b)]
-            if held:
-                rows = pd.concat(held).groupby(["src", "dst"], as_index=False)["cost"].min()
-                paths = best_first(rows["src"].to_numpy(), rows["dst"].to_numpy(), rows["cost"].to_numpy(float), start, target, k, max_hops)
-                if paths:
-                    yield pd.DataFrame({"nodes": [p for p, _ in paths], "cost": [c for _, c in paths]})
-
-        found = steps.coalesce(1).mapInPandas(search, f"nodes array<{kind}>, cost double")
-        return cut(found, "paths").withColumn("hops", F.size("nodes") - 1)
-    best = cut(hop_costs(steps, target, max_hops), "best")
-
-    def expand(bound: float | None) -> DataFrame:
-        spark = edges.sparkSession
-        kind = edges.schema["dst"].dataType.simpleString()
-        open_ = spark.createDataFrame([([start], 0.0)], f"nodes array<{kind}>, cost double")
-        done = open_.where("false")
-        for hop in range(1, max_hops + 1):
-            rest = best.where(F.col("hops") == max_hops - hop).select(F.col("node").alias("dst"), F.col("cost").alias("rest"))
-            grown = open_.withColumn("src", F.element_at("nodes", -1)).withColumnRenamed("cost", "so_far").join(steps, "src").where(~F.array_contains("nodes", F.col("dst")))
-            grown = grown.join(rest, "dst").select(F.concat("nodes", F.array("dst")).alias("nodes"), (F.col("so_far") + F.col("cost")).alias("cost"), "rest", "dst")
-            if bound is not None:
-                grown = grown.where(F.col("cost") + F.col("rest") <= bound + 1e-9)
-            else:
-                grown = grown.orderBy(F.col("cost") + F.col("rest"), "nodes").limit(width)
-            grown = cut(grown, "paths")
-            done = done.unionByName(grown.where(F.col("dst") == F.lit(target)).select("nodes", "cost"))
-            open_ = grown.where(F.col("dst") != F.lit(target)).select("nodes", "cost")
-        return done.orderBy("cost", "nodes").limit(k)
-
-    first = [r["cost"] for r in expand(None).select("cost").collect()]  # k rows at most
-    bound = max(first) if len(first) == k else float(sum(r["m"] or 0 for r in steps.agg(F.max("cost").alias("m")).collect()) * max_hops)
-    return expand(bound).withColumn("hops", F.size("nodes") - 1)
+    shape = f"nodes array<{kind}>, cost double, hops int"
+    if start == target or max_hops < 1:
+        return spark.createDataFrame([([start], 0.0, 0)] if start == target and max_hops >= 0 else [], shape)
+    steps = cut(edges.groupBy("src", "dst").agg(F.min("cost").alias("cost")).where((F.col("src") != F.lit(target)) & (F.col("dst") != F.lit(start))), "steps")
+    best = hop_costs(steps, start, target, max_hops - 1)
+    before = best.where("side = 0").select(F.col("node").alias("src"), F.col("costs").alias("before"))
+    after = best.where("side = 1").select(F.col("node").alias("dst"), F.col("costs").alias("after"))
+    # in i steps to the edge and in the steps that are left from it
+    through = F.array_min(F.zip_with("before", F.reverse("after"), lambda x, y: x + y)) + F.col("cost")
+    valued = cut(steps.join(before, "src").join(after, "dst").select("src", "dst", "cost", "before", "after", through.alias("through")).where(F.col("through") < float("inf")), "valued")
+    wanted = k * max_hops
+    while True:
+        lowest = [r["through"] for r in valued.select("through").orderBy("through").limit(wanted).collect()]  # so many numbers
+        bound = lowest[-1] if len(lowest) == wanted else float("inf")
+        found = cut(_within(valued.where(F.col("through") <= bound + SLACK), start, target, max_hops, k, bound), "paths")
+        if bound == float("inf") or found.count() >= k:
+            return found
+        wanted *= 4
+
+
+#: Room for sums of costs in another order.
+SLACK = 1e-9
+
+
+def _within(live: DataFrame, start, target, max_hops: int, k: int, bound: float) -> DataFrame:
+    """The k cheapest paths over these edges that cost no more than the bound."""
+    spark, kind = live.sparkSession, live.schema["dst"].dataType.simpleString()
+    live = cut(live, "live")
+    forth = live.select(F.lit(0).alias("side"), F.col("src").alias("node"), F.col("dst").alias("to"), F.col("cost").alias("step"), F.col("after").alias("rest"))
+    back = live.select(F.lit(1).alias("side"), F.col("dst").alias("node"), F.col("src").alias("to"), F.col("cost").alias("step"), F.col("before").alias("rest"))
+    arcs = forth.unionByName(back)
+    half = -(-max_hops // 2)
+    now = spark.createDataFrame([(0, start, [start], [], 0.0), (1, target, [target], [], 0.0)], f"side int, node {kind}, nodes array<{kind}>, costs array<double>, cost double")
+    whole, parts = [], []
+    for hop in range(1, half + 1):
+        # the rest has max_hops - hop steps at most
+        grown = now.join(arcs, ["side", "node"]).where(~F.array_contains("nodes", F.col("to")) & (F.col("cost") + F.col("step") + F.col("rest")[max_hops - hop] <= bound + SLACK))
+        now = cut(grown.select("side", F.col("to").alias("node"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("costs", F.array("step")).alias("costs"), (F.col("cost") + F.col("step")).alias("cost")), "parts")
+        done = now.where((F.col("side") == 0) & (F.col("node") == F.lit(target)))
+        whole.append(done.select("nodes", "costs"))
+        now = now.where(((F.col("side") == 0) & (F.col("node") != F.lit(target))) | ((F.col("side") == 1) & (F.col("node") != F.lit(start))))
+        if hop <= max_hops - half:
+            parts.append(now.where("side = 1").select("node", F.col("nodes").alias("tail"), F.col("costs").alias("tail_costs"), F.col("cost").alias("tail_cost")))
+    short = functools.reduce(DataFrame.unionByName, whole)
+    if parts:
+        kth = [r["c"] for r in short.select(F.aggregate("costs", F.lit(0.0), lambda a, c: a + c).alias("c")).orderBy("c").limit(k).collect()]  # k numbers
+        bound = min(bound, kth[-1]) if len(kth) == k else bound
+        met = now.where("side = 0").join(functools.reduce(DataFrame.unionByName, parts), "node").where(F.col("cost") + F.col("tail_cost") <= bound + SLACK)
+        # they share the node where they meet, and no other
+        met = met.where(F.size(F.array_intersect("nodes", "tail")) == 1)
+        rest = F.reverse(F.slice("tail", F.lit(1), F.size("tail") - 1))
+        short = short.unionByName(met.select(F.concat("nodes", rest).alias("nodes"), F.concat("costs", F.reverse("tail_costs")).alias("costs")))
+    # costs add up from the start, however the halves met
+    rows = short.select("nodes", F.aggregate("costs", F.lit(0.0), lambda a, c: a + c).alias("cost"), (F.size("nodes") - 1).alias("hops"))
+    return rows.orderBy("cost", "nodes").limit(k)
 
 
 def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
@@ -221,8 +202,6 @@ def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, start, max_rounds: int = 64) -> DataFrame:
     """(node, hops) of everything that can be reached: breadth first, until nothing is new."""
-    from evigraph.sources.state import cut
-
     spark = edges.sparkSession
     seen = spark.createDataFrame([(start, 0)], f"node {edges.schema['dst'].dataType.simpleString()}, hops int")
     edge, front = cut(edges.select("src", "dst").distinct(), "reach"), seen
@@ -237,8 +216,6 @@ def reachable(edges: DataFrame, start, max_rounds: int = 64) -> DataFrame:
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent", max_rounds: int = 64) -> DataFrame:
     """(node, ancestor, distance): transitive closure of a DAG with least distances."""
-    from evigraph.sources.state import cut
-
     up = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct()
     seen = up.withColumn("distance", F.lit(1))
     front = seen
@@ -276,8 +253,6 @@ def backward_search(edges: DataFrame, target, receptor: DataFrame, prior: float
     where known.  Receptors found leave the beam as solutions.  A beam has
     ``width`` rows, which are written after every round.
     """
-    from evigraph.sources.state import cut
-
     spark = edges.sparkSession
     kind = edges.schema["dst"].dataType.simpleString()
     front = spark.createDataFrame([("0", [target], 0.0)], f"path_id string, nodes array<{kind}>, log_p double")

@@ -37,8 +37,8 @@ ACCURACY = 100_000
 FEW = 8
 
 
-def _many_quantiles(x: DataFrame, qs: list[float]) -> DataFrame:
-    counted = x.groupBy("x").agg(F.count(F.lit(1)).alias("m"))
+def quantiles_of_counts(counted: DataFrame, qs: list[float]) -> DataFrame:
+    """One row (q, n): as ``quantiles``, of values x that occur m times; they are counted in range order, so no task sees all of them."""
     n = counted.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"))
     place = F.transform(F.array(*[F.lit(q) for q in qs]), lambda q: q * (F.col("n") - 1))
     n = n.select("n", place.alias("place"), F.array_distinct(F.concat(F.transform(place, lambda p: F.floor(p)), F.transform(place, lambda p: F.ceil(p)))).alias("ranks"))
@@ -63,7 +63,7 @@ def quantiles(values: DataFrame, value: Column, qs: list[float]) -> DataFrame:
     """
     x = values.select(value.cast("double").alias("x")).where("x IS NOT NULL")
     if len(qs) > FEW:
-        return _many_quantiles(x, qs)
+        return quantiles_of_counts(x.groupBy("x").agg(F.count(F.lit(1)).alias("m")), qs)
     ends = [min(1.0, max(0.0, q + side * 2 / ACCURACY)) for q in qs for side in (-1, 1)]
     rough = x.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", F.array(*[F.lit(e) for e in ends]), F.lit(ACCURACY)).alias("ends"))
     bracketed = x.join(F.broadcast(rough.select("ends")))  # one row

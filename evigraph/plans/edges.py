@@ -363,7 +363,8 @@ def network_edges(t: Tables) -> DataFrame:
     "SELECT nn.node, k.hops, round(min(b.cost), 6) AS cost FROM nn CROSS JOIN k JOIN b ON b.node = nn.node AND b.hops <= k.hops GROUP BY 1, 2",
 )
 def hop_limited(t: Tables) -> DataFrame:
-    return rounded(G.hop_costs(graph_edges(t), 7, 4).select("node", "hops", "cost"))
+    rows = G.hop_costs(cut(graph_edges(t), "graph"), 0, 7, 4).where("side = 1").select("node", F.posexplode("costs").alias("hops", "cost"))
+    return rounded(rows.where(F.col("cost") < float("inf")))
 
 
 @query(

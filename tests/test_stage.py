@@ -7,6 +7,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from evigraph.operators import records as R
 from evigraph.operators import settings as C
 from evigraph.operators.order import quantiles
 from evigraph.sources import feeds
-from evigraph.sources.state import StateStore
+from evigraph.sources.state import StateStore, cut
 
 
 def pairs_of(spark, rows, name="bayes_factor"):
@@ -96,18 +97,30 @@ def brute_paths(edges, start, target, hops, k):
     return sorted(out)[:k]
 
 
-def test_both_path_searches_equal_brute_force(spark):
+def test_path_search_equals_brute_force(spark):
     rng = random.Random(4)
     edges = [(a, b, rng.choice([0.1, 0.2, 0.35, rng.random()])) for a, b in itertools.permutations(range(9), 2) if rng.random() < 0.5]
-    df = spark.createDataFrame(edges, "src long, dst long, cost double").withColumn("p", F.exp(-F.col("cost")))
-    want = brute_paths(edges, 0, 8, 4, 12)
-    for local in (10**6, 0):
-        got = sorted((r["cost"], list(r["nodes"])) for r in G.top_paths(df, 0, 8, 12, 4, local_edges=local).collect())
+    df = spark.createDataFrame(edges, "src long, dst long, cost double")
+    for hops, k in ((4, 12), (5, 3), (1, 2), (6, 100_000)):
+        want = brute_paths(edges, 0, 8, hops, k)
+        got = [(r["cost"], list(r["nodes"])) for r in G.top_paths(df.unionAll(df.withColumn("cost", F.col("cost") + 1)), 0, 8, k, hops).orderBy("cost", "nodes").collect()]
         assert [round(c, 9) for c, _ in got] == [round(c, 9) for c, _ in want] and [p for _, p in got] == [p for _, p in want]
+    want = brute_paths(edges, 0, 8, 4, 1)
     ban = spark.createDataFrame([(want[0][1][0], want[0][1][1])], "src long, dst long")
     left = [e for e in edges if (e[0], e[1]) != (want[0][1][0], want[0][1][1])]
     assert [list(r["nodes"]) for r in G.top_paths(df, 0, 8, 3, 4, bans=ban).orderBy("cost", "nodes").collect()] == [p for _, p in brute_paths(left, 0, 8, 4, 3)]
+    between = spark.createDataFrame([(n,) for n in (1, 2, 3, 4)], "node long")
+    inner = [e for e in edges if {e[0], e[1]} <= {0, 1, 2, 3, 4, 8}]
+    assert [list(r["nodes"]) for r in G.top_paths(df, 0, 8, 5, 4, allowed=between).orderBy("cost", "nodes").collect()] == [p for _, p in brute_paths(inner, 0, 8, 4, 5)]
     assert G.top_paths(df, 0, 99, 3, 4).count() == 0 and G.top_paths(df.where("false"), 0, 8, 3, 4).count() == 0
+    assert [tuple(r) for r in G.top_paths(df, 3, 3, 2, 4).collect()] == [([3], 0.0, 0)]
+
+
+def test_fewer_paths_than_asked_for(spark):
+    """Loops abound around the start, and there are two paths: the bound goes up until all edges between the ends are let through."""
+    edges = [(0, 1, 0.01), (1, 2, 0.01), (2, 3, 0.01), (3, 1, 0.01), (2, 1, 0.01), (3, 9, 5.0), (1, 9, 7.0), (9, 0, 0.1), (5, 6, 0.1)]
+    got = G.top_paths(spark.createDataFrame(edges, "src long, dst long, cost double"), 0, 9, 3, 6).orderBy("cost").collect()
+    assert [list(r["nodes"]) for r in got] == [[0, 1, 2, 3, 9], [0, 1, 9]]
 
 
 def test_paths_on_a_graph_of_892_nodes(spark):
@@ -117,10 +130,29 @@ def test_paths_on_a_graph_of_892_nodes(spark):
     pick = rng.choice(len(a), 169_414, replace=False)
     p = rng.uniform(0.5, 0.98, len(pick))
     src, dst, cost = np.concatenate([a[pick], b[pick]]), np.concatenate([b[pick], a[pick]]), np.tile(-np.log(p), 2)
-    t = time.time()
-    found = G.best_first(src, dst, cost, 0, 891, 25, 6)
-    print(f"25 paths in {time.time() - t:.2f} s")
-    assert len(found) == 25 and all(len(n) <= 7 and len(set(n)) == len(n) for n, _ in found)
+    df = spark.createDataFrame(pd.DataFrame({"src": src, "dst": dst, "cost": cost})).repartition(4)
+    df = cut(df, "graph")
+    for k in (25, 100):
+        t = time.time()
+        found = G.top_paths(df, 0, 891, k, 6).orderBy("cost", "nodes").collect()
+        print(f"{k} paths in {time.time() - t:.2f} s")
+        assert len(found) == k and all(len(r["nodes"]) <= 7 and len(set(r["nodes"])) == len(r["nodes"]) for r in found)
+    # all that cost no more than the last, by a search over the edges that can be on one
+    of = {(x, y): c for x, y, c in zip(src.tolist(), dst.tolist(), cost.tolist(), strict=True)}
+    near = {}
+    for (x, y), c in of.items():
+        near.setdefault(x, []).append((y, c))
+    to_go = {891: 0.0}
+    for _ in range(6):
+        to_go = {**to_go, **{x: min(m, to_go.get(x, np.inf)) for x in near if (m := min((c + to_go[y] for y, c in near[x] if y in to_go), default=np.inf)) < np.inf}}
+    last, out, stack = found[-1]["cost"], [], [([0], 0.0)]
+    while stack:
+        path, so_far = stack.pop()
+        if path[-1] == 891:
+            out.append((so_far, path))
+        elif len(path) <= 6:
+            stack += [(path + [y], so_far + c) for y, c in near[path[-1]] if y not in path and so_far + c + to_go.get(y, np.inf) <= last + 1e-12]
+    assert [p for _, p in sorted(out)[:k]] == [list(r["nodes"]) for r in found]
 
 
 def search_tables(spark):
