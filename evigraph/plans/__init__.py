@@ -1,7 +1,7 @@
 """Queries on the driver's tables."""
 
-from evigraph.plans import analysis, curation, edges, factorised, nodes, paths, stage
+from evigraph.plans import analysis, caches, curation, edges, factorised, nodes, paths, stage
 from evigraph.plans.catalog import QUERIES as CATALOG_QUERIES
 from evigraph.plans.catalog import SQL as CATALOG_SQL
 
-__all__ = ["CATALOG_QUERIES", "CATALOG_SQL", "analysis", "curation", "edges", "factorised", "nodes", "paths", "stage"]
+__all__ = ["CATALOG_QUERIES", "CATALOG_SQL", "analysis", "caches", "curation", "edges", "factorised", "nodes", "paths", "stage"]
