@@ -15,7 +15,6 @@ from evigraph.operators import temporal as T
 from evigraph.plans.catalog import Tables, query, rounded
 from evigraph.plans.edges import EDGE, edge_ledger, ranked_paths
 from evigraph.plans.nodes import LEDGER, QTY, ledger, quantity
-from evigraph.sources.readers import html_tables
 
 # -- time courses: users are genes, event types their sites, the hour of day one of four times
 
@@ -455,23 +454,6 @@ def extract_links(t: Tables) -> DataFrame:
     return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count_distinct("target").alias("targets"))
 
 
-@query(
-    "html_tables",
-    "SELECT n_nationkey AS page_id, 0 AS \"table\", 0 AS row, 'Name|Region' AS cells FROM nation UNION ALL SELECT n_nationkey, 0, 1, n_name || '|' || n_regionkey FROM nation UNION ALL SELECT n_nationkey, 1, 0, 'x y' FROM nation WHERE n_nationkey % 2 = 0",
-)
-def tables_of_pages(t: Tables) -> DataFrame:
-    """The driver's pages hold no tables, so pages are made from nations."""
-    head = "<html><TABLE class=a><tr><th>Name</th><th>Region</th></tr>\n<tr><td><b>"
-    page = F.concat(F.lit(head), "n_name", F.lit("</b></td><td>"), F.col("n_regionkey").cast("string"), F.lit("</td></tr></TABLE>"), F.when(F.col("n_nationkey") % 2 == 0, "<table><tr><td>x\n y</td></tr></table>").otherwise(""))
-    pages = t.nation.select(F.col("n_nationkey").alias("page_id"), page.alias("html"))
-    return html_tables(pages, "page_id").select("page_id", "table", "row", F.array_join("cells", "|").alias("cells"))
-
-
-@query("html_tables_of_pages", "SELECT page_id, len(regexp_extract_all(lower(html), '<table')) AS tables FROM pages")
-def tables_in_pages(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.regexp_count(F.lower("html"), F.lit("<table")).cast("long").alias("tables"))
-
-
 @query("truthy_text", "SELECT c_custkey, c_acctbal > 0 AS positive, lower(trim(CASE WHEN c_acctbal > 5000 THEN ' Yes' WHEN c_acctbal > 0 THEN '1.0' ELSE 'TRUE ' END)) IN ('true', '1', 'yes') AS flag FROM customer")
 def truthy_text(t: Tables) -> DataFrame:
     text = F.when(F.col("c_acctbal") > 5000, " Yes").when(F.col("c_acctbal") > 0, "1.0").otherwise("TRUE ")

@@ -98,15 +98,6 @@ def read_workbook(path: str, sheet: str | int = 0) -> pd.DataFrame:
     return pd.read_excel(path, sheet_name=sheet)
 
 
-def html_tables(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, table, row, cells) of every table row, by patterns that stay in the JVM."""
-    tables = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), F.lit(1))).alias("table", "body"))
-    rows = tables.select(key, "table", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row", "tr"))
-    plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", ""), r"\s+", " "))
-    cells = F.transform(F.regexp_extract_all("tr", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), plain)
-    return rows.select(key, "table", "row", cells.alias("cells"))
-
-
 def write_delimited(df: DataFrame, path: str, digits: int = 9, gzip: bool = False) -> None:
     """Tab-separated, numbers with so many significant digits."""
     shown = [F.format_string(f"%.{digits}g", c).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]

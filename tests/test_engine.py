@@ -19,6 +19,7 @@ from evigraph.operators import mapping as M
 from evigraph.operators import pairs as P
 from evigraph.operators import stats as S
 from evigraph.operators import temporal as T
+from evigraph.sources import html as H
 from evigraph.sources import readers as R
 from evigraph.sources.state import StateStore
 
@@ -263,7 +264,7 @@ def test_readers(spark, tmp_path):
         z.writestr("in/other.txt", "no")
     assert [r["line"] for r in R.read_zip_member(spark, str(tmp_path / "z.zip"), ".tsv").orderBy("line_no").collect()] == ["a\tb", "1\t2"]
     pages = spark.createDataFrame([(1, "<table><tr><th>a</th><td>b <b>c</b></td></tr><tr><td>1</td></tr></table>")], "page_id long, html string")
-    assert [list(r["cells"]) for r in R.html_tables(pages, "page_id").orderBy("row").collect()] == [["a", "b c"], ["1"]]
+    assert [list(r["cells"]) for r in H.rows(H.cells(pages, "page_id"), "page_id").orderBy("row").collect()] == [["a", "b c"], ["1"]]
     (tmp_path / "m.tsv").write_text("x\tA\tB\nA\t0\t0.5\nB\t0.5\t0\nC\t1\t1\n")
     known = spark.createDataFrame([("A",), ("B",)], "symbol string")
     assert {tuple(r) for r in R.read_matrix(spark, str(tmp_path / "m.tsv"), known).collect()} == {("A", "B", 0.5), ("B", "A", 0.5)}
