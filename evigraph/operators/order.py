@@ -7,6 +7,8 @@ is windowed in one task.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +63,8 @@ def quantiles(values: DataFrame, value: Column, qs: list[float]) -> DataFrame:
     inside the brackets come together.  Many quantiles are picked from running
     counts of all different values instead.
     """
-    x = values.select(value.cast("double").alias("x")).where("x IS NOT NULL")
+    # one column, written: what it is made of runs once, however often it is read below
+    x = cut(values.select(value.cast("double").alias("x")).where("x IS NOT NULL"), "values")
     if len(qs) > FEW:
         return quantiles_of_counts(x.groupBy("x").agg(F.count(F.lit(1)).alias("m")), qs)
     ends = [min(1.0, max(0.0, q + side * 2 / ACCURACY)) for q in qs for side in (-1, 1)]
@@ -94,3 +97,31 @@ def quantiles(values: DataFrame, value: Column, qs: list[float]) -> DataFrame:
         one, two = at(F.floor(place), i), at(F.ceil(place), i)
         out.append(F.when(F.col("n") > 0, one + (two - one) * (place - F.floor(place))))
     return row.select(F.array(*out).alias("q"), "n")
+
+
+def grouped_quantiles(values: DataFrame, keys: list[str], value: Column, qs: list[float]) -> DataFrame:
+    """(keys..., q, n): exact, linearly interpolated quantiles of every group, for all groups in one ordered pass.
+
+    Different values of all groups are counted and lie in one range order, groups
+    one after the other; running counts less those before the group are ranks in it.
+    A group may be of any size: it is spread over as many ranges as it fills.
+    """
+    counted = values.select(*keys, value.cast("double").alias("x")).where("x IS NOT NULL").groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("m"))
+    ranked = cut(totals_before(counted, [*keys, "x"], "m"), "ranked")
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    sizes = ranked.groupBy(*keys).agg(F.sum("m").alias("n"), F.min("before").alias("first"))
+    places = sizes.withColumn("place", F.transform(F.array(*[F.lit(float(q)) for q in qs]), lambda q: q * (F.col("n") - 1)))
+    on = same("r", "p")
+    met = ranked.alias("r").join(places.alias("p"), functools.reduce(lambda a, b: a & b, on))
+    low = F.col("r.before") - F.col("p.first")
+    ranks = F.array_distinct(F.concat(F.transform("p.place", lambda p: F.floor(p)), F.transform("p.place", lambda p: F.ceil(p))))
+    inside = F.filter(ranks, lambda r: (r >= low) & (r < low + F.col("r.m")))
+    hit = met.select(*[F.col(f"p.{k}").alias(k) for k in keys], "p.place", "p.n", "r.x", F.explode(inside).alias("rank"))
+    # two ranks a quantile at most
+    found = hit.groupBy(*keys).agg(F.first("place").alias("place"), F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))
+
+    def between(p: Column) -> Column:
+        below, above = F.element_at("at", F.floor(p)), F.element_at("at", F.ceil(p))
+        return below + (above - below) * (p - F.floor(p))
+
+    return found.select(*keys, F.transform("place", between).alias("q"), "n")
