@@ -1,12 +1,19 @@
 """Embedding near-dedup by a pivot-permutation index.
 
 Vectors are described by the ordered list of their nearest reference points
-(pivots).  Every pivot has an inverted list of the vectors that name it.  The
+(pivots).  What a label's vectors have in common is taken off first: ordinary
+embeddings share a direction, and so may those of one label, beside which all would
+look alike.  It is the mean of the sample's vectors of that label, or of the whole
+sample if it holds fewer than FEW of them, near copies counted once.  Where all
+are so alike (MOST_COMMON) that the rest would be noise, nothing is taken off, and
+they are compared whole.  This serves the index alone; cosines are those of the vectors.
+Every pivot has an inverted list of the vectors that name it.  The
 lists give, for each pair, the number of pivots shared; pairs that share
 ``min_shared`` or more are candidates, and only their cosines are worked out, in
 double precision, and held against ``threshold``.  Pivots are vectors of the
 table itself, those with the smallest digests: a bounded sample, whose size grows
-with the table up to ``PIVOT_BYTES``.  A pivot whose cosine with an earlier
+with the table up to ``PIVOT_BYTES``.  Of pivots at one distance the one with the
+smaller number is nearer.  A pivot whose cosine with an earlier
 one reaches ``APART`` is left out: a dense group, however large, has few pivots of
 its own, which all its members name, and recall doesn't fall with the group's
 size; lists of dense groups grow with them and are compared whole.  Every vector
@@ -39,14 +46,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from evigraph.llm.common import materialize
+from evigraph.llm.common import Tables
 from evigraph.llm.components import components
 
-PER_PIVOT = 100
+PER_PIVOT = 25
 MIN_PIVOTS, PIVOT_BYTES = 48, 32 << 20
-NEAREST = 10
+NEAREST, MIN_SHARED = 12, 3
 APART = 0.5
 CHUNK = 512
+#: Different sample vectors that make a label's mean, those that it is taken of at most, their cosine to be near copies, and the mean cosine from which on nothing is taken off.
+FEW, MEAN_OF, COPIES, MOST_COMMON = 8, 4096, 0.9, 0.82
+#: Products of rows and pivots that are held at a time.
+HELD = 1 << 21
 
 
 def usable(vector: str = "embedding", label: str = "label"):
@@ -64,34 +75,80 @@ def classes(vectors: DataFrame) -> DataFrame:
     return rows.groupBy(*digests).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("label").alias("label"), vector.alias("v"))
 
 
-def apart(vectors: np.ndarray) -> np.ndarray:
+def apart(vectors: np.ndarray, most: float = APART) -> np.ndarray:
     """Unit vectors, in order, without those too close to an earlier one that stays."""
     out = np.empty_like(vectors)
     n = 0
     for v in vectors:
-        if n == 0 or (out[:n] @ v).max() < APART:
+        if n == 0 or (out[:n] @ v).max() < most:
             out[n] = v
             n += 1
     return out[:n]
 
 
-def describe(rows: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> DataFrame:
+def in_common(unit: np.ndarray) -> np.ndarray | None:
+    """The mean of different vectors; zero if that is nearly all there is of them; None if they are too few."""
+    different = apart(unit, COPIES)
+    if len(different) < FEW:
+        return None
+    mean = different.mean(axis=0)
+    return mean if mean @ mean <= MOST_COMMON else np.zeros_like(mean)
+
+
+class Pivots:
+    """Reference points of vectors of one length, and the directions that are taken off before."""
+
+    def __init__(self, labels: list, vectors: np.ndarray):
+        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        whole = in_common(unit[:MEAN_OF])
+        self.mean = np.zeros(unit.shape[1]) if whole is None else whole
+        places: dict = {}
+        for i, label in enumerate(labels[:MEAN_OF]):
+            places.setdefault(label, []).append(i)
+        found = {label: in_common(unit[at]) for label, at in places.items()}
+        self.of_label = {label: mean for label, mean in found.items() if mean is not None}
+        self.points = apart(self.residual(labels, unit))
+
+    def residual(self, labels: list, unit: np.ndarray) -> np.ndarray:
+        """What is left of unit vectors, scaled to 1; zeros stay zeros."""
+        left = unit - np.stack([self.of_label.get(label, self.mean) for label in labels])
+        size = np.linalg.norm(left, axis=1, keepdims=True)
+        return np.divide(left, size, out=np.zeros_like(left), where=size > 1e-9)
+
+    def order(self, labels: list, vectors: np.ndarray, nearest: int) -> np.ndarray:
+        """Numbers of the nearest points, nearest first, slice by slice of the rows."""
+        n = min(nearest, len(self.points))
+        out = np.empty((len(vectors), n), np.int32)
+        step = max(1, HELD // len(self.points))
+        for a in range(0, len(vectors), step):
+            x = vectors[a : a + step]
+            x = self.residual(labels[a : a + step], x / np.linalg.norm(x, axis=1, keepdims=True))
+            far = -(x @ self.points.T)
+            some = np.sort(np.argpartition(far, n - 1, axis=1)[:, :n], axis=1)
+            place = np.argsort(np.take_along_axis(far, some, axis=1), axis=1, kind="stable")
+            out[a : a + step] = np.take_along_axis(some, place, axis=1)
+        return out
+
+
+def describe(rows: DataFrame, pivots: dict[int, Pivots], nearest: int) -> DataFrame:
     """Adds ``order``: the numbers of the nearest pivots, nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("v"))
+            labels = batch.column(batch.schema.get_field_index("label")).to_pylist()
             sizes = np.diff(column.offsets.to_numpy())
-            values = column.flatten().to_numpy().astype(float)
+            values = column.flatten().to_numpy()
             ends = np.cumsum(sizes)
             order: list[list[int]] = [[] for _ in sizes]
             for dim in np.unique(sizes).tolist():
                 which = np.flatnonzero(sizes == dim)
-                x = np.stack([values[ends[i] - dim : ends[i]] for i in which])
-                # a cosine needs no more than the pivots' directions
-                got = np.argsort(-(x @ pivots[dim].T), axis=1, kind="stable")[:, :nearest]
-                for i, o in zip(which.tolist(), got.tolist(), strict=True):
-                    order[i] = o
+                for a in range(0, len(which), 1000):
+                    some = which[a : a + 1000]
+                    x = np.stack([values[ends[i] - dim : ends[i]] for i in some]).astype(float)
+                    got = pivots[dim].order([labels[i] for i in some.tolist()], x, nearest)
+                    for i, o in zip(some.tolist(), got.tolist(), strict=True):
+                        order[i] = o
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(order, pa.list_(pa.int32()))], names=[*batch.schema.names, "order"])
 
     return rows.mapInArrow(run, rows.schema.simpleString()[7:-1] + ",order:array<int>")
@@ -165,20 +222,20 @@ def _union(root: np.ndarray, x: np.ndarray, y: np.ndarray, rep: np.ndarray) -> n
         label = new
 
 
-def link(vectors: DataFrame, threshold: float = 0.93, nearest: int = NEAREST, min_shared: int = 2) -> DataFrame:
+def link(vectors: DataFrame, threshold: float = 0.93, nearest: int = NEAREST, min_shared: int = MIN_SHARED) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row."""
     spark = vectors.sparkSession
-    reps = materialize(classes(vectors), "classes")
+    tables = Tables(spark)
+    reps = tables.put(classes(vectors), "classes")
     facts = reps.groupBy(F.size("v").alias("dim")).count().collect()  # one row a vector length
-    pivots: dict[int, np.ndarray] = {}
+    pivots: dict[int, Pivots] = {}
     for row in facts:
         n = int(max(MIN_PIVOTS, min(row["count"] // PER_PIVOT, PIVOT_BYTES // (8 * row["dim"]))))
-        got = reps.where(F.size("v") == row["dim"]).orderBy("h1", "h2").limit(n).select("v").collect()
-        p = np.array([g["v"] for g in got], float)
-        pivots[row["dim"]] = apart(p / np.linalg.norm(p, axis=1, keepdims=True))
+        got = reps.where(F.size("v") == row["dim"]).orderBy("h1", "h2").limit(n).select("label", "v").collect()
+        pivots[row["dim"]] = Pivots([g["label"] for g in got], np.array([g["v"] for g in got], float))
     described = describe(reps.select("rep", "mult", "label", "v"), pivots, nearest)
     listed = described.select("*", F.size("v").alias("dim"), F.explode("order").alias("pivot"))
-    listed = materialize(listed, "lists") if facts else listed
+    listed = tables.put(listed, "lists") if facts else listed
     place = ["label", "dim", "pivot"]
     sizes = listed.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     # few lists have more than a chunk; only their sizes are joined
@@ -191,7 +248,8 @@ def link(vectors: DataFrame, threshold: float = 0.93, nearest: int = NEAREST, mi
     )
     block = [*place, "i", "j"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sums = materialize(dealt.repartition(parts, *block).sortWithinPartitions(*block).mapInPandas(_blocks(block, threshold, min_shared), "rep long, links long, root long"), "sums")
+    sums = tables.put(dealt.repartition(parts, *block).sortWithinPartitions(*block).mapInPandas(_blocks(block, threshold, min_shared), "rep long, links long, root long"), "sums")
+    tables.remove("lists")
     linked = sums.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(sums.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     known = (

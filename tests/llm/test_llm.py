@@ -380,6 +380,46 @@ def test_pivots_in_a_dense_group(spark, monkeypatch, near, others):
     assert want.sum() > near and have.sum() >= 0.95 * want.sum() and (have <= want).all()
 
 
+def alike(mean, of_label, n=3000, dim=64, seed=1):
+    """Vectors with a direction in common, and one for each label; a quarter has a near copy."""
+    rng = np.random.default_rng(seed)
+    scaled = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    label = rng.integers(0, 5, n)
+    shared, labels = scaled(rng.normal(size=(1, dim))), scaled(rng.normal(size=(5, dim)))
+    v = scaled(math.sqrt(mean) * shared + math.sqrt(of_label) * labels[label] + math.sqrt(1 - mean - of_label) * scaled(rng.normal(size=(n, dim))))
+    near = v[: n // 4]
+    aside = rng.normal(size=near.shape)
+    aside = scaled(aside - (aside * near).sum(axis=1, keepdims=True) * near)
+    cosine = rng.uniform(0.93, 0.97, (len(near), 1))
+    return np.concatenate([v, cosine * near + np.sqrt(1 - cosine**2) * aside]), np.concatenate([label, label[: n // 4]])
+
+
+@pytest.mark.parametrize(("mean", "of_label"), [(0.0, 0.0), (0.5, 0.0), (0.8, 0.0), (0.3, 0.4)])
+def test_pivots_of_vectors_that_are_alike(mean, of_label):
+    """Recall and candidates where all vectors share a direction, or those of a label do."""
+    v, label = alike(mean, of_label)
+    found = pivots.Pivots(label[:400].tolist(), v[:400])
+    order = found.order(label.tolist(), v, pivots.NEAREST)
+    named = np.zeros((len(v), len(found.points)), np.float32)
+    named[np.repeat(np.arange(len(v)), order.shape[1]), order.ravel()] = 1
+    same = np.triu(label[:, None] == label[None, :], 1)
+    links, met = (v @ v.T >= 0.93) & same, (named @ named.T >= pivots.MIN_SHARED) & same
+    recall, share = (links & met).sum() / links.sum(), met.sum() / same.sum()
+    print(f"mean {mean}, of labels {of_label}: {len(found.points)} pivots, recall {recall:.3f}, candidates {share:.3f} of all pairs")
+    assert recall >= 0.95 and share <= 0.06
+
+
+def test_pivots_hold_no_more_than_a_slice(monkeypatch):
+    """The nearest points are the same whatever is held at a time, and the slices follow their number."""
+    v, label = alike(0.2, 0.0, n=500)
+    found = pivots.Pivots(label.tolist(), v)
+    whole = found.order(label.tolist(), v, 12)
+    monkeypatch.setattr(pivots, "HELD", 7 * len(found.points))
+    assert (found.order(label.tolist(), v, 12) == whole).all()
+    r = found.residual(label.tolist(), v / np.linalg.norm(v, axis=1, keepdims=True)) @ found.points.T
+    assert (whole == np.argsort(-r, axis=1, kind="stable")[:, :12]).all()
+
+
 TOKEN_TEXTS = ["Hello  world, it's \n\n fine.", " lead and trail ", "ünïcode naïve façade 日本語 tokens", "a\nb c\n", "x" * 3000, "", None, "<|endoftext|> inside", "don't we'll 12 34ab, (x) …", "tab\tand nbsp thing"]
 
 
