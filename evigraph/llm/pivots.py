@@ -211,8 +211,8 @@ def _union(root: np.ndarray, x: np.ndarray, y: np.ndarray, rep: np.ndarray) -> n
     while True:
         low = np.minimum(label[x], label[y])
         new = label.copy()
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
+        np.minimum.at(new, back[label[x]], low)  # the roots themselves, by their places
+        np.minimum.at(new, back[label[y]], low)
         np.minimum.at(new, x, low)
         np.minimum.at(new, y, low)
         label_of_rank = new[back]  # a label is a rank: follow it

@@ -380,6 +380,23 @@ def test_pivots_in_a_dense_group(spark, monkeypatch, near, others):
     assert want.sum() > near and have.sum() >= 0.95 * want.sum() and (have <= want).all()
 
 
+def test_components_of_a_block():
+    """Rows of a block come in any order of their ids."""
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        n = int(rng.integers(2, 60))
+        rep = rng.permutation(1000)[:n]
+        links = [tuple(map(int, rng.choice(n, 2, replace=False))) for _ in range(int(rng.integers(0, n)))]
+        root = np.arange(n)
+        for part in (links[: n // 3], links[n // 3 :]):
+            root = pivots._union(root, np.array([a for a, _ in part], int), np.array([b for _, b in part], int), rep)
+        of = list(range(n))
+        for _ in links:
+            for a, b in links:
+                of = [of[b] if x == of[a] else x for x in of] if of[a] != of[b] else of
+        assert rep[root].tolist() == [min(int(rep[j]) for j in range(n) if of[j] == of[i]) for i in range(n)]
+
+
 def alike(mean, of_label, n=3000, dim=64, seed=1):
     """Vectors with a direction in common, and one for each label; a quarter has a near copy."""
     rng = np.random.default_rng(seed)
