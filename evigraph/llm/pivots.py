@@ -209,17 +209,15 @@ def _union(root: np.ndarray, x: np.ndarray, y: np.ndarray, rep: np.ndarray) -> n
     back = np.argsort(rank)
     label = rank[root]
     while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, back[label[x]], low)  # the roots themselves, by their places
-        np.minimum.at(new, back[label[y]], low)
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        label_of_rank = new[back]  # a label is a rank: follow it
-        new = np.minimum(new, label_of_rank[new])
-        if (new == label).all():
+        a, b = label[x], label[y]
+        if (a == b).all():
             return back[label]
-        label = new
+        # every root of a link goes to the least root that it is linked to, and all follow to the end
+        up = np.arange(len(rep))
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
 
 
 def link(vectors: DataFrame, threshold: float = 0.93, nearest: int = NEAREST, min_shared: int = MIN_SHARED) -> DataFrame:
