@@ -35,6 +35,44 @@ def background_threshold(values: DataFrame, value: str, q: float = 0.75, positiv
     return quantiles(values, x, [q]).select(F.col("q")[0].alias("tq"), F.col("n").alias("background"))
 
 
+#: Streams whose threshold is one for the whole source, and those with one for each row.
+SOURCE_WIDE, BY_ROW = ("protein_abundance", "pc_transcript"), ("phosphoprotein_response", "site_level_phosphoprotein_response", "collecting_duct_abundance")
+KINASE_TQ = 0.17
+
+
+def node_values(nodes: DataFrame, handler: str, rows: DataFrame, key: str, value: str, tq: str | None = None) -> DataFrame:
+    """(key, x, tq) of every node by the stream's handler; a missing measurement is null.
+
+    A source-wide threshold is the first one stored (that of the least key), activities have a fixed
+    one.  Where each row has its own, a missing or non-positive one becomes the median
+    of the nodes' positive thresholds, so that a node without a row can be scored at
+    zero.  A stream without any positive threshold is an error.
+    """
+    x = K.finite(F.col(value))
+    if handler == "kinase_activity":
+        found = rows.groupBy(key).agg(F.min(x).alias("x"))
+        return nodes.select(key).join(found, key, "left").select(key, "x", F.lit(KINASE_TQ).alias("tq"))
+    if handler not in SOURCE_WIDE + BY_ROW or tq is None:
+        raise ValueError(f"no handler {handler}" if tq is not None else f"{handler} needs a threshold")
+    t = K.finite(F.col(tq))
+    found = rows.groupBy(key).agg(F.min(x).alias("x"), F.min(t).alias("tq"))
+    known = nodes.select(key).join(found, key, "left")
+    missing = F.raise_error(F.lit(f"stream {handler} has no positive threshold")).cast("double")
+    if handler in SOURCE_WIDE:
+        first = rows.where(t.isNotNull()).agg(F.min_by(t, key).alias("first"))
+        return known.join(F.broadcast(first)).select(key, "x", F.coalesce(F.when(F.col("first") > 0, F.col("first")), missing).alias("tq"))  # one row
+    middle = quantiles(known, F.when(F.col("tq") > 0, F.col("tq")), [0.5]).select(F.col("q")[0].alias("middle"))
+    return known.join(F.broadcast(middle)).select(key, "x", F.coalesce(F.when(F.col("tq") > 0, F.col("tq")), F.col("middle"), missing).alias("tq"))  # one row
+
+
+def value_counts(values: DataFrame, value: str, most: int = 64) -> DataFrame:
+    """(value, n): how often each different value occurs if there are ``most`` or fewer of them, else nothing."""
+    counts = values.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    few = counts.limit(most + 1)
+    number = few.agg(F.count(F.lit(1)).alias("different"))
+    return few.join(F.broadcast(number)).where(F.col("different") <= most).select("value", "n")  # one row
+
+
 def signaling_factors(values: DataFrame, universe: DataFrame, key: str, value: str, q: float = 0.75, floor: float = 0.5) -> DataFrame:
     """The threshold comes from the whole background, before the universe is picked out."""
     tq = background_threshold(values, value, q)

@@ -10,7 +10,7 @@ from evigraph.functions.keys import labels
 from evigraph.operators import curation as U
 from evigraph.operators import pairs as P
 from evigraph.plans.catalog import Tables, query, rounded
-from evigraph.plans.edges import CO, EDGE, NGRAPH, PROFILE, RESOLVED, co_supply, edge_ledger, graph_edges, nation_edges, profiles, ranked_paths
+from evigraph.plans.edges import CO, EDGE, NGRAPH, PATHS, PROFILE, RESOLVED, co_supply, edge_ledger, graph_edges, nation_edges, profiles, ranked_paths
 from evigraph.sources.state import cut
 
 
@@ -91,10 +91,26 @@ def target_vector(t: Tables) -> DataFrame:
     return rounded(rows.select("node", "p", F.rank().over(Window.orderBy(F.desc("p"))).cast("long").alias("rank")))  # a node's neighbours
 
 
-@query("path_invariants", "SELECT 0::BIGINT AS bad_start, 0::BIGINT AS bad_target, 0::BIGINT AS loops, 0::BIGINT AS too_long, 0::BIGINT AS out_of_order, 0::BIGINT AS wrong_cost, 0::BIGINT AS missing_edges, 0::BIGINT AS repeated")
+@query(
+    "path_invariants",
+    f"{PATHS}, br AS (SELECT rank, CASE rank WHEN 2 THEN list_reverse(nodes) WHEN 3 THEN list_append(nodes, nodes[2]) WHEN 5 THEN list_concat(nodes, [21, 22, 23, 24]::INT[]) ELSE nodes END AS nodes, cost + CASE rank WHEN 1 THEN 0.5 ELSE 0 END AS cost FROM top), "
+    "va AS (SELECT 'sound' AS variant, rank, nodes, cost FROM top UNION ALL SELECT 'broken', rank, nodes, cost FROM br UNION ALL SELECT 'broken', 11, nodes, cost FROM br WHERE rank = 10), st AS (SELECT variant, rank, nodes, unnest(range(1, len(nodes))) AS i FROM va), "
+    "pr AS (SELECT variant, rank, sum(-ln(p)) AS s, count(*) FILTER (WHERE p IS NULL) AS missing FROM st LEFT JOIN de ON src = nodes[i] AND dst = nodes[i + 1] GROUP BY 1, 2), "
+    "lg AS (SELECT va.*, s, missing, lag(va.cost) OVER (PARTITION BY variant ORDER BY rank) AS before FROM va JOIN pr USING (variant, rank)) "
+    "SELECT variant, count(*) FILTER (WHERE nodes[1] <> 0) AS bad_start, count(*) FILTER (WHERE nodes[-1] <> 7) AS bad_target, count(*) FILTER (WHERE len(list_distinct(nodes)) <> len(nodes)) AS loops, count(*) FILTER (WHERE len(nodes) > 5) AS too_long, "
+    "count(*) FILTER (WHERE before > cost + 1e-12) AS out_of_order, count(*) FILTER (WHERE abs(s - cost) > 1e-9) AS wrong_cost, sum(missing)::BIGINT AS missing_edges, count(*) - count(DISTINCT nodes) AS repeated FROM lg GROUP BY 1",
+)
 def invariants(t: Tables) -> DataFrame:
+    """Of the paths found, and of the same paths with faults put in: a cost too high, one turned round, a loop, a tail too long, one twice."""
     paths, edges = ranked_paths(t)
-    return U.path_invariants(paths, edges, 0, 7, 4)
+    paths = cut(paths.select("rank", "nodes", "cost"), "paths")
+    rank, nodes = F.col("rank"), F.col("nodes")
+    tail = F.array(*[F.lit(n) for n in (21, 22, 23, 24)])
+    wrong = F.when(rank == 2, F.reverse("nodes")).when(rank == 3, F.concat("nodes", F.array(nodes[1]))).when(rank == 5, F.concat("nodes", tail)).otherwise(nodes)
+    broken = paths.select("rank", wrong.alias("nodes"), (F.col("cost") + F.when(rank == 1, 0.5).otherwise(0.0)).alias("cost"))
+    broken = broken.unionByName(broken.where("rank = 10").withColumn("rank", F.lit(11).cast("long")))
+    both = [U.path_invariants(p, edges, 0, 7, 4).withColumn("variant", F.lit(name)) for name, p in (("sound", paths), ("broken", broken))]
+    return both[0].unionByName(both[1])
 
 
 @query(

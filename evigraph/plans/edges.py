@@ -408,7 +408,22 @@ def beam_scored(t: Tables) -> DataFrame:
     return rounded(G.beam(scored, "score", 3).select("candidate", "score"))
 
 
-@query("beam_solutions")
+def _rounds(depth: int, top_n: int, width: int) -> str:
+    """The search's rounds one after the other; a round after a receptor was found has no paths."""
+    out = ["f0 AS (SELECT '0' AS path_id, [7::INT] AS nodes, 0.0::DOUBLE AS log_p)"]
+    for r in range(depth):
+        out.append(
+            f"g{r} AS (SELECT f.path_id, f.nodes, f.log_p, src AS candidate, log_p + ln(1 / (1 + exp(-log_bf))) AS score, row_number() OVER (PARTITION BY f.path_id ORDER BY 1 / (1 + exp(-log_bf)) DESC, src) AS cheap_rank, "
+            f"src IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AS is_receptor FROM f{r} f JOIN bf ON dst = f.nodes[-1] WHERE NOT list_contains(f.nodes, src::INT)), "
+            f"s{r} AS (SELECT * FROM g{r} WHERE cheap_rank <= {top_n} OR is_receptor QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY score DESC, path_id) = 1), "
+            f"k{r} AS (SELECT s.path_id || '.' || s.candidate AS path_id, list_append(s.nodes, s.candidate::INT) AS nodes, s.score AS log_p, is_receptor FROM s{r} s ORDER BY s.score DESC, s.path_id, s.candidate LIMIT {width}), "
+            f"f{r + 1} AS (SELECT path_id, nodes, log_p FROM k{r} WHERE NOT is_receptor AND NOT EXISTS (SELECT 1 FROM k{r} WHERE is_receptor))"
+        )
+    found = " UNION ALL ".join(f"SELECT nodes, log_p, {r} AS round FROM k{r} WHERE is_receptor" for r in range(depth))
+    return ", ".join(out) + f" SELECT array_to_string(list_reverse(nodes), '->') AS path, round(exp(log_p), 6) AS p, round, 'receptor_reached' AS stopped FROM ({found})"
+
+
+@query("beam_solutions", f"WITH {SHORT}, {_rounds(4, 3, 3)}")
 def beam_solutions(t: Tables) -> DataFrame:
     found, why = G.backward_search(search_edges(t), 7, receptors(t), top_n=3, width=3, depth=4)
     return rounded(found.select(F.array_join(F.transform(F.reverse("nodes"), lambda n: n.cast("string")), "->").alias("path"), F.exp("log_p").alias("p"), "round", F.lit(why).alias("stopped")))

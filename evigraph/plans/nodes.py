@@ -245,3 +245,30 @@ def node_universe_sets(t: Tables) -> DataFrame:
     seed = t.part.where("p_size <= 25").select(F.col("p_partkey").alias("symbol"))
     both = chosen.join(seed, "symbol", "left_semi").withColumn("side", F.lit("both"))
     return both.unionByName(chosen.join(seed, "symbol", "left_anti").withColumn("side", F.lit("selected_only")))
+
+
+FALLBACK = (
+    "rw AS (SELECT l_partkey AS k, min(l_extendedprice) AS x, min(CASE WHEN l_partkey % 4 = 0 THEN NULL WHEN l_partkey % 9 = 2 THEN -1.0 ELSE l_quantity + 1 END) AS tq FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), "
+    "kn AS (SELECT p_partkey AS k, x, tq FROM part LEFT JOIN rw ON rw.k = p_partkey), md AS (SELECT quantile_cont(tq, 0.5) FILTER (WHERE tq > 0) AS m FROM kn), fi AS (SELECT arg_min(tq, k) AS first FROM rw WHERE tq IS NOT NULL)"
+)
+
+
+@query(
+    "node_values_by_handler",
+    f"WITH {FALLBACK} SELECT 'collecting_duct_abundance' AS handler, k, round(x, 6) AS x, round(CASE WHEN tq > 0 THEN tq ELSE m END, 6) AS tq FROM kn, md UNION ALL SELECT 'kinase_activity', k, round(x, 6), 0.17 FROM kn UNION ALL SELECT 'pc_transcript', k, round(x, 6), first FROM kn, fi",
+)
+def node_values_by_handler(t: Tables) -> DataFrame:
+    """Thresholds by row with the median for those that have none, a fixed one, and one for the whole source."""
+    k = F.col("l_partkey")
+    own = F.when(k % 4 == 0, None).when(k % 9 == 2, -1.0).otherwise(F.col("l_quantity") + 1)
+    rows = t.lineitem.where("l_returnflag = 'R'").select(k.alias("k"), F.col("l_extendedprice").alias("v"), own.cast("double").alias("own"))
+    parts = t.part.select(F.col("p_partkey").alias("k"))
+    each = lambda handler: E.node_values(parts, handler, rows, "k", "v", "own").withColumn("handler", F.lit(handler))
+    return rounded(each("collecting_duct_abundance").unionByName(each("kinase_activity")).unionByName(each("pc_transcript")))
+
+
+@query("factor_value_counts", "WITH c AS (SELECT l_discount * 2 AS value, count(*) AS n FROM lineitem GROUP BY 1) SELECT 'few' AS what, round(value, 6) AS value, n FROM c")
+def factor_value_counts(t: Tables) -> DataFrame:
+    """Eleven discounts are counted; prices are too many."""
+    few = E.value_counts(t.lineitem.withColumn("f", F.col("l_discount") * 2), "f").withColumn("what", F.lit("few"))
+    return rounded(few.unionByName(E.value_counts(t.lineitem, "l_extendedprice").withColumn("what", F.lit("many"))))

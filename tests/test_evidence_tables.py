@@ -145,3 +145,26 @@ def test_site_database_by_hand(spark):
     assert found["S99"]["validation"] == "canonical_position_out_of_range" and found["S99"]["window"] == ""
     every = {r["site"]: (r["scorable"], r["sources"]) for r in Z.candidates(mine, db).collect()}
     assert set(every) == {f"{c}{i}" for i, c in enumerate(sequence, 1) if c in "STY"} and every["S11"] == (True, "dataset_observed;uniprot_annotated") and every["Y5"] == (False, "uniprot_annotated")
+
+
+def test_missing_thresholds_become_the_median(spark):
+    from evigraph.operators import evidence as V
+
+    nodes = spark.createDataFrame([(i,) for i in range(5)], "k long")
+    rows = spark.createDataFrame([(0, 1.0, 2.0), (1, None, 4.0), (2, 3.0, -1.0), (3, float("nan"), None), (9, 1.0, 100.0)], "k long, v double, t double")
+    got = {r["k"]: (r["x"], r["tq"]) for r in V.node_values(nodes, "phosphoprotein_response", rows, "k", "v", "t").collect()}
+    assert got == {0: (1.0, 2.0), 1: (None, 4.0), 2: (3.0, 3.0), 3: (None, 3.0), 4: (None, 3.0)}  # rows of other nodes don't count
+    assert {r["tq"] for r in V.node_values(nodes, "protein_abundance", rows, "k", "v", "t").collect()} == {2.0}
+    assert {r["tq"] for r in V.node_values(nodes, "kinase_activity", rows, "k", "v").collect()} == {0.17}
+    for bad in (lambda: V.node_values(nodes, "other", rows, "k", "v", "t"), lambda: V.node_values(nodes, "pc_transcript", rows, "k", "v")):
+        try:
+            bad()
+            raise AssertionError
+        except ValueError:
+            pass
+    try:
+        V.node_values(nodes, "collecting_duct_abundance", rows.withColumn("t", F.lit(0.0)), "k", "v", "t").collect()
+        raise AssertionError
+    except Exception as e:
+        assert "no positive threshold" in str(e)
+    assert V.value_counts(rows, "v", most=2).count() == 0 and {(r["value"], r["n"]) for r in V.value_counts(rows.where("k IN (0, 9, 2)"), "v").collect()} == {(1.0, 2), (3.0, 1)}
