@@ -14,7 +14,9 @@ them by rule; own ones can be given).  A token of 20 or more characters with a
 letter and a digit is a secret if its mean log-likelihood ratio per transition
 exceeds ``threshold``.  Such spans are added where no pattern's span overlaps.
 
-Defined cases: null or empty text has no spans; the models never take spans
+Defined cases: null or empty text has no spans; spans that start at one place are
+in the order of their kinds, and a token of only letters or only digits, or of fewer
+than 20 characters, is no secret to the models, whatever it looks like; the models never take spans
 away; very long texts are searched whole; the same row twice gives the same result
 twice; an empty table gives an empty result; extra columns are carried along,
 whatever their names (``spans`` is replaced).

@@ -15,7 +15,8 @@ Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, with
 A-Z lower-cased; path: from there up to ``?``, ``#`` or the end.  Without
 ``://``, or for null, both are empty, no rule fits and the default holds.  Of
 the fitting host rules the longest wins; without one, a fitting pattern rule
-blocks; otherwise the row is allowed.  Equal rows, and rows with one page_id, are
+blocks; otherwise the row is allowed.  Of rules of one length, or
+of several pattern rules, the first by name counts.  Equal rows, and rows with one page_id, are
 judged one by one; very long urls are read whole; an empty table gives an empty
 result.  Extra columns are carried along, whatever their names (host, path, rule
 and verdict are replaced).

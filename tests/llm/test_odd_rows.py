@@ -25,7 +25,7 @@ NAMES = (
 
 
 def wide(df):
-    return df.select("*", *[F.lit(f"own {c}").alias(c) for c in NAMES])
+    return df.select("*", *[F.lit(f"own {c}").alias(c) for c in NAMES if c not in df.columns])
 
 
 def texts(spark):
@@ -82,6 +82,7 @@ OPERATORS = {
     "op13": (vectors, codes.compress, False),
     "language": (texts, lambda d: corpus_pipeline.language(d.sparkSession, d, ""), True),
     "near_duplicates": (texts, lambda d: corpus_pipeline.near_duplicates(d.sparkSession, d, ""), True),
+    "decontamination": (texts, lambda d: corpus_pipeline.decontamination(d.sparkSession, d, "/root/testdata/sf0.001"), True),
     "mix": (texts, lambda d: corpus_pipeline.mix(d.sparkSession, d, ""), True),
     "shard": (texts, lambda d: corpus_pipeline.shard(d.sparkSession, d, ""), True),
 }
