@@ -14,6 +14,13 @@ documents; extra columns are carried along.  Empty tables go through.
 4. mix: rows come as often as the mix begins them; sources over their target lose
    rows, sources under it repeat theirs.
 5. shard: adds row_number, shard and slot.
+
+Null text: is in no language and goes with the first stage; the others, on their
+own, keep it (mix as a document of no size, which comes at most once an epoch).
+Null ids, sources and languages are values like others; null sources mix as one
+source.  Very long texts are read, compared, aligned and kept whole.  Ties: rows
+equal in id and text are one document to near_duplicates, with the least source;
+the mix and the shards order equal rows by digest.
 """
 
 from __future__ import annotations
