@@ -200,6 +200,24 @@ def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("rank", "step", "e.src", "e.dst").join(edges.select("src", "dst", "p"), ["src", "dst"])
 
 
+def network(paths: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ranked paths (rank, nodes) are made of: (node, paths, mean_position, best_rank) and (src, dst, p, paths, best_rank)."""
+    nodes = paths.select("rank", F.posexplode("nodes").alias("pos", "node")).groupBy("node").agg(F.count(F.lit(1)).alias("paths"), F.avg("pos").alias("mean_position"), F.min("rank").alias("best_rank"))
+    used = path_edges(paths, edges).groupBy("src", "dst").agg(F.max("p").alias("p"), F.count(F.lit(1)).alias("paths"), F.min("rank").alias("best_rank"))
+    return nodes, used
+
+
+def network_payload(paths: DataFrame, edges: DataFrame, start, target) -> DataFrame:
+    """One row of JSON for a view: the paths, their nodes (with a role) and edges, those of the best paths first. Its size is that of k paths."""
+    nodes, used = network(paths, edges)
+    role = F.when(F.col("node") == F.lit(start), "start").when(F.col("node") == F.lit(target), "target").otherwise("between")
+    listed = lambda rows, *order: rows.agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*rows.columns).alias("row")))), lambda x: x["row"]).alias("all"))
+    a = listed(nodes.withColumn("role", role), "best_rank", "mean_position", "node").withColumnRenamed("all", "nodes")
+    b = listed(used, "best_rank", "src", "dst").withColumnRenamed("all", "edges")
+    c = listed(paths.select("rank", "nodes", "cost", F.exp(-F.col("cost")).alias("product")), "rank").withColumnRenamed("all", "paths")
+    return a.join(F.broadcast(b)).join(F.broadcast(c)).select(F.to_json(F.struct("paths", "nodes", "edges")).alias("payload"))  # one row each
+
+
 def reachable(edges: DataFrame, start, max_rounds: int = 64) -> DataFrame:
     """(node, hops) of everything that can be reached: breadth first, until nothing is new."""
     spark = edges.sparkSession

@@ -54,3 +54,30 @@ def wide_topk(t: Tables) -> DataFrame:
 def wide_edges(t: Tables) -> DataFrame:
     paths, edges = ranked(t)
     return rounded(G.path_edges(paths, edges).withColumn("step", F.col("step").cast("long")))
+
+
+NETWORK = f"""{WIDE}, st AS (SELECT rank, nodes, unnest(range(1, len(nodes))) AS i FROM top), us AS (SELECT nodes[i] AS src, nodes[i + 1] AS dst, count(*) AS paths, min(rank) AS best_rank FROM st GROUP BY 1, 2),
+nn AS (SELECT node, count(*) AS paths, avg(pos) AS mean_position, min(rank) AS best_rank FROM (SELECT rank, unnest(nodes) AS node, generate_subscripts(nodes, 1) - 1 AS pos FROM top) GROUP BY 1)"""
+
+
+@query(
+    "path_network_payload",
+    f"WITH {NETWORK} SELECT 'node' AS kind, node AS a, CASE node WHEN s THEN 'start' WHEN t THEN 'target' ELSE 'between' END AS b, paths, best_rank, round(mean_position, 6) AS x FROM nn, en "
+    "UNION ALL SELECT 'edge', us.src, us.dst::VARCHAR, paths, best_rank, round(p, 6) FROM us JOIN ed ON ed.src = us.src AND ed.dst = us.dst UNION ALL SELECT 'path', rank, array_to_string(nodes, '->'), 1, rank, round(exp(-cost), 6) FROM top",
+)
+def network_payload(t: Tables) -> DataFrame:
+    """The JSON of the paths, read back."""
+    paths, edges = ranked(t)
+    paths = cut(paths.select("rank", "nodes", "cost"), "ranked")
+    ends = edges.agg(F.min("src").alias("s"), F.max("src").alias("t")).first()  # one row
+    made = G.network_payload(paths, edges, ends["s"], ends["t"])
+    shape = (
+        "struct<paths: array<struct<rank: bigint, nodes: array<bigint>, cost: double, product: double>>, nodes: array<struct<node: bigint, paths: bigint, mean_position: double, best_rank: bigint, role: string>>, "
+        "edges: array<struct<src: bigint, dst: bigint, p: double, paths: bigint, best_rank: bigint>>>"
+    )
+    read = made.select(F.from_json("payload", shape).alias("j")).select("j.*")
+    named = lambda kind, x, a, b, n, best, v: read.select(F.inline(x)).select(F.lit(kind).alias("kind"), F.col(a).alias("a"), b.alias("b"), n.alias("paths"), F.col(best).alias("best_rank"), F.col(v).alias("x"))
+    nodes = named("node", "nodes", "node", F.col("role"), F.col("paths"), "best_rank", "mean_position")
+    used = named("edge", "edges", "src", F.col("dst").cast("string"), F.col("paths"), "best_rank", "p")
+    whole = named("path", "paths", "rank", F.array_join(F.transform("nodes", lambda n: n.cast("string")), "->"), F.lit(1).cast("long"), "rank", "product")
+    return rounded(nodes.unionByName(used).unionByName(whole))
