@@ -89,6 +89,22 @@ def payload(decided: DataFrame) -> DataFrame:
     return edges.agg(F.concat(F.lit('{"edges":['), listed, F.lit("]}")).alias("payload"), F.count(F.lit(1)).alias("n_edges"))
 
 
+def run_payload(rounds: list[tuple[int, DataFrame]]) -> DataFrame:
+    """One row of JSON of a run so far: the nodes of all rounds, by the first one that has them, and all edges with their round, strongest first.
+
+    A round is a beam's shortlist, so a run is that times the rounds.
+    """
+    edges = None
+    for number, decided in rounds:
+        rows = decided.select(F.lit(number).alias("round"), "path_id", "candidate", *PAIR, "cheap", "posterior", "decision")
+        edges = rows if edges is None else edges.unionByName(rows)
+    ends = edges.select("round", F.explode(F.array(*PAIR)).alias("node"), "posterior").groupBy("node").agg(F.min("round").alias("first_round"), F.max("posterior").alias("best"))
+    order = F.struct("round", (-F.col("posterior")).alias("o"), "path_id", "candidate", F.struct(*PAIR, "round", "cheap", "posterior", "decision").alias("row"))
+    listed = edges.agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["row"]).alias("edges"), F.max("round").alias("last_round"))
+    known = ends.agg(F.array_sort(F.collect_list(F.struct("node", "first_round", "best"))).alias("nodes"))
+    return listed.join(F.broadcast(known)).select(F.to_json(F.struct("last_round", "nodes", "edges")).alias("payload"))  # one row each
+
+
 class Development:
     """Runs the stages one by one; ``inputs`` are tables by name, read anew for every stage."""
 
@@ -102,6 +118,10 @@ class Development:
     def table(self, round_: int, stage: str) -> DataFrame:
         return self.store.read(f"round-{round_}-{stage}")
 
+    def payload(self, last: int) -> DataFrame:
+        """The run's payload over the rounds up to this one that are decided."""
+        return run_payload([(r, self.table(r, "decisions")) for r in range(last + 1) if "decisions" in self.done(r)])
+
     def step(self, round_: int, frontier: DataFrame) -> str | None:
         """Runs the next stage of the round and returns its name; None if all are there."""
         done = self.done(round_)

@@ -14,6 +14,7 @@ from evigraph.operators import pairs as P
 from evigraph.operators import records as R
 from evigraph.operators import settings as C
 from evigraph.plans.catalog import Tables, query, rounded
+from evigraph.sources.state import cut
 
 # -- suppliers as nodes; few of their pairs share an order with a large, returned line
 
@@ -565,3 +566,19 @@ def development_structural(t: Tables) -> DataFrame:
 )
 def development_decisions(t: Tables) -> DataFrame:
     return _stages(t)["decisions"].select("path_id", "candidate", "place", "decision")
+
+
+@query(
+    "development_payload",
+    f"WITH {ROUND}, ed AS (SELECT 0 AS round, dp.* FROM dp UNION ALL SELECT 1, dp.* FROM dp WHERE place <= 6) SELECT 'edge' AS kind, round, node_a AS a, node_b AS b, round(post, 6) AS x FROM ed "
+    "UNION ALL SELECT 'node', min(round), n, NULL, round(max(post), 6) FROM (SELECT round, unnest([node_a, node_b]) AS n, post FROM ed) GROUP BY n",
+)
+def development_payload(t: Tables) -> DataFrame:
+    """The JSON of two rounds, the second with the first's best, read back."""
+    decided = cut(_stages(t)["decisions"], "decided")
+    made = D.run_payload([(0, decided), (1, decided.where("place <= 6"))])
+    shape = "struct<last_round: int, nodes: array<struct<node: bigint, first_round: int, best: double>>, edges: array<struct<node_a: bigint, node_b: bigint, round: int, cheap: double, posterior: double, decision: string>>>"
+    read = made.select(F.from_json("payload", shape).alias("j")).select("j.*")
+    edges = read.select(F.inline("edges")).select(F.lit("edge").alias("kind"), "round", F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("posterior").alias("x"))
+    nodes = read.select(F.inline("nodes")).select(F.lit("node").alias("kind"), F.col("first_round").alias("round"), F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), F.col("best").alias("x"))
+    return rounded(edges.unionByName(nodes))
