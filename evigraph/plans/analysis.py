@@ -476,8 +476,7 @@ def calibrate(t: Tables) -> DataFrame:
     values = quantity(t)
     tq = background_threshold(values, "x").first()["tq"]
     controls = values.join(t.part.where("p_size = 50").select(F.col("p_partkey").alias("symbol")), "symbol", "left_semi")
-    rows = controls.groupBy("x").count().orderBy("x").collect()  # one row a different value
-    x, counts = np.array([r["x"] for r in rows], float), np.array([r["count"] for r in rows], float)
+    x, counts = C.summed_up(controls, F.col("x"))
 
     def p(theta: dict[str, float]) -> np.ndarray:
         factor = np.maximum(0.5, 1 - np.exp(-0.5 * (x / (tq * theta["tq"])) ** 2)) / 0.5

@@ -249,6 +249,13 @@ def test_calibration_uses_all_controls(spark, tmp_path):
     assert (got["weight"], got["tq"]) == pytest.approx((want["values"]["weight"], want["values"]["tq"]), abs=1e-4)
 
 
+def test_controls_that_nearly_agree_count_as_one(spark):
+    values = [1.0, 1.00001, -1.0, 0.0, 0.0, 2.0, None, float("nan"), float("inf")] + [5 + i * 1e-9 for i in range(1000)]
+    x, n = C.summed_up(spark.createDataFrame([(v,) for v in values], "v double"), F.col("v"))
+    assert n.sum() == 1006 and len(x) <= 7 and (np.diff(x) > 0).all() and x[0] == -1.0 and n[list(x).index(0.0)] == 2
+    assert math.isclose((x * n).sum(), sum(v for v in values if v is not None and math.isfinite(v)), rel_tol=1e-12)
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("sym\tx\tA\nA\t\t0.5\nB\t2\t0\n")
     rows = R.read_delimited(spark, str(tmp_path / "a.tsv")).collect()
