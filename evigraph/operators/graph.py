@@ -98,9 +98,13 @@ def hop_costs(edges: DataFrame, start, target, max_hops: int) -> DataFrame:
     Both sides go in one min-join a step; a step's table has two rows a node at most,
     and is written: its size is known then, so a small one is broadcast to the arcs.
     """
-    spark, kind = edges.sparkSession, edges.schema["dst"].dataType.simpleString()
     out, back = F.struct(F.lit(0).alias("side"), F.col("src").alias("node"), F.col("dst").alias("to")), F.struct(F.lit(1).alias("side"), F.col("dst").alias("node"), F.col("src").alias("to"))
-    arcs = cut(edges.select(F.explode(F.array(out, back)).alias("e"), "cost").select("e.side", "e.node", "e.to", "cost"), "arcs")
+    arcs = edges.select(F.explode(F.array(out, back)).alias("e"), "cost").select("e.side", "e.node", "e.to", "cost")
+    return _hop_costs(cut(arcs, "arcs"), start, target, max_hops)
+
+
+def _hop_costs(arcs: DataFrame, start, target, max_hops: int) -> DataFrame:
+    spark, kind = arcs.sparkSession, arcs.schema["to"].dataType.simpleString()
     now = spark.createDataFrame([(0, start, 0.0), (1, target, 0.0)], f"side int, node {kind}, cost double")
     levels = [now]
     for _ in range(max_hops):
@@ -122,10 +126,10 @@ def top_paths(edges: DataFrame, start, target, k: int, max_hops: int, allowed: D
     of the k-th walk, since a walk has max_hops edges at most; as a first bound it
     leaves the few edges that such walks use.  Partial paths of half the steps
     grow from both ends over these edges, as long as their cost and the least cost of
-    the rest are within the bound, and are joined where they meet.  Paths found lower
-    the bound; if loops leave fewer than k below it, four times as many edges give the
-    next one.  Once the bound lets all edges through that lie on any walk between
-    the ends, all paths are found, be they fewer than k.
+    the rest are within the bound, and are joined where they meet.  If loops leave fewer
+    than k paths below it, four times as many edges give the next one.  Once the bound lets all edges through that lie on any walk between
+    the ends, the short paths lower it before the join, and all paths are found, be
+    they fewer than k.
 
     ``edges``: (src, dst, cost).  ``allowed``: nodes that may lie between.
     ``bans``: (src, dst) steps that must not be taken.
@@ -140,8 +144,11 @@ def top_paths(edges: DataFrame, start, target, k: int, max_hops: int, allowed: D
     shape = f"nodes array<{kind}>, cost double, hops int"
     if start == target or max_hops < 1:
         return spark.createDataFrame([([start], 0.0, 0)] if start == target and max_hops >= 0 else [], shape)
-    steps = cut(edges.groupBy("src", "dst").agg(F.min("cost").alias("cost")).where((F.col("src") != F.lit(target)) & (F.col("dst") != F.lit(start))), "steps")
-    best = hop_costs(steps, start, target, max_hops - 1)
+    once = edges.groupBy("src", "dst").agg(F.min("cost").alias("cost")).where((F.col("src") != F.lit(target)) & (F.col("dst") != F.lit(start)))
+    ends = [F.struct(F.lit(side).alias("side"), F.col(a).alias("node"), F.col(b).alias("to")) for side, a, b in ((0, "src", "dst"), (1, "dst", "src"))]
+    arcs = cut(once.select(F.explode(F.array(*ends)).alias("e"), "cost").select("e.side", "e.node", "e.to", "cost"), "arcs")
+    steps = arcs.where("side = 0").select(F.col("node").alias("src"), F.col("to").alias("dst"), "cost")
+    best = _hop_costs(arcs, start, target, max_hops - 1)
     before = best.where("side = 0").select(F.col("node").alias("src"), F.col("costs").alias("before"))
     after = best.where("side = 1").select(F.col("node").alias("dst"), F.col("costs").alias("after"))
     # in i steps to the edge and in the steps that are left from it
@@ -151,9 +158,9 @@ def top_paths(edges: DataFrame, start, target, k: int, max_hops: int, allowed: D
     while True:
         lowest = [r["through"] for r in valued.select("through").orderBy("through").limit(wanted).collect()]  # so many numbers
         bound = lowest[-1] if len(lowest) == wanted else float("inf")
-        found = cut(_within(valued.where(F.col("through") <= bound + SLACK), start, target, max_hops, k, bound), "paths")
-        if bound == float("inf") or found.count() >= k:
-            return found
+        found = _within(valued.where(F.col("through") <= bound + SLACK), start, target, max_hops, k, bound).collect()  # k rows at most
+        if bound == float("inf") or len(found) >= k:
+            return spark.createDataFrame([(r["nodes"], r["cost"], r["hops"]) for r in found], shape)
         wanted *= 4
 
 
@@ -164,7 +171,6 @@ SLACK = 1e-9
 def _within(live: DataFrame, start, target, max_hops: int, k: int, bound: float) -> DataFrame:
     """The k cheapest paths over these edges that cost no more than the bound."""
     spark, kind = live.sparkSession, live.schema["dst"].dataType.simpleString()
-    live = cut(live, "live")
     forth = live.select(F.lit(0).alias("side"), F.col("src").alias("node"), F.col("dst").alias("to"), F.col("cost").alias("step"), F.col("after").alias("rest"))
     back = live.select(F.lit(1).alias("side"), F.col("dst").alias("node"), F.col("src").alias("to"), F.col("cost").alias("step"), F.col("before").alias("rest"))
     arcs = forth.unionByName(back)
@@ -182,7 +188,8 @@ def _within(live: DataFrame, start, target, max_hops: int, k: int, bound: float)
             parts.append(now.where("side = 1").select("node", F.col("nodes").alias("tail"), F.col("costs").alias("tail_costs"), F.col("cost").alias("tail_cost")))
     short = functools.reduce(DataFrame.unionByName, whole)
     if parts:
-        kth = [r["c"] for r in short.select(F.aggregate("costs", F.lit(0.0), lambda a, c: a + c).alias("c")).orderBy("c").limit(k).collect()]  # k numbers
+        # where nothing bounds the search yet, the short paths may
+        kth = [] if bound < float("inf") else [r["c"] for r in short.select(F.aggregate("costs", F.lit(0.0), lambda a, c: a + c).alias("c")).orderBy("c").limit(k).collect()]  # k numbers
         bound = min(bound, kth[-1]) if len(kth) == k else bound
         met = now.where("side = 0").join(functools.reduce(DataFrame.unionByName, parts), "node").where(F.col("cost") + F.col("tail_cost") <= bound + SLACK)
         # they share the node where they meet, and no other
