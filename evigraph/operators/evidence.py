@@ -43,7 +43,7 @@ KINASE_TQ = 0.17
 def node_values(nodes: DataFrame, handler: str, rows: DataFrame, key: str, value: str, tq: str | None = None) -> DataFrame:
     """(key, x, tq) of every node by the stream's handler; a missing measurement is null.
 
-    A source-wide threshold is the first one stored (that of the least key), activities have a fixed
+    A source-wide threshold is the first one stored (the least one of the least key), activities have a fixed
     one.  Where each row has its own, a missing or non-positive one becomes the median
     of the nodes' positive thresholds, so that a node without a row can be scored at
     zero.  A stream without any positive threshold is an error.
@@ -59,7 +59,7 @@ def node_values(nodes: DataFrame, handler: str, rows: DataFrame, key: str, value
     known = nodes.select(key).join(found, key, "left")
     missing = F.raise_error(F.lit(f"stream {handler} has no positive threshold")).cast("double")
     if handler in SOURCE_WIDE:
-        first = rows.where(t.isNotNull()).agg(F.min_by(t, key).alias("first"))
+        first = rows.where(t.isNotNull()).agg(F.min_by(t, F.struct(F.col(key), t.alias("_t"))).alias("first"))  # a key may have several
         return known.join(F.broadcast(first)).select(key, "x", F.coalesce(F.when(F.col("first") > 0, F.col("first")), missing).alias("tq"))  # one row
     middle = quantiles(known, F.when(F.col("tq") > 0, F.col("tq")), [0.5]).select(F.col("q")[0].alias("middle"))
     return known.join(F.broadcast(middle)).select(key, "x", F.coalesce(F.when(F.col("tq") > 0, F.col("tq")), F.col("middle"), missing).alias("tq"))  # one row
