@@ -8,6 +8,7 @@ is windowed in one task.
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,35 +69,33 @@ def quantiles(values: DataFrame, value: Column, qs: list[float]) -> DataFrame:
     if len(qs) > FEW:
         return quantiles_of_counts(x.groupBy("x").agg(F.count(F.lit(1)).alias("m")), qs)
     ends = [min(1.0, max(0.0, q + side * 2 / ACCURACY)) for q in qs for side in (-1, 1)]
-    rough = x.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", F.array(*[F.lit(e) for e in ends]), F.lit(ACCURACY)).alias("ends"))
-    bracketed = x.join(F.broadcast(rough.select("ends")))  # one row
-    low, high = (lambda i: F.col("ends")[2 * i]), (lambda i: F.col("ends")[2 * i + 1])
+    # fetched, one row: a summary depends on the order in which its parts arrive, so one that is worked out twice gives two brackets
+    rough = x.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", F.array(*[F.lit(e) for e in ends]), F.lit(ACCURACY)).alias("ends")).first()
+    n = rough["n"]
+    if n == 0:
+        return x.sparkSession.createDataFrame([([None] * len(qs), 0)], "q array<double>, n long")
+    low, high = rough["ends"][::2], rough["ends"][1::2]
     each = lambda f: F.array(*[f(i) for i in range(len(qs))])
-    below = bracketed.agg(
-        each(lambda i: F.count_if(F.col("x") < low(i))).alias("below"),
-        # the summary's ranks may be one off
-        each(lambda i: F.max(F.when(F.col("x") < low(i), F.col("x")))).alias("before"),
-        each(lambda i: F.min(F.when(F.col("x") > high(i), F.col("x")))).alias("after"),
-    )
-    inside = F.lit(False)
-    for i in range(len(qs)):
-        inside = inside | F.col("x").between(low(i), high(i))
-    held = bracketed.where(inside).groupBy("x").agg(F.count(F.lit(1)).alias("m"))
-    held = held.agg(F.array_sort(F.collect_list(F.struct("x", "m"))).alias("held"))
-    row = rough.join(F.broadcast(below)).join(F.broadcast(held))  # one row each
-
-    def at(rank: Column, i: int) -> Column:
-        entries = F.filter("held", lambda e: e["x"].between(low(i), high(i)))
-        start = F.struct(F.col("below")[i].alias("seen"), F.lit(None).cast("double").alias("hit"))
+    seen = x.agg(each(lambda i: F.count_if(F.col("x") < F.lit(low[i]))).alias("below"), each(lambda i: F.count_if(F.col("x") <= F.lit(high[i]))).alias("upto")).first()
+    places = [q * (n - 1) for q in qs]
+    if any(math.floor(at) < below or math.ceil(at) >= upto for at, below, upto in zip(places, seen["below"], seen["upto"], strict=True)):
+        # the summary was off by more than it says
+        return quantiles_of_counts(x.groupBy("x").agg(F.count(F.lit(1)).alias("m")), qs)
+    inside = functools.reduce(lambda a, b: a | b, [F.col("x").between(F.lit(low[i]), F.lit(high[i])) for i in range(len(qs))])
+    held = x.where(inside).groupBy("x").agg(F.count(F.lit(1)).alias("m"))
+    row = held.agg(F.array_sort(F.collect_list(F.struct("x", "m"))).alias("held"))
+
+    def at(rank: int, i: int) -> Column:
+        entries = F.filter("held", lambda e: e["x"].between(F.lit(low[i]), F.lit(high[i])))
+        start = F.struct(F.lit(seen["below"][i]).cast("long").alias("seen"), F.lit(None).cast("double").alias("hit"))
         step = lambda acc, e: F.struct((acc["seen"] + e["m"]).alias("seen"), F.coalesce(acc["hit"], F.when(acc["seen"] + e["m"] > rank, e["x"])).alias("hit"))
-        return F.when(rank < F.col("below")[i], F.col("before")[i]).otherwise(F.coalesce(F.aggregate(entries, start, step)["hit"], F.col("after")[i]))
+        return F.aggregate(entries, start, step)["hit"]
 
     out = []
-    for i, q in enumerate(qs):
-        place = F.lit(q) * (F.col("n") - 1)
-        one, two = at(F.floor(place), i), at(F.ceil(place), i)
-        out.append(F.when(F.col("n") > 0, one + (two - one) * (place - F.floor(place))))
-    return row.select(F.array(*out).alias("q"), "n")
+    for i, place in enumerate(places):
+        one, two = at(math.floor(place), i), at(math.ceil(place), i)
+        out.append(one + (two - one) * F.lit(place - math.floor(place)))
+    return row.select(F.array(*out).alias("q"), F.lit(n).cast("long").alias("n"))
 
 
 def grouped_quantiles(values: DataFrame, keys: list[str], value: Column, qs: list[float]) -> DataFrame:
