@@ -35,11 +35,11 @@ def triage(t: Tables) -> DataFrame:
     from evigraph.operators.evidence import integrate
 
     edges = integrate(edge_ledger(t), ["node_a", "node_b"]).select("node_a", "node_b", "posterior")
-    sim = P.sparse_products(profiles(t), "s", "d", "w").select("node_a", "node_b", (F.round("cosine", 9) - 0.7).alias("sim"))
+    edges = P.given_products(edges, profiles(t), "s", "d", "w").select("node_a", "node_b", "posterior", (F.round("cosine", 9) - 0.7).alias("sim"))
     s = t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal")
     a = s.toDF("node_a", "na", "ba")
     b = s.toDF("node_b", "nb", "bb")
-    rows = edges.join(sim, ["node_a", "node_b"], "left").join(a, "node_a").join(b, "node_b")
+    rows = edges.join(a, "node_a").join(b, "node_b")
     same = F.when(F.col("na") == F.col("nb"), 1.0).otherwise(0.0)
     covered = (F.col("ba") > 0) & (F.col("bb") > 0)
     out = U.triage(rows, covered, F.col("sim"), F.lit(True), same, F.round("posterior", 9) - 0.25)
@@ -54,8 +54,8 @@ def reconciliation(t: Tables) -> DataFrame:
 
 @query("masked_correlation", f"WITH {PROFILE}, {CO} SELECT count(*) AS n, round(corr(cosine, n), 6) AS r FROM prod JOIN co USING (node_a, node_b) WHERE n > 3")
 def masked(t: Tables) -> DataFrame:
-    sim = P.sparse_products(profiles(t), "s", "d", "w").select("node_a", "node_b", "cosine")
-    rows = sim.join(co_supply(t).withColumn("n", F.when(F.col("n") > 3, F.col("n").cast("double"))), ["node_a", "node_b"])
+    # a pair that shares few orders is masked before its cosine is worked out
+    rows = P.given_products(co_supply(t).where("n > 3").withColumn("n", F.col("n").cast("double")), profiles(t), "s", "d", "w")
     return rounded(U.masked_correlation(rows, "cosine", "n"))
 
 
