@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions import kernels as K
+from evigraph.operators import pairs as P
 
 
 def intermediate_eligibility(nodes: DataFrame, classes: Column, relay: list[str], ends: list, kind: Column, key: str) -> DataFrame:
@@ -48,10 +49,26 @@ def masked_correlation(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def ortholog_pairs(pairs: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(a, b) pairs through a many-to-many mapping (name, target): different unordered pairs of targets."""
-    ma, mb = mapping.toDF("a", "ta"), mapping.toDF("b", "tb")
-    met = pairs.select("a", "b").join(ma, "a").join(mb, "b").where("ta != tb")
-    return met.select(F.least("ta", "tb").alias("node_a"), F.greatest("ta", "tb").alias("node_b")).distinct()
+    """(a, b) pairs through a many-to-many mapping (name, target): different unordered pairs of targets.
+
+    Names with many targets meet in chunks, and tasks follow the number of pairs that come out.
+    """
+    m = mapping.toDF("name", "target").distinct()
+    sizes = m.groupBy("name").agg(F.count(F.lit(1)).alias("n")).select("name", "n", F.ceil(F.col("n") / P.CHUNK).cast("int").alias("chunks"))
+    of = lambda end: sizes.select(F.col("name").alias(end), F.col("n").alias(f"n_{end}"), F.col("chunks").alias(f"chunks_{end}"))
+    sized = pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
+    made = sized.agg(F.sum(F.col("n_a").cast("double") * F.col("n_b")).alias("made")).first()["made"] or 0
+    parts = max(1, -(-int(made) // P.ROWS))
+
+    def side(end: str, other: str) -> DataFrame:
+        rows = sized.join(m.select(F.col("name").alias(end), F.col("target").alias(f"t{end}")), end)
+        mine = F.pmod(F.xxhash64(f"t{end}"), F.col(f"chunks_{end}")).cast("int").alias(f"c{end}")
+        return rows.select("a", "b", f"t{end}", mine, F.explode(F.sequence(F.lit(0), F.col(f"chunks_{other}") - 1)).alias(f"c{other}"))
+
+    # names and chunks in parts of a key, one join
+    key = ["a", "b", "ca", "cb"]
+    met = side("a", "b").repartition(parts, *key).join(side("b", "a").repartition(parts, *key), key).where("ta != tb")
+    return met.select(F.least("ta", "tb").alias("node_a"), F.greatest("ta", "tb").alias("node_b")).repartition(parts, "node_a", "node_b").distinct()
 
 
 def import_scores(rows: DataFrame, known: DataFrame) -> DataFrame:
