@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions import kernels as K
@@ -201,6 +202,85 @@ def _within(live: DataFrame, start, target, max_hops: int, k: int, bound: float)
     return rows.orderBy("cost", "nodes").limit(k)
 
 
+def shared_group_paths(rows: DataFrame, group: str, member: str, cost: Callable[[Column, Column, Column], Column], start, target, k: int, max_hops: int, least: float = 0.0, width: int = 64) -> DataFrame:
+    """As ``top_paths``, on the graph whose edges are the pairs of members that share a group, without making these edges: (cost, nodes, hops), exact.
+
+    ``cost`` (lower end, higher end, number of shared groups) mustn't rise with that
+    number; ``least``: no edge costs less.  Partial paths grow from both ends
+    through the groups of their last node.  A step is weighed at first as if all of
+    that node's groups were shared, so only what can still be within the bound is counted.
+    The bound is the cost of the k-th path of up to three steps over the ``width``
+    cheapest first steps, or over more where these give fewer than k.  What a partial path
+    still needs is an edge to the other end, or the cheapest of those and one more.
+    """
+    m = rows.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g IS NOT NULL AND m IS NOT NULL").distinct()
+    m = cut(m.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("m"))), "members")
+    spark, kind = m.sparkSession, m.schema["m"].dataType.simpleString()
+    shape = f"nodes array<{kind}>, cost double, hops int"
+    if start == target or max_hops < 1:
+        return spark.createDataFrame([([start], 0.0, 0)] if start == target and max_hops >= 0 else [], shape)
+    edge = lambda n: cost(F.least("node", "to"), F.greatest("node", "to"), n)
+    ends = F.when(F.col("side") == 0, F.lit(start)).otherwise(F.lit(target)), F.when(F.col("side") == 0, F.lit(target)).otherwise(F.lit(start))
+
+    def grown(front: DataFrame, bound: float, rest: DataFrame | None = None, enough: Column | None = None) -> DataFrame:
+        """Partial paths (side, node, nodes, costs, cost) one step longer; ``rest`` (side, to, near) and ``enough`` say what they still need."""
+        asked = cut(front.join(m.select(F.col("m").alias("node"), "g", "many"), "node"), "asked")
+        met = asked.join(m.select("g", F.col("m").alias("to")), "g")
+        needs = F.lit(0.0)
+        if rest is not None:
+            met, needs = met.join(rest, ["side", "to"], "left"), F.coalesce("near", enough)
+        met = met.where((F.col("cost") + edge(F.col("many")) + needs <= bound + SLACK) & ~F.array_contains("nodes", F.col("to")))
+        counted = met.groupBy("side", "node", "nodes", "costs", "cost", "to", needs.alias("needs")).agg(F.count(F.lit(1)).alias("n"))
+        step = counted.withColumn("step", edge(F.col("n"))).where(F.col("cost") + F.col("step") + F.col("needs") <= bound + SLACK)
+        return step.select("side", F.col("to").alias("node"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("costs", F.array("step")).alias("costs"), (F.col("cost") + F.col("step")).alias("cost"))
+
+    def joined(forth: DataFrame, back: DataFrame, bound: float) -> DataFrame:
+        """(nodes, costs) of whole paths: they share the node where they meet, and no other."""
+        tails = back.select("node", F.col("nodes").alias("tail"), F.col("costs").alias("tail_costs"), F.col("cost").alias("tail_cost"))
+        met = forth.join(tails, "node").where((F.col("cost") + F.col("tail_cost") <= bound + SLACK) & (F.size(F.array_intersect("nodes", "tail")) == 1))
+        rest = F.reverse(F.slice("tail", F.lit(1), F.size("tail") - 1))
+        return met.select(F.concat("nodes", rest).alias("nodes"), F.concat("costs", F.reverse("tail_costs")).alias("costs"))
+
+    def cheapest(parts: list[DataFrame]) -> list:
+        # costs add up from the start, however the halves met
+        whole = functools.reduce(DataFrame.unionByName, parts)
+        added = whole.select("nodes", F.aggregate("costs", F.lit(0.0), lambda a, c: a + c).alias("cost"), (F.size("nodes") - 1).alias("hops"))
+        return added.orderBy("cost", "nodes").limit(k).collect()  # k rows
+
+    none = spark.createDataFrame([(0, start, [start], [], 0.0), (1, target, [target], [], 0.0)], f"side int, node {kind}, nodes array<{kind}>, costs array<double>, cost double")
+    first = cut(grown(none, float("inf")), "parts")
+    direct, first = first.where((F.col("side") == 0) & (F.col("node") == F.lit(target))).select("nodes", "costs"), first.where(F.col("node") != ends[1])
+    low = {r["side"]: (r["low"], r["n"]) for r in first.groupBy("side").agg(F.min("cost").alias("low"), F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    if len(low) < 2 or max_hops == 1:
+        return spark.createDataFrame([tuple(r) for r in cheapest([direct])], shape)
+    forth, back = (first.where(F.col("side") == side) for side in (0, 1))
+    whole, bound = [direct, joined(forth, back, float("inf"))], float("inf")
+    other = F.when(F.col("side") == 0, low[1][0]).otherwise(low[0][0])
+    while True:
+        tried = [joined(grown(forth.orderBy("cost", "node").limit(width), bound).where(F.col("node") != F.lit(target)), back, bound)] if max_hops > 2 else []
+        found = cheapest(whole + tried)
+        if len(found) == k or not tried or width >= low[0][1]:
+            bound = found[-1]["cost"] if len(found) == k else bound
+            break
+        width *= 8
+    if max_hops == 2:
+        return spark.createDataFrame([tuple(r) for r in found], shape)
+    # an edge to the other end that is cheaper than the cheapest one and a step to it
+    near = first.where(F.col("cost") < least + F.when(F.col("side") == 0, low[0][0]).otherwise(low[1][0])).select((1 - F.col("side")).alias("side"), F.col("node").alias("to"), F.col("cost").alias("near"))
+    half = -(-max_hops // 2)
+    now, tails = first, [back]
+    for hop in range(2, half + 1):
+        going = now if hop <= max_hops - half else now.where("side = 0")
+        going = going.where(F.col("cost") + least + other <= bound + SLACK)
+        now = cut(grown(going, bound, near, other + least).where((F.col("node") != ends[0]) & (F.col("node") != ends[1])), "parts")
+        if hop < half:
+            whole.append(joined(now.where("side = 0"), back, bound))
+        if hop <= max_hops - half:
+            tails.append(now.where("side = 1"))
+    whole += [joined(now.where("side = 0"), tail, bound) for tail in tails]
+    return spark.createDataFrame([tuple(r) for r in cheapest(whole)], shape)
+
+
 def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """(rank, step, src, dst, p) of ranked paths."""
     rows = paths.select("rank", F.posexplode(F.arrays_zip(F.expr("slice(nodes, 1, size(nodes) - 1)").alias("src"), F.expr("slice(nodes, 2, size(nodes) - 1)").alias("dst"))).alias("step", "e"))
