@@ -1,4 +1,4 @@
-"""Paths on graphs whose edges are shared groups, without the edges."""
+"""Paths on graphs whose edges are shared groups, without the edges; closures of nodes with the same parents."""
 
 import random
 
@@ -45,3 +45,25 @@ def test_wide_paths_make_no_pairs(spark, monkeypatch):
     t.orders = orders.where("o_custkey = 1")
     none, _, ends = paths.ranked(t)
     assert ends == (None, None) and none.count() == 0
+
+
+def test_closure_by_classes_of_nodes_with_the_same_parents(spark, monkeypatch):
+    rng = random.Random(5)
+    links = [(f"{i}.{a}", f"{i + 1}.{b}") for i in range(4) for a in range(6) for b in range(5)] + [(f"x{a}", f"x{b}") for a in range(12) for b in range(a + 1, 12) if rng.random() < 0.25] + [("x1", "3.0"), ("0.0", "1.0"), ("a", None), (None, "b")]
+    up = {}
+    for a, b in links:
+        if a is not None and b is not None:
+            up.setdefault(a, set()).add(b)
+    want = set()
+    for node in up:
+        front, seen, distance = {node}, set(), 0
+        while front:
+            distance += 1
+            front = {b for a in front for b in up.get(a, ())} - seen
+            seen |= front
+            want |= {(node, b, distance) for b in front}
+    made, rows = G.cut, []
+    monkeypatch.setattr(G, "cut", lambda df, name: (lambda got: (rows.append(got.count()) if name == "closure" else None, got)[1])(made(df, name)))
+    got = [tuple(r) for r in G.closure(spark.createDataFrame(links, "child string, parent string")).collect()]
+    assert sorted(got) == sorted(want)
+    assert sum(rows) < len(want) / 2  # a row a pair of classes, not of nodes
