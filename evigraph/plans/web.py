@@ -33,17 +33,15 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY sale_id ORDER BY line, item, fl
 )
 def tables_of_pages(t: Tables) -> DataFrame:
     """Nested tables, spans over rows and columns, cells left open, comments and scripts; the outer table's long cell is left out."""
-    found = H.rows(H.cells(sale_pages(t), "sale_id"), "sale_id").where("table = 1 OR row = 0")
+    found = H.page_rows(sale_pages(t), "sale_id").where("table = 1 OR row = 0")
     return found.select("sale_id", "table", "row", "header", F.array_join("cells", "|").alias("cells"))
 
 
 @query("html_largest_table", f"WITH {LINES} SELECT sale_id, row::INT AS row, sale_id::VARCHAR AS sale, line, item, flag FROM rk WHERE n > 1 UNION ALL SELECT sale_id, 1, 'x', trim('salelineitemflag ' || sale_id || line || ' ' || item || flag), NULL, NULL FROM rk WHERE n = 1")
 def largest_table(t: Tables) -> DataFrame:
     """Of a sale with one line both tables have one row, and the outer one comes first; it has two columns."""
-    found = H.cells(sale_pages(t), "sale_id")
-    best = found.join(H.largest(found, "sale_id"), ["sale_id", "table"]).where("NOT header")
-    at = lambda i: F.max(F.when(F.col("col") == i, F.col("text")))
-    return best.groupBy("sale_id", "row").agg(at(0).alias("sale"), at(1).alias("line"), at(2).alias("item"), at(3).alias("flag"))
+    best = H.page_rows(sale_pages(t), "sale_id", only_largest=True).where("NOT header")
+    return best.select("sale_id", "row", *[F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(("sale", "line", "item", "flag"))])
 
 
 @query(

@@ -3,14 +3,17 @@
 A table function runs over each page with a stack of open tables, so tables may
 stand in cells of others, tags may be left open, and cells may span rows and
 columns.  What follows (the largest table of a page, rows as arrays, names for
-columns) is grouping of its cells.
+columns) is grouping of its cells; ``page_rows`` makes rows of a page where it is
+read, so that its cells aren't shuffled.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,11 @@ CELLS = "table int, parent int, row int, col int, header boolean, th boolean, ow
 #: Fixed value of the HTML standard: wider spans are cut.
 MOST_COLUMNS = 1000
 ENCODINGS = ("utf-8", "windows-1252", "latin-1")
+#: Tags that need no thought: one attribute at most, quoted as it should be.
+OPENS = re.compile(r"""<(table|thead|tbody|tfoot|tr|td|th|b|i|br)(?:[ ]+([a-z]+)=(?:'([^'"<>&]*)'|"([^'"<>&]*)"|([a-z0-9]+)))?[ ]*>""", re.ASCII | re.IGNORECASE)
+CLOSES = re.compile(r"</(table|thead|tbody|tfoot|tr|td|th|b|i)>", re.ASCII | re.IGNORECASE)
+#: Rows of tables that go on together.
+BATCH = 20_000
 
 
 def decoded(data: bytes) -> str:
@@ -48,6 +56,24 @@ class _Tables(HTMLParser):
         self.count = 0
         self.silent = 0
 
+    def parse_starttag(self, i: int) -> int:
+        plain = OPENS.match(self.rawdata, i)
+        if plain is None:
+            return super().parse_starttag(i)
+        name = plain[2]
+        self.handle_starttag(plain[1].lower(), [(name.lower(), plain[plain.lastindex])] if name else [])
+        return plain.end()
+
+    def parse_endtag(self, i: int) -> int:
+        plain = None if self.cdata_elem else CLOSES.match(self.rawdata, i)
+        if plain is None:
+            return super().parse_endtag(i)
+        self.handle_endtag(plain[1].lower())
+        return plain.end()
+
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # nobody asks for lines
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("script", "style"):
             self.silent += 1
@@ -67,7 +93,8 @@ class _Tables(HTMLParser):
                     now.cells = []
                 now.cell = []
                 given = dict(attrs)
-                now.cells.append((tag == "th", self.span(given.get("rowspan"), 65534), self.span(given.get("colspan"), MOST_COLUMNS), now.cell))
+                down, across = (self.span(given.get("rowspan"), 65534), self.span(given.get("colspan"), MOST_COLUMNS)) if given else (1, 1)
+                now.cells.append((tag == "th", down, across, now.cell))
             elif tag == "br":
                 self.handle_data(" ")
 
@@ -159,6 +186,60 @@ def cells(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return spark.sql(f"SELECT p.key, c.* FROM {view} p, LATERAL {name}(p.html) c").withColumnRenamed("key", key)
 
 
+def _grid(html: str) -> list[tuple[int, int, bool, list]]:
+    """(table, row, header, cells) of one page, as ``rows`` has them."""
+    parser, out = _Tables(), []
+    parser.feed(html)
+    at = None
+    for table, _, row, col, header, _, _, text in parser.finish():
+        if at != (table, row):  # a row's cells come together, from left to right
+            at = (table, row)
+            out.append((table, row, header, []))
+        held = out[-1][3]
+        held.extend([None] * (col - len(held)))
+        held.append(text)
+    return out
+
+
+def _largest(grid: list[tuple[int, int, bool, list]]) -> int | None:
+    many: dict[int, int] = {}
+    for table, _, header, _ in grid:
+        many[table] = many.get(table, 0) + (not header)
+    return min(many, key=lambda t: (-many[t], t), default=None)
+
+
+def page_rows(pages: DataFrame, key: str, html: str = "html", only_largest: bool = False) -> DataFrame:
+    """(key, table, row, header, cells): as ``rows`` of ``cells``, of every page or (``only_largest``) of each page's ``largest`` table, a page at a time and without a shuffle.
+
+    A page has a row of ``pages``; its tables' rows are made where it is read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, found = [], []
+
+            def made() -> pa.RecordBatch:
+                columns = list(zip(*found, strict=True)) if found else [[]] * 4
+                arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string())), strict=True)]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place, pa.int64())), *arrays], names=[key, "table", "row", "header", "cells"])
+
+            for i, page in enumerate(batch.column(1)):
+                grid = _grid(page.as_py() or "")
+                if only_largest:
+                    best = _largest(grid)
+                    grid = [r for r in grid if r[0] == best]
+                place.extend([i] * len(grid))
+                found.extend(grid)
+                if len(found) >= BATCH:
+                    yield made()
+                    place, found = [], []
+            if found:
+                yield made()
+
+    kind = pages.schema[key].dataType.simpleString()
+    return pages.select(F.col(key), F.col(html).alias("html")).mapInArrow(run, f"{key} {kind}, table int, row int, header boolean, cells array<string>")
+
+
 def rows(found: DataFrame, key: str) -> DataFrame:
     """(key, table, row, header, cells): the grid's rows, empty places filled with null."""
     grouped = found.groupBy(key, "table", "row").agg(F.bool_and("header").alias("header"), F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("at"), F.max("col").alias("last"))

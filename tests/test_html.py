@@ -1,5 +1,7 @@
 """Tables of web pages: nesting, spans, tags left open."""
 
+import random
+
 import pytest
 
 from evigraph.sources import html as H
@@ -46,5 +48,29 @@ def test_heads_parents_and_the_largest(spark):
         H.named(found.where("id = 1"), "id", ["name", "value", "more"]).collect()
 
 
+def test_rows_of_a_page_are_made_where_it_is_read(spark, monkeypatch):
+    monkeypatch.setattr(H, "BATCH", 3)
+    odd = ["<TR><tD  ROWSPAN='2' >x<td colspan=\"2\">y<td rowspan = 2>z<td a=1 colspan=2>w</tD ></tr>", "<td colspan=2/>a<td rowspan=2b>c<td colspan=>d</ td><td rowspan='2'colspan=2>e<td \n rowspan=2>f<td colspan=&#50;>g<td rowspan>h"]
+    odd = [f"<table>{x}<tr><td>1<td>2</table>" for x in odd] + ["<table><tr><td>a<title></td>b</title><textarea><td>c</textarea><script></td></script>d</b></i><br/>e", "<table><tr><td>a<table><tr><td>b<tr><td>c", "<table><td", "<table><tr><td>a</td", "<table><thead><tr><td>h</table><table><tr><td>x<tr></table>"]
+    pages = spark.createDataFrame([(i, p) for i, p in enumerate([*PAGES, *odd])] + [(99, None)], "id int, html string")
+    found = H.cells(pages, "id").cache()
+    key = lambda rows: sorted((r["id"], r["table"], r["row"], r["header"], list(r["cells"])) for r in rows.collect())
+    got = H.page_rows(pages, "id")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert key(got) == key(H.rows(found, "id"))
+    assert key(H.page_rows(pages, "id", only_largest=True)) == key(H.rows(found, "id").join(H.largest(found, "id"), ["id", "table"]))
+
+
+def test_plain_tags_are_read_as_the_parser_reads_them(monkeypatch):
+    tags = ["<table>", "</TABLE>", "<tr>", "</tr>", "<td rowspan=2>", "<TD COLSPAN='2'>", '<th rowspan="x">', "<td>", "</td>", "<thead>", "</thead>", "<b>", "</b >", "<br>", "<td a>", "<script>", "</script>", "<!-- <td> -->", "<", "&lt;", "x", "<td\trowspan=2>", "<title>", "</title>", "<td/>"]
+    rng = random.Random(4)
+    pages = ["<table>" + "".join(rng.choice(tags) for _ in range(rng.randrange(25))) for _ in range(600)]
+    read = lambda: [list(H._Cells().eval(p)) for p in pages]
+    got = read()
+    for name in ("parse_starttag", "parse_endtag", "updatepos"):
+        monkeypatch.delattr(H._Tables, name)
+    assert got == read()
+
+
 def test_encodings():
     assert H.decoded("é".encode()) == "é" and H.decoded(b"\x93x\x94") == "“x”" and H.decoded(b"\x81") == "\x81"
