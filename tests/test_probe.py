@@ -3,6 +3,7 @@
 import datetime
 import math
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from evigraph.operators import development as D
@@ -64,3 +65,54 @@ def test_rounds_are_decided_once(spark, tmp_path):
     rows = spark.createDataFrame([(r[1], r[2], r[3], r[4], r[5], r[2] == "R") for r in got if r[0] == 1], "path_id long, candidate string, node_a string, node_b string, posterior double, receptor boolean")
     assert {(r["path_id"], r["candidate"]): (r["place"], r["decision"]) for r in D.decisions(rows, 1).collect()} == {(r[1], r[2]): (r[7], r[8]) for r in got if r[0] == 1}
     assert spark.read.parquet(f"file://{tmp_path}/a/resolved").where(F.col("score").isNull()).count() == 1
+
+
+class State:
+    """State that counts its calls."""
+
+    def __init__(self):
+        self.rows, self.calls, self.timers = [], 0, []
+
+    def getValueState(self, name, schema):
+        return State()
+
+    def getListState(self, name, schema):
+        self.state = State()
+        return self.state
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def update(self, row):
+        self.rows = list(row)
+
+    def clear(self):
+        self.rows = []
+
+    def appendValue(self, row):
+        self.appendList([row])
+
+    def appendList(self, rows):
+        self.calls += 1
+        self.rows = self.rows + list(rows)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_rows_that_come_together_are_one_call_of_the_state():
+    rows = pd.DataFrame([request(1, 3000, i, f"c{i}", "A", "B", 0.5, i % 3) for i in range(1500)], columns=[c.split()[0] for c in probe.EVENT.split(", ")])
+    handle, waiting = State(), probe._Waiting(1000)
+    waiting.init(handle)
+    assert list(waiting.handleInputRows(("A", "B"), iter([rows[:700], rows[700:]]), None)) == []
+    assert handle.state.calls == 1 and len(handle.state.rows) == 1500 and len(handle.timers) == 3
+    handle, rounds = State(), probe._Rounds(5, 0.6, 0.1, 10.0)
+    rounds.init(handle)
+    assert list(rounds.handleInputRows((1,), iter([rows]), None)) == []
+    assert handle.state.calls == 1
+    more = rows.assign(path_id=rows["path_id"] + 1500)
+    (decided,) = rounds.handleInputRows((1,), iter([more]), None)
+    assert len(decided) == 3000 and handle.state.calls == 1 and handle.state.rows == []
