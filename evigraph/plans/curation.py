@@ -130,7 +130,7 @@ def restricted_edges(t: Tables) -> DataFrame:
     "CASE WHEN coalesce(i, c, l) > 1 THEN 'supports' WHEN coalesce(i, c, l) < 1 THEN 'refutes' ELSE 'neutral' END AS effect FROM g",
 )
 def live_merge(t: Tables) -> DataFrame:
-    co = cut(co_supply(t), "co")
+    co = P.sized(cut(co_supply(t), "co"), "node_a", "node_b")
     factor = lambda rows, f: rows.select("node_a", "node_b", f.alias("bayes_factor"))
     integrated = factor(co.where("n >= 12"), K.zero_anchored_factor(F.col("n")))
     cached = factor(co.where("n >= 4"), K.structural_factor(F.col("n") / 12.0, 0.6, 0.1, 10.0))
