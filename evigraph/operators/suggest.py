@@ -2,38 +2,89 @@
 
 Two names' ratio is twice the number of characters in matching blocks over the
 number of all characters; blocks are the longest common stretch, and so on to
-the left and right of it.  No more characters match than the two have in common,
-each as often as in the poorer name.  So names are indexed by their characters
-with occurrence numbers (``a1``, ``a2``, ...): of the rarest of these as many as any
-name of sufficient ratio must share one with.  Only pairs whose common characters
-allow the ratio are compared.
+the left and right of it.  Blocks stand in the same order in both names, so no
+more characters match than the longest common subsequence has.  Blocks of names
+meet blocks of names asked for, a task a pair of blocks: lengths of subsequences
+are worked out for a whole block at a time, on bits, and only pairs that can be
+among the best of their block are compared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from heapq import heappushpop, heappush
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Names, and names asked for, that meet in one task; and characters of either that it holds.
+NAMES, ASKED, CHARACTERS = 8192, 128, 2_000_000
+#: Characters of a name asked for that one word of bits holds.
+BITS = 64
 
-def _tokens(names: DataFrame, name: str) -> DataFrame:
-    """(name, n, tokens): a character and its occurrence number, for every character."""
-    letters = F.split(F.col(name), "")
-    kept = F.filter(letters, lambda x: x != "")
-    # sorted, equal letters stand together: a letter's number is its place after the first of its kind
-    ordered = F.array_sort(kept)
-    numbered = F.transform(ordered, lambda x, i: F.concat(x, (i - F.array_position(ordered, x) + 2).cast("string")))
-    return names.select(F.col(name).alias("name"), F.size(kept).alias("n"), numbered.alias("tokens")).where("n > 0")
 
+class _Letters:
+    """Names in the order of their lengths, as numbers of letters one after the other."""
 
-def _prefixes(tokens: DataFrame, rarity: DataFrame, share: float) -> DataFrame:
-    """Each name's rarest tokens: two names that share at least ``share`` of either's have one of these in common."""
-    rows = tokens.select("name", "n", F.explode("tokens").alias("token")).join(rarity, "token")
-    place = F.row_number().over(Window.partitionBy("name").orderBy("often", "token"))
-    needed = F.greatest(F.lit(1), F.ceil(F.col("n") * share - 1e-9).cast("int"))
-    return rows.withColumn("place", place).where(F.col("place") <= F.col("n") - needed + 1).select("token", "name", "n")
+    def __init__(self, names: list[str]):
+        self.names = sorted(names, key=len)
+        self.lengths = np.array([len(n) for n in self.names], dtype=np.int64)
+        self.start = np.cumsum(self.lengths) - self.lengths
+        letters, self.codes = np.unique(np.frombuffer("".join(self.names).encode("utf-32-le"), dtype=np.uint32), return_inverse=True)
+        self.place = {chr(c): i for i, c in enumerate(letters)}
+
+    def in_common(self, wanted: str, low: int, high: int) -> np.ndarray:
+        """The most characters that each of the names low to high - 1 and the wanted one can match: lengths of common subsequences.
+
+        A longer name is taken in pieces, whose lengths add up to no less than the whole's.
+        """
+        total = np.zeros(high - low, dtype=np.int64)
+        for at in range(0, len(wanted), BITS):
+            masks = np.zeros(len(self.place), dtype=np.uint64)
+            for bit, letter in enumerate(wanted[at : at + BITS]):
+                if letter in self.place:
+                    masks[self.place[letter]] |= np.uint64(1 << bit)
+            left = np.full(high - low, np.iinfo(np.uint64).max, dtype=np.uint64)  # a bit falls with each character matched
+            for j in range(int(self.lengths[high - 1])):
+                first = max(int(np.searchsorted(self.lengths, j, side="right")), low)  # shorter names are through
+                row = left[first - low :]
+                hit = row & masks[self.codes[self.start[first:high] + j]]
+                left[first - low :] = (row + hit) | (row - hit)
+            total += np.bitwise_count(~left)
+        return np.minimum(total, np.minimum(self.lengths[low:high], len(wanted)))
+
+
+def _best(letters: _Letters, wanted: str, most: int, cutoff: float) -> list[tuple[float, str]]:
+    """The ``most`` greatest (ratio, name) of the cutoff or more; pairs are compared from the greatest bound down, until no bound reaches the last kept."""
+    # 2 min(m, n) / (m + n) must reach the cutoff, so shorter and longer names are left out
+    m = len(wanted)
+    low = int(np.searchsorted(letters.lengths, int(m * cutoff / (2 - cutoff)), side="left"))
+    high = int(np.searchsorted(letters.lengths, int(m * (2 - cutoff) / cutoff) + 1, side="right"))
+    if low >= high:
+        return []
+    # the same arithmetic as the ratio's, so that a bound is never below it
+    bound = 2.0 * letters.in_common(wanted, low, high) / (letters.lengths[low:high] + m)
+    matcher, kept = SequenceMatcher(), []
+    matcher.set_seq2(wanted)
+    near = np.flatnonzero(bound >= cutoff)
+    for i in near[np.argsort(-bound[near], kind="stable")]:
+        if len(kept) == most and bound[i] < kept[0][0]:
+            break
+        name = letters.names[low + i]
+        matcher.set_seq1(name)
+        ratio = matcher.ratio()
+        if ratio >= cutoff:
+            heappush(kept, (ratio, name)) if len(kept) < most else heappushpop(kept, (ratio, name))
+    return kept
+
+
+def _dealt(names: DataFrame, block: str, blocks: int, other: str, others: int) -> DataFrame:
+    """Names with their block, once for each block of the other side."""
+    own = F.pmod(F.xxhash64("x"), F.lit(blocks)).cast("int").alias(block)
+    return names.select("x", own, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
 
 
 def suggestions(names: DataFrame, wanted: DataFrame, name: str = "name", most: int = 5, cutoff: float = 0.45) -> DataFrame:
@@ -43,32 +94,24 @@ def suggestions(names: DataFrame, wanted: DataFrame, name: str = "name", most: i
     """
     if not 0 < cutoff <= 1:
         raise ValueError("the cutoff must be above 0 and at most 1")
-    known = _tokens(names.select(name).distinct(), name)
-    asked = _tokens(wanted.select("wanted").distinct(), "wanted")
-    rarity = known.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("often"))
-    rare = asked.select(F.explode("tokens").alias("token")).distinct().join(rarity, "token", "left").select("token", F.coalesce("often", F.lit(0)).alias("often"))
-    rarity = rarity.unionByName(rare.where("often = 0"))
-    # ratio r of lengths a, b needs r (a + b) / 2 characters, and b >= a r / (2 - r)
-    share = cutoff / (2 - cutoff)
-    left = _prefixes(asked, rarity, share).withColumnsRenamed({"name": "wanted", "n": "m"})
-    right = _prefixes(known, rarity, share)
-    lengths = (F.least("m", "n") * 2 + 1e-9) >= cutoff * (F.col("m") + F.col("n"))
-    met = left.join(right, "token").where(lengths).select("wanted", "name").distinct()
-    common = met.join(asked.select(F.col("name").alias("wanted"), F.col("tokens").alias("x"), F.col("n").alias("m")), "wanted").join(known.select("name", F.col("tokens").alias("y"), "n"), "name")
-    upper = F.size(F.array_intersect("x", "y")) * 2 / (F.col("m") + F.col("n"))
-    likely = common.where(upper >= cutoff - 1e-9).select("wanted", "name")
-
-    @F.pandas_udf("double")
-    def ratio(wanted: pd.Series, name: pd.Series) -> pd.Series:
-        matcher, last, out = SequenceMatcher(), None, []
-        for w, n in zip(wanted, name, strict=True):
-            if w != last:
-                matcher.set_seq2(w)
-                last = w
-            matcher.set_seq1(n)
-            out.append(matcher.ratio())
-        return pd.Series(out, dtype=float)
-
-    rated = likely.select("wanted", "name", ratio("wanted", "name").alias("ratio")).where(F.col("ratio") >= cutoff)
+    known = names.select(F.col(name).alias("x")).where("x <> ''").distinct()
+    asked = wanted.select(F.col("wanted").alias("x")).where("x <> ''").distinct()
+    size = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("x").cast("long")), F.lit(0)).alias("c")).first()
+    pieces = lambda s, many: max(1, -(-s["n"] // many), -(-s["c"] // CHARACTERS))
+    i, j = pieces(size(asked), ASKED), pieces(size(known), NAMES)
+    # tasks by the number of blocks: by bytes, all of them would be one task
+    met = _dealt(asked, "i", i, "j", j).withColumn("wanted", F.lit(True)).unionByName(_dealt(known, "j", j, "i", i).withColumn("wanted", F.lit(False)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).to_pydict()
+        words = [x for x, w in zip(table["x"], table["wanted"], strict=True) if w]
+        others = [x for x, w in zip(table["x"], table["wanted"], strict=True) if not w]
+        if not words or not others:
+            return
+        letters = _Letters(others)
+        found = [(w, n, r) for w in words for r, n in _best(letters, w, most, cutoff)]
+        yield pa.RecordBatch.from_pydict({"wanted": [f[0] for f in found], "name": [f[1] for f in found], "ratio": [f[2] for f in found]}, schema=pa.schema([("wanted", pa.string()), ("name", pa.string()), ("ratio", pa.float64())]))
+
+    rated = met.repartition(i * j, "i", "j").groupBy("i", "j").applyInArrow(run, "wanted string, name string, ratio double")
     rank = F.row_number().over(Window.partitionBy("wanted").orderBy(F.desc("ratio"), F.desc("name")))
     return rated.withColumn("rank", rank).where(F.col("rank") <= most)

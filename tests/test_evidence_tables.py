@@ -123,6 +123,50 @@ def test_suggestions_equal_a_plain_implementation(spark):
             assert got.get(w, []) == [(n, round(r, 9)) for r, n in sorted((x for x in rated if x[0] >= cutoff), reverse=True)[:most]], w
 
 
+def test_suggestions_compare_few_pairs_in_several_tasks(spark, monkeypatch):
+    """Bounds decide most pairs, names over a word of bits too; blocks are dealt out by their number, however few bytes they have."""
+    from difflib import SequenceMatcher
+
+    from evigraph.operators import suggest
+
+    rng = random.Random(9)
+    name = lambda most: "".join(rng.choice("aabcdeeinrst1-Ü") for _ in range(rng.randint(1, most)))
+    names, wanted = sorted({name(24) for _ in range(2000)} | {name(200) for _ in range(40)}), sorted({name(8) for _ in range(40)} | {name(150) for _ in range(4)})
+    rated, compared = {}, []
+    for w in wanted:
+        matcher = SequenceMatcher()
+        matcher.set_seq2(w)
+        for n in names:
+            matcher.set_seq1(n)
+            # a quick ratio is never below the ratio
+            if matcher.quick_ratio() >= 0.45 and matcher.ratio() >= 0.45:
+                rated.setdefault(w, []).append((matcher.ratio(), n))
+    best = {w: sorted(r, reverse=True)[:5] for w, r in rated.items()}
+
+    class Counted(SequenceMatcher):
+        def ratio(self):
+            compared.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(suggest, "SequenceMatcher", Counted)
+    letters = suggest._Letters(names)
+    assert {w: r for w in wanted if (r := sorted(suggest._best(letters, w, 5, 0.45), reverse=True))} == best
+    assert len(compared) < 0.02 * len(names) * len(wanted)
+    monkeypatch.undo()
+    monkeypatch.setattr(suggest, "ASKED", 11)
+    monkeypatch.setattr(suggest, "NAMES", 700)
+    frame, asked = spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(w,) for w in wanted], "wanted string")
+    spark.sparkContext.setJobGroup("suggest", "suggest")
+    got = {}
+    for r in suggestions(frame, asked).orderBy("rank").collect():
+        got.setdefault(r["wanted"], []).append((r["ratio"], r["name"]))
+    assert got == best
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("suggest") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) >= 12
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_site_database_by_hand(spark):
     sequence = "MKTAYIAKQRSQSFVKSHFSRQ"
     text = 'MOD_RES 11; /note="Phosphoserine"; /evidence="E1"; MOD_RES 13..14; /note="Phosphoserine"; MOD_RES 40; /note="Phosphotyrosine"; MOD_RES 3; /note="N6-acetyl"; MOD_RES 5; /note="phosphotyrosine; by X"'
