@@ -30,7 +30,8 @@ def totals_before(rows: DataFrame, order: list[str], value: str, name: str = "be
 
 def with_rank(rows: DataFrame, by: Column, name: str = "rank") -> DataFrame:
     """Adds the rank by an ascending expression, ties sharing the smallest: different values are counted, ranked and joined back."""
-    keyed = rows.withColumn("_by", by)
+    # written: a sum that is worked out twice may end otherwise in its last place, and its row would be lost
+    keyed = cut(rows.withColumn("_by", by), "keyed")
     counts = keyed.groupBy("_by").agg(F.count(F.lit(1)).alias("_n"))
     ranked = totals_before(counts, ["_by"], "_n", "_before").select("_by", (F.col("_before") + 1).cast("long").alias(name))
     return keyed.join(ranked, "_by").drop("_by")

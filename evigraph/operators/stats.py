@@ -73,14 +73,21 @@ def information(ledger: DataFrame, key: str, prior: float = 0.5, cutoff: float =
 
 
 def agreement(ledger: DataFrame, key: str, names: DataFrame) -> DataFrame:
-    """For each pair of streams (``names``: the few there are): concordant signs, both positive, Jaccard of positives."""
-    a, b = ledger.alias("a"), ledger.alias("b")
-    met = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.stream") < F.col("b.stream")))
-    sa, sb = F.signum(F.ln("a.factor")), F.signum(F.ln("b.factor"))
-    return met.groupBy(F.col("a.stream").alias("stream_a"), F.col("b.stream").alias("stream_b")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(sa * sb > 0).alias("concordant"), F.count_if(sa * sb < 0).alias("discordant"), F.count_if((sa > 0) & (sb > 0)).alias("both_positive"),
-        (F.count_if((sa > 0) & (sb > 0)) / F.when(F.count_if((sa > 0) | (sb > 0)) > 0, F.count_if((sa > 0) | (sb > 0)))).alias("jaccard"),
+    """For each pair of streams (``names``: the few there are): concordant signs, both positive, Jaccard of positives.
+
+    Signs of a key's rows are counted by stream, and counts are multiplied: the ledger is read once, and its rows aren't joined.
+    """
+    sign = F.signum(F.ln("factor"))
+    signs = ledger.where(F.col(key).isNotNull() & F.col("stream").isNotNull()).repartition(key).groupBy(key, "stream").agg(F.count(F.lit(1)).alias("n"), F.count_if(sign > 0).alias("p"), F.count_if(sign < 0).alias("m"))
+    held = signs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("stream", "n", "p", "m"))).alias("s"))
+    pairs = F.flatten(F.transform("s", lambda x: F.transform(F.filter("s", lambda y: y["stream"] > x["stream"]), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    met = held.select(F.explode(pairs).alias("e")).select("e.a", "e.b")
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    out = met.groupBy(a("stream").alias("stream_a"), b("stream").alias("stream_b")).agg(
+        F.sum(a("n") * b("n")).alias("n"), F.sum(a("p") * b("p") + a("m") * b("m")).alias("concordant"), F.sum(a("p") * b("m") + a("m") * b("p")).alias("discordant"),
+        F.sum(a("p") * b("p")).alias("both_positive"), F.sum(a("p") * b("n") + a("n") * b("p") - a("p") * b("p")).alias("either"),
     )
+    return out.withColumn("jaccard", F.col("both_positive") / F.when(F.col("either") > 0, F.col("either"))).drop("either")
 
 
 def conflict(ledger: DataFrame, key: str) -> DataFrame:

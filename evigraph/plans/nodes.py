@@ -11,6 +11,7 @@ from evigraph.operators.order import quantiles
 from evigraph.operators import evidence as E
 from evigraph.operators.order import with_rank
 from evigraph.plans.catalog import Tables, query, rounded
+from evigraph.sources.state import cut
 
 LIK = "greatest(0.5, 1 - exp(-0.5 * power(greatest({x}, 0) / ({t}), 2)))"
 QTY = "qty AS (SELECT l_partkey AS symbol, sum(l_quantity) AS x FROM lineitem GROUP BY 1), qt AS (SELECT quantile_cont(x, 0.75) AS tq FROM qty)"
@@ -99,6 +100,7 @@ def ledger(t: Tables) -> DataFrame:
     parts = t.part.select(F.col("p_partkey").alias("symbol"))
 
     def abundance(values: DataFrame, ord_: int, name: str, weight: float, multiplier: float, positive: bool) -> DataFrame:
+        values = cut(values, "sums")  # the threshold and the factors are of the same sums
         tq = E.background_threshold(values, "x", positive=positive).select("tq")
         rows = parts.join(values, "symbol", "left").join(F.broadcast(tq))  # one row
         stream = E.Stream(name, 0.5, weight, multiplier)

@@ -239,3 +239,39 @@ def test_factorised_is_the_dense_matrix(spark, monkeypatch, penalty):
     assert audit["one"]["eligible"] == sum(nodes[a][0] and nodes[b][0] for a, b in want) and audit["three"]["fills"] == 0
     known = {tuple(sorted(f[:2])) for f in f2} & set(want)
     assert audit["two"]["unsupported"] == sum(bool(cross(nodes[a], nodes[b])) and (a, b) not in known for a, b in want) == audit["two"]["fills"]
+
+
+def test_ranks_keep_rows_whose_value_differs_when_worked_out_again(spark):
+    """Sums of shuffled doubles may end otherwise in their last place the second time; here the whole value does."""
+    from evigraph.operators.order import with_rank
+
+    draw = F.udf(lambda _: random.random(), "double").asNondeterministic()
+    rows = with_rank(spark.range(500).withColumn("v", draw("id")), F.col("v")).orderBy("v").collect()
+    assert [r["rank"] for r in rows] == list(range(1, 501)) and len({r["id"] for r in rows}) == 500
+
+
+def test_agreement_reads_a_ledger_once(spark):
+    """By brute force, with repeated, neutral, missing and null rows; then with factors that differ each time they are read."""
+    from evigraph.operators.stats import agreement
+
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice(["a", "b", "c", None]), rng.choice([0.5, 1.0, 3.0, None])) for _ in range(60)]
+    want = {}
+    for (k, s, f), (l, t, g) in itertools.product(rows, rows):
+        if k is None or s is None or t is None or k != l or not s < t:
+            continue
+        x, y = (None if f is None else math.log(f)), (None if g is None else math.log(g))
+        n = want.setdefault((s, t), [0] * 5)
+        up, both = (x is not None and x > 0, y is not None and y > 0), x is not None and y is not None
+        for i, c in enumerate((True, both and x * y > 0, both and x * y < 0, all(up), any(up))):
+            n[i] += c
+    frame = spark.createDataFrame(rows, "symbol int, stream string, factor double")
+    got = {(r["stream_a"], r["stream_b"]): r for r in agreement(frame, "symbol", None).collect()}
+    assert set(got) == set(want)
+    for pair, (n, concordant, discordant, both, either) in want.items():
+        r = got[pair]
+        assert (r["n"], r["concordant"], r["discordant"], r["both_positive"]) == (n, concordant, discordant, both) and r["jaccard"] == pytest.approx(both / either)
+    draw = F.udf(lambda _: random.choice([0.5, 2.0]), "double").asNondeterministic()
+    drawn = spark.range(300).select("id", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("stream")).withColumn("factor", F.when(F.col("stream") == "b", draw("id")).otherwise(2.0))
+    once = {(r["stream_a"], r["stream_b"]): r["concordant"] for r in agreement(drawn, "id", None).collect()}
+    assert once["a", "b"] == once["b", "c"] and once["a", "c"] == 300
