@@ -50,6 +50,28 @@ def test_duplicate_rows_add_up_and_neutral_rows_are_observations(spark):
     assert set(back) == {("a", "c"), ("b", "c")} and math.isclose(back["b", "c"], 6)
 
 
+def test_combined_blocks_equal_combined_pairs(spark, monkeypatch):
+    """Several blocks and slices; nodes without a flag, without any row, and reported ones that no table knows; pairs aren't shuffled."""
+    rng = np.random.default_rng(6)
+    names = [f"n{i}" for i in range(60)]
+    nodes = spark.createDataFrame([(n, *(None if x > 2 else bool(x > 1) for x in rng.integers(0, 4, 3))) for n in names[:50]], "node string, p boolean, q boolean, r boolean")
+    made = lambda: [(a, b, float(rng.choice([0.25, 1.0, 3.0]))) for a, b in (sorted(rng.choice(names, 2, replace=False).tolist()) for _ in range(150))]
+    one, two, three = (pairs_of(spark, made()) for _ in range(3))
+    streams = [S.EdgeStream("one", "odds", weight=2.0), S.EdgeStream("two", "odds", continuous=True, floor=1e-3), S.EdgeStream("three", "odds", negative=False), S.EdgeStream("off", "odds", weight=0.0)]
+    ends = [(F.col("p"), None), (F.col("q"), F.col("r")), (F.col("p"), None), (F.col("p"), None)]
+    monkeypatch.setattr(S, "BLOCK", 11)
+    monkeypatch.setattr(S, "HELD", 30)
+    for penalty in (0.8, None):
+        plain = S.combine(S.contributions([(s, f, S.eligible_pairs(nodes, *e)) for s, f, e in zip(streams, (one, two, three, one), ends, strict=True)], penalty), 0.3)
+        blocks = S.combine_eligible(nodes, [(s, f, *e) for s, f, e in zip(streams, (one, two, three, one), ends, strict=True)], 0.3, penalty)
+        rows = lambda df: sorted((r["node_a"], r["node_b"], round(r["log_odds"], 9), round(r["probability"], 9), r["streams"]) for r in df.collect())
+        assert rows(blocks) == rows(plain) and len(rows(plain)) > 300
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    with pytest.raises(ValueError, match="no stream"):
+        S.combine_eligible(nodes, [(streams[3], one, None, None)], 0.3)
+
+
 def test_thresholds_count_absent_pairs_as_zeros(spark):
     products = pairs_of(spark, [("a", "b", 4.0)], "dot")
     nodes = spark.createDataFrame([(n,) for n in "abcde"], "node string")
