@@ -327,3 +327,18 @@ def test_state_is_replaced_as_a_whole(spark, tmp_path):
     assert store.read("t") is None
     assert [store.replace("t", spark.range(n)) for n in (3, 5)] == [1, 2]
     assert StateStore(spark, f"file://{tmp_path}/state").read("t").count() == 5
+
+
+def test_compartment_similarity_takes_all_lines(spark):
+    """Small quantities count as large ones do: suppliers that never sell 49 or more are compared, too."""
+    from evigraph.plans import stage
+
+    class Tables:
+        lineitem = spark.createDataFrame([(1, 1, 5.0), (2, 1, 3.0), (1, 2, 50.0), (2, 3, 2.0)], "l_orderkey long, l_suppkey long, l_quantity double")
+        orders = spark.createDataFrame([(1, 1), (2, 2)], "o_orderkey long, o_custkey long")
+        customer = spark.createDataFrame([(1, 1), (2, 2)], "c_custkey long, c_nationkey int")
+        nation = spark.createDataFrame([(1, 0), (2, 1)], "n_nationkey int, n_regionkey int")
+
+    got = {(r["node_a"], r["node_b"]): (r["exact"], r["expected"]) for r in stage.compartment_similarity(Tables()).collect()}
+    length = math.sqrt(34)
+    assert got == {(1, 2): (pytest.approx(5 / length, abs=1e-6), 0.625), (1, 3): (pytest.approx(3 / length, abs=1e-6), 0.375)}
