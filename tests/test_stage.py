@@ -375,3 +375,19 @@ def test_fills_are_made_and_counted_by_blocks(spark, monkeypatch, penalty):
     assert key(got) == key(want) and "Join" not in got._jdf.queryExecution().executedPlan().toString()
     rows = lambda df: {r["stream"]: tuple(r) for r in df.collect()}
     assert rows(S.eligible_summary(nodes, streams, penalty)) == rows(S.stream_summary(want))
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_profiles_of_compatible_pairs_are_worked_out_once(spark, alike):
+    """They come from joins of whole tables, so these run once, however often their sums are read."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        reads.add(1)
+        return x
+
+    read = F.udf(seen, "double").asNondeterministic()
+    rows = spark.range(40).select((F.col("id") % 8).alias("s"), F.floor(F.col("id") / 8).alias("d"), read(F.col("id").cast("double") + 1).alias("w"))
+    matrix = spark.createDataFrame([(i, j, 1.0 if i == j else 0.5) for i in range(5) for j in range(5)], "i long, j long, c double")
+    got = S.similar_by_compatibility(rows, matrix, "s", "d", "w") if alike else P.compatibility(rows, matrix, "s", "d", "w")
+    assert len(got.collect()) == 28 and reads.value == 40
